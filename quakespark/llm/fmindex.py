@@ -8,6 +8,10 @@ Documents' segments are then streamed through backward search, which gives for e
 (its matching statistic) and, from the interval, the smallest document that holds it. Windows of anchors that
 stand very often are dealt out by the window instead, so that no shard holds a frequent passage's whole context.
 
+Texts are shuffled once, into buckets of about ``BUCKET`` bytes. A bucket tells each shard its anchors, hears which
+are shared, sends its distinct segments, and hears one bit for each window: whether it starts in a document before
+the bucket's first. What many copies in a bucket share is sent once.
+
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Null texts
 have no words. Rows that share a doc_id are one document for the comparison, and each is cut on its own.
 """
@@ -22,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, shuffle_partitions
-from .text import grams, hashes, mix, slices, utf8, words
+from .text import grams, hashes, mix, utf8, words
 
 WINDOW, ANCHOR = 13, 6
-#: Occurrences of an anchor above which its windows are dealt out one by one, and pairs gathered before they are handed on.
-OFTEN, FLUSH = 2000, 2_000_000
+#: Occurrences of an anchor above which its windows are dealt out one by one; bytes of text in a bucket and behind a shard.
+OFTEN, BUCKET, SHARD = 2000, 1 << 20, 4 << 20
 
 
 def anchored(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,130 +145,196 @@ def first_documents(segments: list[np.ndarray], documents: np.ndarray) -> list[n
     return np.split(out, np.cumsum(windows)[:-1])
 
 
-def remove_repeats(docs: DataFrame, shards: int | None = None, cut: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row: without words under a window that starts in an earlier document."""
-    spark = docs.sparkSession
-    shards = shards or 2 * shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tuple]:
-        data, at = utf8(batch.column("text"))
-        starts, ends, first = words(data, at)
-        word = hashes(data, starts, ends)
-        return word, first, anchored(word, first)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def give() -> pa.RecordBatch:
-            a, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(a, kind="stable")
-            a, d = a[order], d[order]
-            head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(np.minimum.reduceat(d, head)), pa.array(np.maximum.reduceat(d, head)), pa.array(np.diff(np.append(head, len(a))))], ["a", "low", "high", "n"])
-
-        for batch in slices(batches):
-            _, _, (doc, anchor, _, _) = read(batch)
-            held.append((anchor, batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]))
-            size += len(anchor)
-            if size > FLUSH:
-                yield give()
-                held, size = [], 0
-        if size:
-            yield give()
-
-    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, (doc, anchor, start, n) = read(batch)
-        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "doc_id", "start", "n"])
-
-    named = rows.where("doc_id is not null")
-    shared = named.mapInArrow(anchors, "a long, low long, high long, n long").groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("seen")).where("low < high").select("a", (F.col("seen") > OFTEN).alias("often"))
-    found = arrow_map(named, places, "a long, doc_id long, start int, n int").join(shared, "a")
-    listed = checkpoint(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "a", "often")).alias("segments")))
-    held = rows.join(listed, "doc_id").select("doc_id", "text", "segments")
-
-    def cut_out(with_words: bool):
-        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data, at = utf8(batch.column("text"))
-            starts, ends, first = words(data, at)
-            word = hashes(data, starts, ends)
-            lists = batch.column("segments")
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            start, n, a, often = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "a", "often"))
-            a = a.view(np.uint64)
-            # rows that share a doc_id list each other's segments
-            fit = start + n + WINDOW - 1 <= np.diff(first)[doc]
-            doc, start, n, a, often = doc[fit], start[fit].astype(np.int64), n[fit].astype(np.int64), a[fit], often[fit].astype(bool)
-            times = np.where(often, n, 1)
-            each = np.repeat(np.arange(len(doc)), times)
-            step = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-            doc, start, n, a, often = doc[each], start[each] + step, np.where(often, 1, n)[each], a[each], often[each]
-            begin = first[:-1][doc] + start
-            length = n + WINDOW - 1
-            place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            flat_words = word[place]
-            head = np.cumsum(length) - length
-            # two polynomial hashes of the whole segment
-            step = np.arange(len(place)) - np.repeat(head, length)
-            sid = []
-            for seed in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-                power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max(initial=0)), seed)]).astype(np.uint64))
-                sid.append(mix(np.add.reduceat(mix(flat_words + seed) * power[step], head) + length.astype(np.uint64)) if len(head) else np.zeros(0, np.uint64))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            out = {"s1": sid[0].view(np.int64), "s2": sid[1].view(np.int64), "doc_id": ids}
-            if with_words:
-                shard = np.where(often, sid[0], mix(a)) % np.uint64(shards)
-                raw, cuts = flat_words.tobytes(), 8 * np.append(head, len(flat_words))
-                offsets = pa.py_buffer(cuts.astype(np.int32).tobytes())
-                packed = pa.Array.from_buffers(pa.binary(), len(head), [None, offsets, pa.py_buffer(raw)])
-                return pa.RecordBatch.from_arrays([*map(pa.array, out.values()), pa.array(shard.astype(np.int32)), packed], [*out, "shard", "words"])
-            return pa.RecordBatch.from_arrays([*map(pa.array, out.values()), pa.array(start.astype(np.int32))], [*out, "start"])
-
-        return make
-
-    segments = arrow_map(held, cut_out(True), "s1 long, s2 long, doc_id long, shard int, words binary").groupBy("shard", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-
-    def index(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]
-        first = first_documents(rows, t.column("doc_id").to_numpy())
-        return pa.table({"s1": t.column("s1"), "s2": t.column("s2"), "first": pa.array([f.tobytes() for f in first], pa.binary())})
-
-    answers = checkpoint(segments.groupBy("shard").applyInArrow(index, "s1 long, s2 long, first binary"))
-    asked = arrow_map(held, cut_out(False), "s1 long, s2 long, doc_id long, start int").join(answers, ["s1", "s2"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = batch.column("first").to_pylist()
-            n = np.array([len(f) // 8 for f in first], np.int64)
-            early = np.frombuffer(b"".join(first), np.int64) < np.repeat(batch.column("doc_id").to_numpy(), n)
-            which = np.repeat(np.arange(len(n)), n)
-            at = np.repeat(batch.column("start").to_numpy().astype(np.int64), n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            new = early.copy()
-            new[1:] &= ~(early[:-1] & (which[1:] == which[:-1]))
-            run = np.cumsum(new)[early] - 1
-            begin = at[new]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which[new])), pa.array(begin.astype(np.int32)), pa.array((begin + np.bincount(run, minlength=len(begin)) - 1 + WINDOW).astype(np.int32))], ["doc_id", "begin", "end"])
-
-    spans = asked.select("doc_id", "start", "first").mapInArrow(judge, "doc_id long, begin int, end int").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, gone, digest, kept = [], [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after another."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit, 32-bit or 8-bit numbers after each other, behind their numbers of bytes."""
+    return np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
+    at = 8 * (len(kinds) + 1)
+    out = []
+    for size, kind in zip(sizes, kinds, strict=True):
+        out.append(np.frombuffer(data, kind, int(size) // np.dtype(kind).itemsize, at))
+        at += int(size)
+    return out
+
+
+class Bucket:
+    """A bucket's documents in order of doc_id, as words, and their segments."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        self.texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        ids = table.column("doc_id")
+        self.null = ids.is_null().to_numpy()
+        self.ids = ids.fill_null(0).to_numpy()
+        self.id_column = ids
+        data, at = utf8(self.texts)
+        starts, ends, self.first = words(data, at)
+        self.word = hashes(data, starts, ends)
+        doc, anchor, start, n = anchored(self.word, self.first)
+        known = ~self.null[doc] if len(doc) else np.zeros(0, bool)
+        self.doc, self.anchor, self.start, self.n = doc[known], anchor[known], start[known], n[known]
+
+    def tell_anchors(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """For each shard its anchors, how often they stand here, and whether in two documents."""
+        order = np.argsort(self.anchor, kind="stable")
+        a, d = self.anchor[order], self.ids[self.doc[order]]
+        head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+        if not len(head):
+            return
+        count, two = np.diff(np.append(head, len(a))), np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)
+        a = a[head]
+        shard = (mix(a) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for s, part in _by(shard, order):
+            yield s, _pack(a[part], np.minimum(count[part], 255).astype(np.uint8), two[part].astype(np.uint8))
+
+    def segments(self, heard: list[bytes], shards: int) -> tuple:
+        """Occurrences (document, first word, windows) of shared anchors and their segment's number; segments by shard."""
+        got = [_unpack(x, "u8", "u1") for x in heard]
+        anchors, often = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in ((0, np.uint64), (1, np.uint8)))
+        order = np.argsort(anchors)
+        anchors, often = anchors[order], often[order]
+        at = np.minimum(np.searchsorted(anchors, self.anchor), max(0, len(anchors) - 1))
+        use = anchors[at] == self.anchor if len(anchors) else np.zeros(len(self.anchor), bool)
+        doc, start, n, a = self.doc[use], self.start[use], self.n[use], self.anchor[use]
+        alone = often[at[use]].astype(bool) if len(anchors) else np.zeros(0, bool)
+        times = np.where(alone, n, 1)
+        each = np.repeat(np.arange(len(doc)), times)
+        doc, start, n, a, alone = doc[each], start[each] + _ranges(np.zeros(len(times), np.int64), times), np.where(alone, 1, n)[each], a[each], alone[each]
+        length = n + WINDOW - 1
+        begin = self.first[:-1][doc] + start
+        sid = segment_hashes(self.word, begin, length)
+        _, first, code = np.unique(sid, return_index=True, return_inverse=True)
+        shard = (np.where(alone, sid, mix(a))[first] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return doc, start, n, code, begin[first], length[first], doc[first], shard, order
+
+    def tell_segments(self, heard: list[bytes], shards: int) -> Iterator[tuple[int, bytes]]:
+        *_, begin, length, doc, shard, order = self.segments(heard, shards)
+        for s, part in _by(shard, order):
+            yield s, _pack(length[part].astype(np.int32), self.ids[doc[part]], self.word[_ranges(begin[part], length[part])])
+
+    def removed(self, heard: list[bytes], bits: dict[int, bytes], shards: int) -> np.ndarray:
+        """Whether each word goes."""
+        doc, start, n, code, _, length, first_doc, shard, order = self.segments(heard, shards)
+        edge = np.zeros(len(self.word) + 1, np.int64)
+        if len(code):
+            windows = length - WINDOW + 1
+            flags = []
+            for s, part in _by(shard, order):
+                flags.append(np.unpackbits(np.frombuffer(bits[s], np.uint8))[: int(windows[part].sum())])
+            ordered = np.concatenate(flags).astype(bool)
+            place = np.empty(len(windows), np.int64)
+            place[order] = np.cumsum(windows[order]) - windows[order]
+            early = ordered[_ranges(place[code], n)]
+            early |= np.repeat(self.ids[doc] > self.ids[first_doc[code]], n)
+            at = _ranges(self.first[:-1][doc] + start, n)[early]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + WINDOW, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+    def finish(self, gone: np.ndarray, cut: bool) -> pa.Table:
+        digest, kept = [], []
+        for text, a, b in zip(self.texts.to_pylist(), self.first[:-1], self.first[1:], strict=True):
             parts = (text or "").encode().split()
-            total.append(len(parts))
-            if spans:
-                edge = np.zeros(len(parts) + 1, np.int64)
-                ends = np.array([(s["begin"], min(s["end"], len(parts))) for s in spans if s["begin"] < len(parts)]).reshape(-1, 2)
-                np.add.at(edge, ends[:, 0], 1)
-                np.add.at(edge, ends[:, 1], -1)
-                parts = [parts[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-            gone.append(total[-1] - len(parts))
+            if gone[a:b].any():
+                parts = [parts[i] for i in np.flatnonzero(~gone[a:b])]
             whole = b" ".join(parts)
             digest.append(hashlib.sha256(whole).hexdigest())
             kept.append(whole.decode() if cut else None)
-        out = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-        return pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.string())] * cut, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * cut)
+        lost = np.concatenate([[0], np.cumsum(gone)])[self.first]
+        columns = {"doc_id": self.id_column, "n_words": pa.array(np.diff(self.first).astype(np.int64)), "n_removed": pa.array(np.diff(lost).astype(np.int64)), "kept_sha256": pa.array(digest, pa.string())}
+        return pa.table(columns | ({"kept": pa.array(kept, pa.string())} if cut else {}))
+
+
+def _by(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    bounds = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
+    for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
+        yield int(shard[order[a]]), order[a:b]
+
 
-    whole = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return arrow_map(whole, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * cut)
+def segment_hashes(word: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of words."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    seed = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()), seed)).astype(np.uint64))
+    step = _ranges(np.zeros(len(length), np.int64), length)
+    return mix(np.add.reduceat(word[_ranges(begin, length)] * power[step], np.cumsum(length) - length) + length.astype(np.uint64))
+
+
+_TOLD = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+_HEARD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("packed", pa.binary())])
+
+
+def remove_repeats(docs: DataFrame, cut: bool = False, bucket: int = BUCKET, shard: int = SHARD, often_from: int = OFTEN) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row: without words under a window that starts in an earlier document."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, shards = 1 + size // bucket, 1 + size // shard
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("bucket")
+
+    def told(pairs: Iterator[tuple[int, bytes]], bucket: int) -> pa.Table:
+        pairs = list(pairs)
+        return pa.table([pa.array([p[0] for p in pairs], pa.int32()), pa.array([bucket] * len(pairs), pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], schema=_TOLD)
+
+    def anchors(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        return told(Bucket(t).tell_anchors(shards), key[0].as_py())
+
+    def share(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        parts = [_unpack(x, "u8", "u1", "u1") for x in t.column("packed").to_pylist()]
+        a, count, two = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        of = np.repeat(t.column("bucket").to_numpy(), [len(p[0]) for p in parts])
+        order = np.argsort(a, kind="stable")
+        head = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))
+        size = np.diff(np.append(head, len(a)))
+        shared = (size > 1) | (np.add.reduceat(two[order].astype(np.int64), head) > 0)
+        often = np.add.reduceat(count[order].astype(np.int64), head) > often_from
+        at = order[np.repeat(shared, size)]
+        marks = np.repeat(often, size)[np.repeat(shared, size)].astype(np.uint8)
+        by = np.argsort(of[at], kind="stable")
+        at, marks = at[by], marks[by]
+        rows = [(b, _pack(a[at[part]], marks[part])) for b, part in _by(of[at].astype(np.int64), np.arange(len(at)))]
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_HEARD)
+
+    def segments(key: tuple[pa.Scalar, ...], t: pa.Table, heard: pa.Table) -> pa.Table:
+        if not t.num_rows or not heard.num_rows:
+            return _TOLD.empty_table()
+        return told(Bucket(t).tell_segments(heard.column("packed").to_pylist(), shards), key[0].as_py())
+
+    def index(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        parts = [_unpack(x, "i4", "i8", "u8") for x in t.column("packed").to_pylist()]
+        length, ids, word = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        length = length.astype(np.int64)
+        begin = np.cumsum(length) - length
+        _, first, code = np.unique(segment_hashes(word, begin, length), return_index=True, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, ids)
+        found = first_documents([word[b : b + n] for b, n in zip(begin[first], length[first], strict=True)], least)
+        early = np.concatenate([found[c] < d for c, d in zip(code, ids, strict=True)])
+        ends = np.concatenate([[0], np.cumsum(length - WINDOW + 1)])[np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])]
+        bits = [np.packbits(early[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        n = len(bits)
+        return pa.table([t.column("bucket").cast(pa.int32()), pa.array([1] * n, pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(bits, pa.binary())], schema=_HEARD)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * cut
+
+    def finish(key: tuple[pa.Scalar, ...], t: pa.Table, heard: pa.Table) -> pa.Table:
+        own = Bucket(t)
+        kind, shard, packed = (heard.column(c).to_pylist() for c in ("kind", "shard", "packed"))
+        anchors = [p for k, p in zip(kind, packed, strict=True) if k == 0]
+        bits = {s: p for k, s, p in zip(kind, shard, packed, strict=True) if k == 1}
+        return own.finish(own.removed(anchors, bits, shards), cut)
+
+    told_schema, heard_schema = "shard int, bucket int, packed binary", "bucket int, kind int, shard int, packed binary"
+    shared = rows.groupBy("bucket").applyInArrow(anchors, told_schema).groupBy("shard").applyInArrow(share, heard_schema)
+    sent = rows.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(segments, told_schema)
+    answers = sent.groupBy("shard").applyInArrow(index, heard_schema)
+    return rows.groupBy("bucket").cogroup(shared.unionByName(answers).groupBy("bucket")).applyInArrow(finish, schema)

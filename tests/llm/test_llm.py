@@ -244,10 +244,9 @@ def brute_repeats(rows, width=13):
 
 
 @pytest.mark.parametrize("often", [2000, 1])
-def test_substring_dedup_matches_brute_force(spark, monkeypatch, often):
-    monkeypatch.setattr(fmindex, "OFTEN", often)
+def test_substring_dedup_matches_brute_force(spark, often):
     rows = corpus(4, 80)
-    got = by_id(fmindex.remove_repeats(frame(spark, rows), cut=True))
+    got = by_id(fmindex.remove_repeats(frame(spark, rows), cut=True, bucket=20000, shard=30000, often_from=often))
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_repeats(rows)
     assert any(r.n_removed for r in got.values()) and sha(got[1005].kept) == got[1005].kept_sha256
     assert fmindex.remove_repeats(frame(spark, [])).count() == 0
