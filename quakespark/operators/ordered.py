@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,7 @@ def central_difference(df: DataFrame, by: Sequence[str], order: Sequence[str], x
 def zero_crossings(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value and the next one's have strictly opposite signs."""
     later = F.lead(value).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("next_value", later).where(F.col(value) * later < 0)
+    return df.withColumn("next_value", later).where(F.col(value) * F.col("next_value") < 0)
 
 
 def remove_mean(df: DataFrame, by: Sequence[str], time: str, value: str, start=None, end=None) -> DataFrame:
@@ -135,3 +135,11 @@ def median_filter(df: DataFrame, ix: str, iy: str, value: str, reach: int) -> Da
     shifts = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
     given = good.select(ix, iy, value, F.inline(shifts)).select((F.col(ix) + F.col("dx")).alias(ix), (F.col(iy) + F.col("dy")).alias(iy), F.col(value).alias("_v"))
     return good.join(given.groupBy(ix, iy).agg(F.median("_v").alias("smoothed")), [ix, iy])
+
+
+def gap_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], position: Column, gap: float, name: str) -> DataFrame:
+    """Add the number of each row's run: a new one begins where the position has moved on by more than ``gap``."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = df.withColumn("_p", position)
+    new = F.when(F.col("_p") - F.lag("_p").over(w) <= gap, 0).otherwise(1)
+    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_new")
