@@ -8,6 +8,7 @@ A doc_id with several labels counts with the largest; repeated rows are scored e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold
+from .common import arrow_map, checkpoint, fold
 from .text import LOWER, NOT_LETTER, hashes, utf8, words
 
 #: Labelled texts that the weights are fitted on at most, and how strongly a word must speak for the label to get a weight.
@@ -65,34 +66,28 @@ def surprise(with_label: np.ndarray, without: np.ndarray, n_with: int, n_without
     return np.where(with_label * n_without > without * n_with, 2 * g, 0.0)
 
 
-def fit(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.1, shrink: float = 0.002) -> Model:
-    """Adam with weight decay on the likelihood of the labels under noisy-or, over words that speak for the label.
+def fit(known: np.ndarray, code: np.ndarray, sentence: np.ndarray, text: np.ndarray, plain: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.1, shrink: float = 0.002) -> Model:
+    """Adam with weight decay on the likelihood of the labels under noisy-or.
 
-    ``sentence`` is each word's sentence, ``text`` each sentence's text, ``label`` each text's 0 or 1.
+    ``known`` are the words that get weights, ``code`` numbers of words in texts, ``sentence`` their sentences,
+    ``text`` each sentence's text. ``plain`` is each text's number of sentences without such words, ``label`` its 0 or 1.
     """
-    n_texts, n_sentences = len(label), len(text)
-    known, code = np.unique(word, return_inverse=True)
-    pair = np.unique(code.astype(np.int64) * max(1, n_texts) + text[sentence])
+    n_texts, n_sentences, bias = len(label), len(text), len(known)
     positive = label == 1
-    holds, which = pair // max(1, n_texts), pair % max(1, n_texts)
-    seen, hit = np.bincount(holds, minlength=len(known)), np.bincount(holds, positive[which], len(known))
-    keep = surprise(hit, seen - hit, int(positive.sum()), int((~positive).sum())) >= LEAST_SURPRISE
-    use = keep[code]
-    code, sentence, known = (np.cumsum(keep) - 1)[code[use]], sentence[use], known[keep]
-    bias = len(known)
     w, m, v = np.zeros(bias + 1), np.zeros(bias + 1), np.zeros(bias + 1)
     w[bias] = -6
     for step in range(1, rounds + 1):
         z = np.clip(w[bias] + np.bincount(sentence, w[code], n_sentences), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        total = np.bincount(text, np.logaddexp(0, z), n_texts)
-        slope = np.where(positive, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0)
-        own = slope[text] * p / max(1, n_texts)
-        grad = np.append(np.bincount(code, own[sentence], bias), own.sum())
+        alone = np.clip(w[bias], -30, 30)
+        total = np.bincount(text, np.logaddexp(0, z), n_texts) + plain * np.logaddexp(0, alone)
+        slope = np.where(positive, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0) / max(1, n_texts)
+        own = slope[text] * p
+        grad = np.append(np.bincount(code, own[sentence], bias), own.sum() + (slope * plain).sum() / (1 + np.exp(-alone)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:bias] *= 1 - rate * shrink
-    size = 1 << 20
+    size = 1 << max(12, 4 + int(bias).bit_length())
     tag, weight = np.zeros(size, np.uint64), np.zeros(size)
     rank = np.argsort(np.abs(w[:bias]), kind="stable")
     slot = (known[rank] & np.uint64(size - 1)).astype(np.int64)
@@ -101,27 +96,52 @@ def fit(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 isn't 0: at most ``most_labelled``, by the hash of their id."""
+    """Fit on labelled rows whose crc32(doc_id) mod 5 isn't 0: at most ``most_labelled``, by the hash of their id.
+
+    Words' texts are counted in Spark; only occurrences of words that speak for the label reach the driver.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select((F.col("toxic") > 0).cast("long").alias("toxic"), "text"))
+    n, n_with = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, sentence, text, _, _ = sentences(batch.column("text"))
-        per = np.searchsorted(text[sentence] if len(sentence) else sentence, np.arange(batch.num_rows + 1))
-        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(per[:-1], per[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pack(word), pack(sentence.astype(np.int32))], ["doc_id", "toxic", "word", "sentence"])
+        w, code = np.unique(word, return_inverse=True)
+        pair = np.unique(code.astype(np.int64) * batch.num_rows + text[sentence]) if len(word) else np.zeros(0, np.int64)
+        holds, toxic = pair // batch.num_rows, batch.column("toxic").to_numpy()[pair % batch.num_rows]
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.bincount(holds, toxic, len(w)).astype(np.int64)), pa.array(np.bincount(holds, minlength=len(w)))], ["w", "hit", "seen"])
 
-    got = sorted(arrow_map(rows.select("doc_id", "toxic", "text"), make, "doc_id long, toxic int, word binary, sentence binary").collect(), key=lambda r: (r[0], bytes(r[2])))
-    word = np.concatenate([np.frombuffer(r[2], np.uint64) for r in got] or [np.zeros(0, np.uint64)])
-    sentence, text, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, seen = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            yield batch.select(["w"]).filter(pa.array(surprise(hit, seen - hit, n_with, n - n_with) >= LEAST_SURPRISE))
+
+    counted = arrow_map(rows, count, "w long, hit long, seen long").groupBy("w").agg(F.sum("hit").alias("hit"), F.sum("seen").alias("seen"))
+    known = np.sort(np.array([r[0] for r in counted.mapInArrow(telling, "w long").collect()], np.int64).view(np.uint64))
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        word, sentence, text, _, _ = sentences(batch.column("text"))
+        code = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+        use = known[code] == word if len(known) else np.zeros(len(word), bool)
+        code, sentence = code[use], sentence[use]
+        of = text[sentence]
+        plain = np.bincount(text, minlength=batch.num_rows) - np.bincount(text[np.unique(sentence)], minlength=batch.num_rows)
+        cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
+        pack = lambda x: pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain), pack(code), pack(sentence)], ["toxic", "plain", "code", "sentence"])
+
+    got = arrow_map(rows, mark, "toxic long, plain long, code binary, sentence binary").collect()
+    got.sort(key=lambda r: (r[0], r[1], bytes(r[2]), bytes(r[3])))
+    none = np.zeros(0, np.int64)
+    code, sentence, text, at = [none], [none], [none], 0
     for k, r in enumerate(got):
-        own = np.frombuffer(r[3], np.int32).astype(np.int64)
-        if len(own):
-            sentence.append(own - own[0] + n)
-            n += own[-1] - own[0] + 1
-            text.append(np.full(own[-1] - own[0] + 1, k))
-    return fit(word, np.concatenate(sentence), np.concatenate(text), np.array([int(r[1] > 0) for r in got], np.int64))
+        _, own = np.unique(np.frombuffer(r[3], np.int32), return_inverse=True)
+        code.append(np.frombuffer(r[2], np.int32).astype(np.int64))
+        sentence.append(own + at)
+        text.append(np.full(own.max(initial=-1) + 1, k))
+        at += own.max(initial=-1) + 1
+    return fit(known, np.concatenate(code), np.concatenate(sentence), np.concatenate(text).astype(np.int64), np.array([r[1] for r in got], np.int64), np.array([r[0] for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
