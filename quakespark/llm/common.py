@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,15 +55,33 @@ def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges, and the smallest end that each is connected with."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[one] != label[two]).any():
+        np.minimum.at(label, np.maximum(label[one], label[two]), np.minimum(label[one], label[two]))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def components(edges: DataFrame, most: int = 60, task: int = 500_000) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) of longs reach from each node.
 
-    Alternates two steps until nothing changes: each node hands its smallest neighbour to its larger
-    neighbours, then to its smaller ones. A star's edges are dealt by their far ends, so no group is
-    gathered: the aggregates keep one smallest neighbour for a node. Rounds follow the logarithm of the
-    longest path.
+    First each task turns its own edges, about ``task`` of them, into stars. Then two steps alternate until
+    nothing changes: each node hands its smallest neighbour to its larger neighbours, then to its smaller ones.
+    A star's edges are dealt by their far ends, so no group is gathered: the aggregates keep one smallest
+    neighbour for a node. Rounds follow the logarithm of the longest path.
     """
 
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        node, root = forest(*(np.concatenate([np.zeros(0, np.int64), *(b.column(k).to_numpy() for b in held)]) for k in (0, 1)))
+        far = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["a", "b"])
+
     def step(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -73,12 +92,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             hung = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return hung.where("a <> b").distinct()
 
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = edges.select("a", "b").where("a <> b")
+    tasks = 1 + now.count() // task
+    now = checkpoint(now.coalesce(tasks).mapInArrow(stars, "a long, b long"))
     seen = None
-    for _ in range(most):
+    for _ in range(most if tasks > 1 else 0):
         now = checkpoint(step(step(now, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            break
         seen = state
-    raise RuntimeError(f"components didn't settle in {most} rounds")
+    else:
+        if tasks > 1:
+            raise RuntimeError(f"components didn't settle in {most} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
