@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .shared import checkpoint
 
 
 def edges(faces: DataFrame, face: str, corners: tuple[str, str, str]) -> DataFrame:
@@ -35,15 +36,15 @@ def laplacian(pairs: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, component): smallest node that is reached; labels are handed on and then looked up at the label itself."""
     both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).checkpoint()
+    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
     for _ in range(most):
         near = both.join(now.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("near"))
         new = now.join(near, "a").select("a", F.least("c", "near").alias("c"))
-        new = new.join(new.select(F.col("a").alias("c"), F.col("c").alias("jump")), "c").select("a", F.least("c", "jump").alias("c"), "c").toDF("a", "c", "was").checkpoint()
-        moved = new.join(now.withColumnRenamed("c", "before"), "a").where("c <> before").isEmpty()
-        now = new.select("a", "c")
-        if moved:
+        new = checkpoint(new.join(new.select(F.col("a").alias("c"), F.col("c").alias("jump")), "c").select("a", F.least("c", "jump").alias("c")))
+        settled = new.join(now.withColumnRenamed("c", "before"), "a").where("c <> before").isEmpty()
+        now = new
+        if settled:
             return now.toDF("node", "component")
     raise RuntimeError(f"components didn't settle in {most} rounds")
 
@@ -52,8 +53,8 @@ def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, least: int)
     """(key, cluster, core): cluster is the smallest core point's key; border points join their smallest cluster, noise has null."""
     own = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
     other = own.toDF("k2", "x2", "y2")
-    near = range_join(own, other, ("x", "y"), ("x2", "y2"), eps).select("k", "k2").checkpoint()
-    core = near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k").checkpoint()
+    near = checkpoint(range_join(own, other, ("x", "y"), ("x2", "y2"), eps).select("k", "k2"))
+    core = checkpoint(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k"))
     between = near.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2")
     linked = components(between, "k", "k2").select(F.col("node").alias("k"), F.col("component").alias("cluster"))
     cores = core.join(linked, "k", "left").select("k", F.coalesce("cluster", "k").alias("cluster"))

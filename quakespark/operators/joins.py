@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
+
 
 def _cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
@@ -44,7 +46,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     found, rest, radius = None, left.select(left_id, *left_xy), reach
     for _ in range(doublings):
         pairs = range_join(rest, right.select(right_id, *right_xy), left_xy, right_xy, radius)
-        best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_b")).select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.distance").alias("distance")).checkpoint()
+        best = checkpoint(pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_b")).select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.distance").alias("distance")))
         found = best if found is None else found.unionByName(best)
         rest = rest.join(best.select(left_id), left_id, "left_anti")
         if rest.isEmpty():

@@ -609,7 +609,6 @@ def mesh_boundary_edges(spark, d):
 @query()
 def cluster_dbscan(spark, d):
     cus = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"))
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return graph.dbscan(cus, "c_custkey", "x", "y", 1.5, 4)
 
 
