@@ -58,7 +58,8 @@ def paths(tree: DataFrame) -> DataFrame:
             break
         open_before = still
         above = state.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
-        state = state.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        moved = state.where("up is not null").join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        state = moved.unionByName(state.where("up is null"))  # paths that have reached a root rest
     leaves = state.where("up is null").join(inner.withColumnRenamed("parent", "node"), ["conv_id", "node"], "left_anti")
     return leaves.select("conv_id", F.col("node").alias("leaf"), "path", "score")
 
