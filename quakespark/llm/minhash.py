@@ -1,8 +1,10 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Equal texts are one class at once. Of each other text's 5-word shingles, labelled with their occurrence number,
+Equal texts are one class at once. Of each other text's ``K``-word shingles, labelled with their occurrence number,
 every sketch keeps the ``KEEP`` smallest under its own hash, in text order; texts that agree in a sketch are
-candidates. In each bucket of candidates the smallest id leads; members are aligned with their leader, those
+candidates. An edit takes at most ``K`` shingles, so K follows the threshold: a word in five substituted at even distances
+leaves 0.6 of the pairs of words, and all sketches miss such a text with a chance of 0.008. Where a text is so short that
+few shingles are left, words count as well: texts under ``SHORT`` words have as many sketches of single words besides. In each bucket of candidates the smallest id leads; members are aligned with their leader, those
 that don't reach its class go on with a leader of their own. What is left after ``ROUNDS`` rounds mostly shares a
 passage and is not alike; those texts get sketches of the ``FINE`` smallest k-mers, and all that agree in one and
 aren't of one class already are aligned pairwise. Of two texts that share 0.8 of their shingles, 1 - 0.8 ** FINE = 0.59 is the chance that a sketch
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpoint, components
 from .text import LOWER, grams, hashes, mix, utf8, words
 
-K, SKETCHES, KEEP, FINE, THRESHOLD, ROUNDS = 5, 24, 2, 4, 0.8, 3
+K, SKETCHES, KEEP, FINE, THRESHOLD, ROUNDS, SHORT = 2, 24, 2, 4, 0.8, 3, 64
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,10 +140,12 @@ def sketches(docs: DataFrame, keep: int = KEEP) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, first = _words(batch.column(1))
-        label, begin = labelled(word, first)
-        keys = iter(sketch(label, begin, keep=keep).view(np.int64).tolist())
         n = np.diff(first)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array([next(keys) if x else [] for x in n], pa.list_(pa.int64()))], ["doc_id", "n", "keys"])
+        few = n < SHORT
+        of_words = labelled(word[np.repeat(few, n)], np.concatenate([[0], np.cumsum(n[few])]), 1)
+        keys, more = (iter(sketch(*x, keep=keep).view(np.int64).tolist()) for x in (labelled(word, first), of_words))
+        both = [next(keys) + (next(more) if x < SHORT else []) if x else [] for x in n]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(both, pa.list_(pa.int64()))], ["doc_id", "n", "keys"])
 
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, n long, keys array<long>")
 

@@ -430,6 +430,21 @@ def test_order_minhash_classes(spark):
     assert sorted((r.doc_id or 0, r.class_id) for r in doubled.collect()) == [(0, None), (1, 1), (1, 1)]
 
 
+@pytest.mark.parametrize("n, similarity", [(300, 0.80), (300, 0.85), (300, 0.90), (300, 0.95), (60, 0.80), (40, 0.80), (10, 0.90), (10, 0.80), (5, 0.80)])
+def test_order_minhash_recall_of_scattered_edits(spark, n, similarity):
+    rng = random.Random(n)
+    rows = []
+    for i in range(200):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for p in rng.sample(range(n), round(n * (1 - similarity))):
+            b[p] = f"w{rng.randrange(10**6)}"
+        assert minhash.alike(a, b)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    keys = {r.doc_id: set(enumerate(r["keys"])) for r in minhash.sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(200)) >= 196
+
+
 # op10
 
 
