@@ -4,12 +4,12 @@ Equal texts are one class at once. Of each other text's ``K``-word shingles, lab
 every sketch keeps the ``KEEP`` smallest under its own hash, in text order; texts that agree in a sketch are
 candidates. An edit takes at most ``K`` shingles, so K follows the threshold: a word in five substituted at even distances
 leaves 0.6 of the pairs of words, and all sketches miss such a text with a chance of 0.008. Where a text is so short that
-few shingles are left, words count as well: texts under ``SHORT`` words have as many sketches of single words besides. In each bucket of candidates the smallest id leads; members are aligned with their leader, those
-that don't reach its class go on with a leader of their own. What is left after ``ROUNDS`` rounds mostly shares a
-passage and is not alike; those texts get sketches of the ``FINE`` smallest k-mers, and all that agree in one and
-aren't of one class already are aligned pairwise. Of two texts that share 0.8 of their shingles, 1 - 0.8 ** FINE = 0.59 is the chance that a sketch
-misses them, 3e-6 that all do. Alignment is by words, within a band as wide as the threshold allows: two texts link if their edit
-distance is at most (1 - threshold) of the longer one's words. Classes are what links connect.
+few shingles are left, words count as well: texts under ``SHORT`` words have as many sketches of single words besides.
+
+In each bucket of candidates the smallest id leads, and the others are aligned with it. Then each two that are left apart
+from their leader and from each other are aligned, in a bucket of any size, unless their numbers of words or the counts of
+their words rule it out exactly. Alignment is by words, within a band as wide as the threshold allows: two texts link if
+their edit distance is at most (1 - threshold) of the longer one's words. Classes are what links connect.
 
 Words are lower-cased (A-Z) runs of characters other than white space. Null texts count as empty; all empty and
 blank texts that are equal are copies. A null doc_id belongs to no class. Repeated rows come back as often as they stand.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpoint, components
 from .text import LOWER, grams, hashes, mix, utf8, words
 
-K, SKETCHES, KEEP, FINE, THRESHOLD, ROUNDS, SHORT = 2, 24, 2, 4, 0.8, 3, 64
+K, SKETCHES, KEEP, THRESHOLD, SHORT = 2, 24, 2, 0.8, 64
+#: Bins of word counts, and members that are compared at once.
+BAG, BLOCK = 256, 1024
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -165,6 +167,50 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(joined, make, "a long, b long", column="text_b")
 
 
+def bags(docs: DataFrame) -> DataFrame:
+    """(doc_id, bag): how many words of each text fall into each of ``BAG`` bins, at most 255."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        word, first = _words(batch.column(1))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        count = np.bincount(row * BAG + (word % np.uint64(BAG)).astype(np.int64), minlength=batch.num_rows * BAG)
+        bag = np.minimum(count, 255).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag[i * BAG : (i + 1) * BAG] for i in range(batch.num_rows)], pa.binary())], ["doc_id", "bag"])
+
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, bag binary")
+
+
+def untested(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of different classes within a bucket that may be alike. ``members`` has s, key, size, doc_id, n, class, bag.
+
+    An edit changes the number of words by one at most, and takes one word from a bin and adds one to another at most:
+    pairs whose bags differ by more can't be alike. Members of crowded buckets are dealt into parts of about ``block``,
+    and each two parts meet in a group of their own, so no group follows the bucket's size.
+    """
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"p": F.least("part", "with"), "q": F.greatest("part", "with")})
+
+    def pairs(t: pa.Table) -> pa.Table:
+        n, kind, doc, part = (t.column(c).to_numpy() for c in ("n", "class", "doc_id", "part"))
+        bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+        across = part.min() < part.max()
+        out = []
+        for i in range(len(doc)):
+            j = np.flatnonzero((kind != kind[i]) & (doc > doc[i]) & ((part != part[i]) | (not across)))
+            most = ((1 - threshold) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
+            length = np.abs(n[j] - n[i])
+            j, most, length = (x[length <= most] for x in (j, most, length))
+            j = j[np.abs(bag[j] - bag[i]).sum(1, dtype=np.int64) + length <= 2 * most]
+            out.append(np.stack([np.full(len(j), doc[i]), doc[j]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    held = dealt.select("s", "key", "p", "q", "part", "doc_id", "n", "class", "bag")
+    return held.groupBy("s", "key", "p", "q").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept) for each row: its class's smallest doc_id, and whether it is that document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -180,29 +226,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = checkpoint(bucketed.join(full, ["s", "key"]).select("s", "key", "doc_id", "n"))
     # Only texts that have a candidate are shuffled again.
     texts = checkpoint(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = None
-    for k in range(ROUNDS):
-        lead = left.groupBy("s", "key").agg(F.min("doc_id").alias("lead"))
-        led = left.drop("class").join(lead, ["s", "key"])
-        found = checkpoint(verify(led.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, threshold))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        of = lambda name, label=label: label.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
-        led = led.join(of("lead"), "lead", "left").join(of("doc_id"), "doc_id", "left")
-        led = led.withColumn("class", F.coalesce("doc_id_class", "doc_id"))
-        apart = led.where(F.coalesce("lead_class", "lead") != F.col("class")).select("s", "key", "doc_id", "n", "class")
-        more = apart.groupBy("s", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        left = checkpoint(apart.join(more, ["s", "key"]).select("s", "key", "doc_id", "n", "class"))
-        if left.isEmpty():
-            break
-    else:
-        apart = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-        finer = sketches(apart, FINE).select("doc_id", "n", F.posexplode("keys").alias("s", "key"))
-        left = checkpoint(finer.join(left.select("s", "doc_id", "class"), ["s", "doc_id"]))
-        other = left.select("s", "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("class").alias("other"))
-        close = (F.col("doc_id") < F.col("b")) & (F.col("class") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
-        rest = left.join(other, ["s", "key"]).where(close).select(F.col("doc_id").alias("a"), "b").distinct()
-        label = components(links.unionByName(verify(rest, texts, threshold)))
+    lead = left.groupBy("s", "key").agg(F.min("doc_id").alias("lead"))
+    led = checkpoint(left.join(lead, ["s", "key"]))
+    links = checkpoint(verify(led.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, threshold))
+    label = components(links)
+    of = lambda name: label.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
+    led = led.join(of("lead"), "lead", "left").join(of("doc_id"), "doc_id", "left")
+    led = led.withColumn("class", F.coalesce("doc_id_class", "doc_id"))
+    apart = led.where(F.coalesce("lead_class", "lead") != F.col("class")).select("s", "key", "doc_id", "n", "class")
+    more = apart.groupBy("s", "key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    open_ = checkpoint(apart.join(more.select("s", "key", "size"), ["s", "key"]))
+    bag = bags(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rest = checkpoint(untested(open_.join(bag, "doc_id"), threshold))
+    label = components(links.unionByName(verify(rest, texts, threshold)))
     classes = member.join(label.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

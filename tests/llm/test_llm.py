@@ -445,6 +445,33 @@ def test_order_minhash_recall_of_scattered_edits(spark, n, similarity):
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(200)) >= 196
 
 
+def test_order_minhash_links_in_crowded_buckets(spark):
+    # All share a passage, and that is all that the pairs that are just alike have in common besides single words.
+    rng = random.Random(3)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage = fresh(75)
+    rows = [[i, " ".join(fresh(25) + passage)] for i in range(40)]
+    for i in range(40, 60, 2):
+        a = fresh(25) + passage
+        b = [w if p % 2 == 0 and p < 25 or p % 10 and p >= 25 else fresh(1)[0] for p, w in enumerate(a)]
+        assert minhash.alike(a, b)
+        rows += [[i, " ".join(a)], [i + 1, " ".join(b)]]
+    got = by_id(minhash.near_duplicates(frame(spark, rows)))
+    assert {i: r.class_id for i, r in got.items()} == {i: i - (i > 40 and i % 2) for i, _ in rows}
+
+
+def test_order_minhash_pairs_of_parts_and_bounds(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
+    rows = [(i, " ".join(w if rng.random() < 0.8 else "x" for w in base[i % 6][: rng.choice([16, 18, 20])])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = docs.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"), F.lit(1).alias("s"), F.lit(5).alias("key"), F.lit(60).alias("size"), (F.col("doc_id") % 20).alias("class")).join(minhash.bags(docs), "doc_id")
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and a % 20 != b % 20 and minhash.alike(x.split(), y.split(), 0.6)}
+    whole = {(r.a, r.b) for r in minhash.untested(members, 0.6).collect()}
+    assert near <= whole and 5 < len(near) and len(whole) < 1000
+    assert {(r.a, r.b) for r in minhash.untested(members, 0.6, block=7).collect()} == whole
+
+
 # op10
 
 
