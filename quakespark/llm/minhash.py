@@ -6,9 +6,9 @@ candidates. An edit takes at most ``K`` shingles, so K follows the threshold: a
 leaves 0.6 of the pairs of words, and all sketches miss such a text with a chance of 0.008. Where a text is so short that
 few shingles are left, words count as well: texts under ``SHORT`` words have as many sketches of single words besides.
 
-In each bucket of candidates the smallest id leads, and the others are aligned with it. Then each two that are left apart
-from their leader and from each other are aligned, in a bucket of any size, unless their numbers of words or the counts of
-their words rule it out exactly. Alignment is by words, within a band as wide as the threshold allows: two texts link if
+In each bucket of candidates the smallest id leads, and the others are aligned with it. Then each two members that
+are still of different classes are aligned, in a bucket of any size, unless their numbers of words, the counts of their
+words or their distances from the leader rule it out exactly. Alignment is by words, within a band as wide as the threshold allows: two texts link if
 their edit distance is at most (1 - threshold) of the longer one's words. Classes are what links connect.
 
 Words are lower-cased (A-Z) runs of characters other than white space. Null texts count as empty; all empty and
@@ -153,7 +153,7 @@ def sketches(docs: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
+    """(a, b, d, exact, link) of the pairs (a, b): their distance if it is at most twice what a link allows, or else a bound below it."""
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
@@ -161,10 +161,11 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         (x, fx), (y, fy) = (_words(batch.column(c)) for c in ("text_a", "text_b"))
         x, y = x.tolist(), y.tolist()
-        good = [alike(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]], threshold) for i in range(batch.num_rows)]
-        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        most = ((1 - threshold) * np.maximum(np.diff(fx), np.diff(fy)) + 1e-9).astype(np.int64)
+        d = np.array([banded_distance(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]], 2 * int(m)) for i, m in enumerate(most)], np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d), pa.array(d <= 2 * most), pa.array(d <= most)], ["a", "b", "d", "exact", "link"])
 
-    return arrow_map(joined, make, "a long, b long", column="text_b")
+    return arrow_map(joined, make, "a long, b long, d long, exact boolean, link boolean", column="text_b")
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -181,10 +182,11 @@ def bags(docs: DataFrame) -> DataFrame:
 
 
 def untested(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of different classes within a bucket that may be alike. ``members`` has s, key, size, doc_id, n, class, bag.
+    """Distinct pairs (a, b) of different classes within a bucket that may be alike. ``members`` has s, key, size, lead, doc_id, n, class,
+    d, exact (distance from the lead as in ``verify``), bag.
 
     An edit changes the number of words by one at most, and takes one word from a bin and adds one to another at most:
-    pairs whose bags differ by more can't be alike. Members of crowded buckets are dealt into parts of about ``block``,
+    pairs whose bags differ by more can't be alike, nor can those whose distances from their lead differ by more. Members of crowded buckets are dealt into parts of about ``block``,
     and each two parts meet in a group of their own, so no group follows the bucket's size.
     """
     parts = F.ceil(F.col("size") / block).cast("int")
@@ -193,21 +195,22 @@ def untested(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFr
     dealt = dealt.withColumns({"p": F.least("part", "with"), "q": F.greatest("part", "with")})
 
     def pairs(t: pa.Table) -> pa.Table:
-        n, kind, doc, part = (t.column(c).to_numpy() for c in ("n", "class", "doc_id", "part"))
+        n, kind, doc, part, lead, d, exact = (t.column(c).to_numpy() for c in ("n", "class", "doc_id", "part", "lead", "d", "exact"))
         bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
         across = part.min() < part.max()
         out = []
         for i in range(len(doc)):
-            j = np.flatnonzero((kind != kind[i]) & (doc > doc[i]) & ((part != part[i]) | (not across)))
+            j = np.flatnonzero((kind != kind[i]) & (doc > doc[i]) & ((part != part[i]) | (not across))) if doc[i] != lead[i] else np.zeros(0, np.int64)
             most = ((1 - threshold) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
             length = np.abs(n[j] - n[i])
-            j, most, length = (x[length <= most] for x in (j, most, length))
+            apart = np.maximum(np.where(exact[i], d[j] - d[i], 0), np.where(exact[j], d[i] - d[j], 0))
+            j, most, length = (x[np.maximum(length, apart) <= most] for x in (j, most, length))
             j = j[np.abs(bag[j] - bag[i]).sum(1, dtype=np.int64) + length <= 2 * most]
             out.append(np.stack([np.full(len(j), doc[i]), doc[j]]))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    held = dealt.select("s", "key", "p", "q", "part", "doc_id", "n", "class", "bag")
+    held = dealt.select("s", "key", "p", "q", "part", "lead", "doc_id", "n", "class", "d", "exact", "bag")
     return held.groupBy("s", "key", "p", "q").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -228,17 +231,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = checkpoint(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     lead = left.groupBy("s", "key").agg(F.min("doc_id").alias("lead"))
     led = checkpoint(left.join(lead, ["s", "key"]))
-    links = checkpoint(verify(led.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, threshold))
+    tested = checkpoint(verify(led.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, threshold))
+    links = tested.where("link").select("a", "b")
     label = components(links)
-    of = lambda name: label.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
-    led = led.join(of("lead"), "lead", "left").join(of("doc_id"), "doc_id", "left")
-    led = led.withColumn("class", F.coalesce("doc_id_class", "doc_id"))
-    apart = led.where(F.coalesce("lead_class", "lead") != F.col("class")).select("s", "key", "doc_id", "n", "class")
-    more = apart.groupBy("s", "key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    open_ = checkpoint(apart.join(more.select("s", "key", "size"), ["s", "key"]))
-    bag = bags(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"))
-    rest = checkpoint(untested(open_.join(bag, "doc_id"), threshold))
-    label = components(links.unionByName(verify(rest, texts, threshold)))
+    led = led.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id"))
+    more = led.groupBy("s", "key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rest = led.join(more.select("s", "key", "size"), ["s", "key"]).select("s", "key", "size", "lead", "doc_id", "n", "class")
+    far = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "d", "exact")
+    rest = checkpoint(rest.join(far, ["lead", "doc_id"], "left").withColumns({"d": F.coalesce("d", F.lit(0).cast("long")), "exact": F.coalesce("exact", F.lit(True))}))
+    bag = bags(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))
+    pairs = checkpoint(untested(rest.join(bag, "doc_id"), threshold))
+    label = components(links.unionByName(verify(pairs, texts, threshold).where("link").select("a", "b")))
     classes = member.join(label.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

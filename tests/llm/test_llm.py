@@ -465,13 +465,48 @@ def test_order_minhash_pairs_of_parts_and_bounds(spark):
     base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
     rows = [(i, " ".join(w if rng.random() < 0.8 else "x" for w in base[i % 6][: rng.choice([16, 18, 20])])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = docs.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"), F.lit(1).alias("s"), F.lit(5).alias("key"), F.lit(60).alias("size"), (F.col("doc_id") % 20).alias("class")).join(minhash.bags(docs), "doc_id")
+    members = docs.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"), F.lit(1).alias("s"), F.lit(5).alias("key"), F.lit(60).alias("size"), (F.col("doc_id") % 20).alias("class"), F.lit(-1).cast("long").alias("lead"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("exact")).join(minhash.bags(docs), "doc_id")
     near = {(a, b) for a, x in rows for b, y in rows if a < b and a % 20 != b % 20 and minhash.alike(x.split(), y.split(), 0.6)}
     whole = {(r.a, r.b) for r in minhash.untested(members, 0.6).collect()}
     assert near <= whole and 5 < len(near) and len(whole) < 1000
     assert {(r.a, r.b) for r in minhash.untested(members, 0.6, block=7).collect()} == whole
 
 
+def test_order_minhash_links_through_absorbed_members(spark):
+    # In a bucket of {lead, a, b}, a is alike the lead and b, which aren't alike; all three meet in no other sketches.
+    base = [f"w{i}" for i in range(100)]
+    a = [w if i >= 15 else f"a{i}" for i, w in enumerate(base)]
+    b = [w if i < 85 else f"b{i}" for i, w in enumerate(a)]
+    assert minhash.alike(base, a) and minhash.alike(a, b) and not minhash.alike(base, b)
+    texts = {1: base, 2: a, 3: b}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    members = spark.createDataFrame([(0, 5, 3, 1, i, 100, 1 if i < 3 else 3, (0, 15, 30)[i - 1], True) for i in texts], "s int, key long, size long, lead long, doc_id long, n long, class long, d long, exact boolean")
+    pairs = minhash.untested(members.join(minhash.bags(docs), "doc_id"), 0.8)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(2, 3)]
+    got = {(r.a, r.b): (r.d, r.exact, r.link) for r in minhash.verify(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), docs, 0.8).collect()}
+    assert got == {(1, 2): (15, True, True), (1, 3): (30, True, False), (2, 3): (15, True, True)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_minhash_classes_are_what_all_links_connect(spark, seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for p in rng.sample(range(60), rng.choice([2, 4, 9, 12])):
+            words[p] = f"w{rng.randrange(10**6)}"
+        rows.append([i, " ".join(words)])
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if minhash.alike(rows[i][1].split(), rows[j][1].split()):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = by_id(minhash.near_duplicates(frame(spark, rows)))
+    assert [got[i].class_id for i in range(60)] == root
+
+
 # op10
 
 
