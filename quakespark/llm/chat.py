@@ -6,7 +6,7 @@ their messages' scores (ties by the smaller leaf), and each chosen path becomes
 Template: each turn is ``<s>[role] text</s>``. Inside roles and texts a backslash becomes ``\\e``, ``<`` becomes
 ``\\l``, ``[`` becomes ``\\b`` and ``]`` becomes ``\\c``, so no marker can stand in them and the text can be read back.
 Null roles and texts count as empty. Rows of one conversation with the same turn follow by role, then text.
-Messages whose parent is missing are roots. Messages that only reach themselves (cycles) have no root and aren't formatted.
+Rows whose conv_id is null are one conversation, as in SQL's GROUP BY. Messages whose parent is missing are roots. Messages that only reach themselves (cycles) have no root and aren't formatted.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by equal keys, where a null conv_id equals a null conv_id; each key comes once, from the left."""
+    other = right.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    on = [left[k].eqNullSafe(other[f"{k}__right"]) if k == "conv_id" else left[k] == other[f"{k}__right"] for k in keys]
+    return left.join(other, on, how).drop(*(f"{k}__right" for k in keys))
+
+
 def chain(rows: DataFrame) -> DataFrame:
     """(conv_id, node, parent, role, text, score) from (conv_id, turn, role, text): each row answers the one before it."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
@@ -49,7 +56,7 @@ def paths(tree: DataFrame) -> DataFrame:
     links = checkpoint(tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
     nodes = links.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known"))
     inner = links.where("parent is not null").select("conv_id", "parent").distinct()
-    state = links.join(nodes, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score")
+    state = join_null_safe(links, nodes, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score")
     open_before = None
     while True:
         state = checkpoint(state)
@@ -58,9 +65,9 @@ def paths(tree: DataFrame) -> DataFrame:
             break
         open_before = still
         above = state.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
-        moved = state.where("up is not null").join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        moved = join_null_safe(state.where("up is not null"), above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
         state = moved.unionByName(state.where("up is null"))  # paths that have reached a root rest
-    leaves = state.where("up is null").join(inner.withColumnRenamed("parent", "node"), ["conv_id", "node"], "left_anti")
+    leaves = join_null_safe(state.where("up is null"), inner.withColumnRenamed("parent", "node"), ["conv_id", "node"], "left_anti")
     return leaves.select("conv_id", F.col("node").alias("leaf"), "path", "score")
 
 
@@ -76,7 +83,7 @@ def render(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     ``loss_spans`` holds start and length in code points of the formatted text.
     """
     steps = chosen.select("conv_id", "branch", F.posexplode("path").alias("place", "node"))
-    turns = steps.join(tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
+    turns = join_null_safe(steps, tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     head = F.concat(F.lit("<s>["), escape(F.coalesce("role", F.lit(""))), F.lit("] "))
     turn = F.struct("place", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.col("role") == "assistant").alias("loss"))
     rows = turns.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

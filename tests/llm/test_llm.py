@@ -521,6 +521,13 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(chat.chain(df.limit(0))).count() == 0
 
 
+def test_chat_null_conversation(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (None, 2, None, None), (1, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_conversations(chat.chain(df))).collect()}
+    assert got == {None: [("user", "hi"), ("assistant", "yes"), ("", "")], 1: [("user", "x")]}
+
+
 def test_reply_tree_branches(spark):
     nodes = [(1, 1, None, "user", "r", 0.0), (1, 2, 1, "assistant", "good", 2.0), (1, 3, 1, "assistant", "bad", -1.0), (1, 4, 3, "user", "more", 1.0), (1, 5, 99, "user", "orphan", 9.0), (2, 7, 8, "user", "cycle", 1.0), (2, 8, 7, "user", "cycle", 1.0)]
     nodes += [(3, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(40)]
