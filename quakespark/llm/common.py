@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a new local one only where the session names none."""
+    """The folder that the driver and all executors share; a new local one only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,6 +36,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, so that lost executors lose nothing.
+
+    With ``by`` the table is bucketed by that column: joins on it don't shuffle it again.
+    """
+    spark = df.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    if by is None:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = shuffle_partitions(spark)
+    df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

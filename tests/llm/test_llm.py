@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quakespark.llm import bpe, chat, embeddings, fmindex, minhash, mixing, ngram, pii, queries, text, toxicity, winnowing
+from quakespark.llm import bpe, chat, common, embeddings, fmindex, minhash, mixing, ngram, pii, queries, text, toxicity, winnowing
 
 PATH, PATTERN = queries.VOCABULARY, queries.PATTERN
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -430,6 +430,10 @@ def test_order_minhash_classes(spark):
     assert sorted((r.doc_id or 0, r.class_id) for r in doubled.collect()) == [(0, None), (1, 1), (1, 1)]
 
 
+def signed(spark, rows):
+    return minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
+
+
 @pytest.mark.parametrize("n, similarity", [(300, 0.80), (300, 0.85), (300, 0.90), (300, 0.95), (60, 0.80), (40, 0.80), (10, 0.90), (10, 0.80), (5, 0.80)])
 def test_order_minhash_recall_of_scattered_edits(spark, n, similarity):
     rng = random.Random(n)
@@ -441,7 +445,7 @@ def test_order_minhash_recall_of_scattered_edits(spark, n, similarity):
             b[p] = f"w{rng.randrange(10**6)}"
         assert minhash.alike(a, b)
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-    keys = {r.doc_id: set(enumerate(r["keys"])) for r in minhash.sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    keys = {r.doc_id: set(enumerate(r["keys"])) for r in signed(spark, rows).collect()}
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(200)) >= 196
 
 
@@ -460,16 +464,32 @@ def test_order_minhash_links_in_crowded_buckets(spark):
     assert {i: r.class_id for i, r in got.items()} == {i: i - (i > 40 and i % 2) for i, _ in rows}
 
 
+def pairs_left(members, threshold, **more):
+    return {(r.doc_id, b) for r in minhash.untested(members, threshold, **more).collect() for b in r.mates}
+
+
 def test_order_minhash_pairs_of_parts_and_bounds(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
     rows = [(i, " ".join(w if rng.random() < 0.8 else "x" for w in base[i % 6][: rng.choice([16, 18, 20])])) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = docs.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"), F.lit(1).alias("s"), F.lit(5).alias("key"), F.lit(60).alias("size"), (F.col("doc_id") % 20).alias("class"), F.lit(-1).cast("long").alias("lead"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("exact")).join(minhash.bags(docs), "doc_id")
+    known = signed(spark, rows).withColumn("keys", F.array(F.lit(7).cast("long"), F.lit(5).cast("long")))
+    members = known.select("doc_id", "n", "bag", "keys", F.lit(7).cast("long").alias("key"), F.lit(60).alias("size"), F.lit(1200).alias("words"), (F.col("doc_id") % 20).alias("class"), F.lit(-1).cast("long").alias("lead"))
     near = {(a, b) for a, x in rows for b, y in rows if a < b and a % 20 != b % 20 and minhash.alike(x.split(), y.split(), 0.6)}
-    whole = {(r.a, r.b) for r in minhash.untested(members, 0.6).collect()}
+    whole = pairs_left(members, 0.6)
     assert near <= whole and 5 < len(near) and len(whole) < 1000
-    assert {(r.a, r.b) for r in minhash.untested(members, 0.6, block=7).collect()} == whole
+    both = lambda found: {tuple(sorted(p)) for p in found}
+    assert both(pairs_left(members, 0.6, block=7)) == both(pairs_left(members, 0.6, most_words=100)) == whole
+    assert not pairs_left(members.withColumn("key", F.lit(5).cast("long")), 0.6)  # they have met in bucket 7
+    linked = minhash.align_groups(minhash.untested(members, 0.6).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"), 0.6).collect()
+    root = {i: i % 20 for i in range(60)}
+    for a, b in near:
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    own = {i: i % 20 for i in range(60)}
+    for r in linked:
+        low, high = sorted((own[r.a], own[r.b]))
+        own = {i: low if x == high else x for i, x in own.items()}
+    assert own == root
 
 
 def test_order_minhash_links_through_absorbed_members(spark):
@@ -480,11 +500,44 @@ def test_order_minhash_links_through_absorbed_members(spark):
     assert minhash.alike(base, a) and minhash.alike(a, b) and not minhash.alike(base, b)
     texts = {1: base, 2: a, 3: b}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    members = spark.createDataFrame([(0, 5, 3, 1, i, 100, 1 if i < 3 else 3, (0, 15, 30)[i - 1], True) for i in texts], "s int, key long, size long, lead long, doc_id long, n long, class long, d long, exact boolean")
-    pairs = minhash.untested(members.join(minhash.bags(docs), "doc_id"), 0.8)
-    assert [(r.a, r.b) for r in pairs.collect()] == [(2, 3)]
-    got = {(r.a, r.b): (r.d, r.exact, r.link) for r in minhash.verify(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), docs, 0.8).collect()}
-    assert got == {(1, 2): (15, True, True), (1, 3): (30, True, False), (2, 3): (15, True, True)}
+    members = spark.createDataFrame([(5, 3, 300, 1, i, [5], 1 if i < 3 else 3) for i in texts], "key long, size long, words long, lead long, doc_id long, keys array<long>, class long")
+    assert pairs_left(members.join(signed(spark, [(i, " ".join(t)) for i, t in texts.items()]).select("doc_id", "n", "bag"), "doc_id"), 0.8) == {(2, 3)}
+    got = {(r.a, r.b) for r in minhash.verify(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), docs, 0.8).collect()}
+    assert got == {(1, 2), (2, 3)}
+
+
+def test_order_minhash_recall_beside_all_pairs(spark):
+    # Groups of six texts of 100 words with scattered edits; links are what aligning all pairs finds.
+    rng = random.Random(5)
+    rows, edits = [], [4, 8, 12, 16, 18, 19, 20]
+    for i in range(180 * len(edits)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)] if i % 6 == 0 else list(base)
+        base = words if i % 6 == 0 else base
+        for p in rng.sample(range(100), edits[i // 180] if i % 6 else 0):
+            words[p] = f"w{rng.randrange(10**6)}"
+        rows.append([i, " ".join(words)])
+    got = by_id(minhash.near_duplicates(frame(spark, rows)))
+    split = [t.split() for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i - i % 6, i) if edit_distance(split[i], split[j]) <= 20]
+    for k in range(len(edits)):
+        own = [(i, j) for i, j in links if i // 180 == k]
+        assert len(own) >= 150
+        assert sum(got[i].class_id == got[j].class_id for i, j in own) >= 0.95 * len(own)
+    assert all(r.class_id // 6 == i // 6 for i, r in got.items())
+
+
+def test_order_minhash_doc_ids_with_several_texts(spark):
+    a, b = ([f"{x}{i}" for i in range(50)] for x in "ab")
+    rows = [[1, " ".join(a)], [2, " ".join([*a[:-1], "x"])], [3, " ".join(b)], [2, " ".join([*b[:-1], "x"])], [2, " ".join([*b[:-1], "x"])]]
+    assert {r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {1}
+
+
+def test_components_in_many_tasks(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 60] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    one, many = ({r.node: r.component for r in common.components(df, task=t).collect()} for t in (10**6, 40))
+    assert one == many and len(one) > 300
 
 
 @pytest.mark.parametrize("seed", range(2))
