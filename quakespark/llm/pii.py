@@ -1,14 +1,18 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds are email, ip, card (Luhn) and phone. The method adds, where they don't overlap a base span,
-IBANs (mod 97) and phone numbers without a country code; the latter need a context word.
-Null and empty texts have no spans. Positions count code points, ends are exclusive.
+IBANs (mod 97) and phone numbers without a country code; the latter need a context word. Words nearby that speak for a
+kind raise a span's score, those that speak for other numbers (an order, a version) lower it. Spans of a text are
+sorted once, so time follows its length and number of spans. Null and empty texts have no spans.
+Positions count code points, ends are exclusive. Repeated rows come back as often as they stand, an empty table gives an empty result.
+``scan`` reads two columns and returns its own; ``clean`` returns the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +32,16 @@ CONTEXT = {
     "local_phone": "phone tel telephone call mobile fax telefon teléfono téléphone",
 }
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+AGAINST = {
+    "email": "",
+    "ip": "version release chapter section",
+    "card": "order invoice serial tracking isbn",
+    "phone": "order invoice serial tracking isbn",
+    "iban": "serial part",
+    "local_phone": "order invoice serial tracking isbn",
+}
 RAISE, REACH, LEAST = 0.3, 40, 0.5
+_FOR, _AGAINST = ({k: frozenset(words.split()) for k, words in table.items()} for table in (CONTEXT, AGAINST))
 
 _LOCAL_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -71,13 +84,30 @@ def digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+class Free:
+    """Whether a span overlaps none of the given ones."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def __call__(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at < 0 or self.ends[at] <= start
+
+
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Spans of all kinds that pass their kind's check, without regard to context."""
     found = [("email", *x) for x in emails(text)]
     if not re.search("[0-9]", text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         d = digits(m[0])
@@ -86,18 +116,14 @@ def propose(text: str) -> list[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(digits(m[0])) <= 15:
             found.append(("phone", *m.span()))
-    base = sorted((s, e) for _, s, e in found)
-
-    def free(start: int, end: int) -> bool:
-        return not any(s < end and start < e for s, e in base)
-
+    free = Free([(s, e) for _, s, e in found])
     for m in _IBAN.finditer(text):
         iban = m[0].replace(" ", "")
         length = IBAN_LENGTHS.get(iban[:2], 0)
         end = m.start() + next((k for k in range(1, len(m[0]) + 1) if k - m[0][:k].count(" ") == length), 0)
         if length and len(iban) >= length and mod97(iban[:length]) and not text[end : end + 1].isalnum() and free(m.start(), end):
             found.append(("iban", m.start(), end))
-            base.append((m.start(), end))
+    free = Free([(s, e) for _, s, e in found])
     for m in _LOCAL_PHONE.finditer(text):
         if free(*m.span()):
             found.append(("local_phone", *m.span()))
@@ -105,10 +131,10 @@ def propose(text: str) -> list[tuple[str, int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's score, raised if one of its context words stands near the span."""
+    """The kind's score, raised by a word near the span that speaks for the kind, lowered by one that speaks against it."""
     near = text[max(0, start - REACH) : start] + " " + text[end : end + REACH]
     words = {w.lower() for w in _WORD.findall(near)}
-    return min(1.0, SCORES[kind] + RAISE * bool(words & set(CONTEXT[kind].split())))
+    return min(1.0, max(0.0, SCORES[kind] + RAISE * (bool(words & _FOR[kind]) - bool(words & _AGAINST[kind]))))
 
 
 def find(text: str, least: float = LEAST) -> list[tuple[str, int, int, float]]:
@@ -149,11 +175,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The rows of ``documents`` with personal data replaced by its kind, and ``n_chars`` made to agree."""
+    """The rows of ``documents`` with personal data replaced by its kind; ``n_chars``, where it is a column, made to agree."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else redact(t, find(t)) for t in batch.column("text").to_pylist()]
         at = batch.schema.get_field_index("text")
         return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return arrow_map(docs, make, docs.schema).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    out = arrow_map(docs, make, docs.schema)
+    return out if "n_chars" not in docs.columns else out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,6 +144,29 @@ def test_pii_rows(spark):
     assert kept[2].text is None and kept[1].text == got[1].clean_text and kept[1].n_chars == len(kept[1].text)
 
 
+def test_pii_long_digit_runs_and_many_spans(spark):
+    many = " ".join(f"10.0.{i % 250}.{i % 200} tel 555-123-{i % 9000 + 1000}" for i in range(20000))
+    rows = [[1, "0" * 5000 + "1.2.3.4"], [2, "9" * 6000 + ".1.2.3"], [3, "1.2.3." + "7" * 5000], [4, many], [4, many]]
+    for _, t in rows[:3]:
+        sys.set_int_max_str_digits(0)
+        assert [f"{k}:{s}:{e}" for k, s, e, _ in pii.find(t) if k in pii.KINDS[:4]] == brute_pii(t)
+        sys.set_int_max_str_digits(4300)
+    began = time.perf_counter()
+    found = pii.find(many)
+    assert len(found) == 40000 and time.perf_counter() - began < 8
+    got = pii.scan(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_ip) for r in got) == [(1, 1), (2, 0), (3, 0), (4, 20000), (4, 20000)]
+    assert pii.scan(frame(spark, [])).count() == 0 and pii.clean(frame(spark, [])).count() == 0
+
+
+def test_pii_context_speaks_for_and_against(spark):
+    score = lambda t: {k: x for k, _, _, x in pii.find(t)}
+    assert score("call 555-123-4567") == {"local_phone": 0.6} and score("555-123-4567") == score("call, order 555-123-4567") == {}
+    assert score("version 1.2.3.4")["ip"] < score("1.2.3.4")["ip"] < score("host 1.2.3.4")["ip"]
+    only = spark.createDataFrame([("a@b.cc",)], "text string")
+    assert pii.clean(only).columns == ["text"] and pii.clean(only).first().text == "<EMAIL>"
+
+
 # op3
 
 
