@@ -39,7 +39,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.quality_domain(), TARGETS)
-    return rows.select("doc_id", "n_tokens", *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))), "rate", "copies")
+    return rows.select("doc_id", "n_tokens", *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))), "rate", "residual", "copies")
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

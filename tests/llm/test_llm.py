@@ -319,6 +319,47 @@ def test_mixing_meets_targets(spark):
     assert empty.count() == 0
 
 
+def test_mixing_rates_match_projected_gradient(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 200)
+    tokens = rng.integers(1, 300, 200)
+    members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    own = tokens @ p
+    for targets, least in (([0.2, 0.3, 0.5], 0.0), ([0.1, 0.1, 0.8], 0.0), ([0.3, 0.3, 0.4], 0.5)):
+        got = sorted(mixing.fit_rates(members, targets, least).collect())
+        mine, wanted = np.array([r.rate for r in got]), np.array(targets) * own.sum()
+        # Brute force: plain descent with all rows at once, until nothing moves.
+        rate = np.ones(200)
+        for _ in range(20000):
+            rate = np.maximum(least, rate - p @ ((rate * tokens @ p - wanted) / own))
+        left, best = (np.abs(r * tokens @ p - wanted).max() / own.sum() for r in (mine, rate))
+        assert left == pytest.approx(got[0].residual, abs=1e-9) and left <= best + 1e-4
+        # Where nothing has met the bound, the least change that meets the targets is linear in the posteriors.
+        if rate.min() > least and mine.min() > least:
+            gain = np.linalg.solve((p * tokens[:, None]).T @ p, wanted - own)
+            assert np.abs(mine - (1 + p @ gain)).max() < 0.02
+        assert mine.min() >= least
+
+
+def test_mixing_says_what_is_left_of_targets_that_no_rates_meet(spark):
+    members = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 30, [0.5, 0.5]), (2, 30, [0.5, 0.5])], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        got = mixing.fit_rates(members, [0.9, 0.1]).collect()
+    assert got[0].residual == pytest.approx(0.4, abs=0.01) and len(got) == 3
+
+
+def test_mixing_reads_whole_words_and_odd_labels(spark):
+    # Words differ by their beginnings only; labels hold nulls, other domains and repeats; docs have clashing columns.
+    rng = random.Random(3)
+    rows = [[i, " ".join(rng.choice("abc" if i % 2 else "xyz") + "tion" for _ in range(30))] for i in range(200)] + [[5, None], [None, "ation"]]
+    docs = spark.createDataFrame([(*r, 1.0, 2.0, 3, 4, 5) for r in rows], "doc_id long, text string, p double, rate double, copies int, one int, n int")
+    marks = spark.createDataFrame([(i, str(i % 2)) for i in range(100)] + [(None, "1"), (7, None), (8, "other"), (9, "1")], "doc_id long, kind string")
+    out = mixing.mix(docs, marks, F.col("kind"), {"0": 0.5, "1": 0.5}).collect()
+    assert len(out) == len(rows)
+    right = [(r.p[1] > 0.5) == bool(r.doc_id % 2) for r in out if r.doc_id is not None and r.doc_id >= 100]
+    assert all(right) and len(right) == 100
+
+
 # op7
 
 
