@@ -3,7 +3,9 @@
 A sentence's score is the logistic of a bias and its words' weights; a text's score is the chance that
 at least one sentence is toxic. Weights are fitted on a bounded sample of labelled texts (``most_labelled``,
 chosen by a hash of the id), every text is scored. Null and empty texts have no sentence and score 0.
-A doc_id with several labels counts with the largest; repeated rows are scored each on its own.
+A doc_id with several labels counts with the largest; repeated rows are scored each on its own. Without labels every
+sentence has the same small score. An empty table gives an empty result. ``score`` reads doc_id and text only, ``drop`` hands on all
+columns whatever their names.
 """
 
 from __future__ import annotations
@@ -42,15 +44,16 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 @dataclass
 class Model:
-    """Weights of words, found by hash in a table of power-of-two size; other words weigh nothing."""
+    """Weights of words by their sorted hashes; other words weigh nothing."""
 
-    tag: np.ndarray
+    known: np.ndarray
     weight: np.ndarray
     bias: float
 
     def sentence_scores(self, word: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        slot = (word & np.uint64(len(self.tag) - 1)).astype(np.int64)
-        z = self.bias + np.bincount(sentence, np.where(self.tag[slot] == word, self.weight[slot], 0.0), n)
+        at = np.minimum(np.searchsorted(self.known, word), max(0, len(self.known) - 1))
+        weight = np.where(self.known[at] == word, self.weight[at], 0.0) if len(self.known) else np.zeros(len(word))
+        z = self.bias + np.bincount(sentence, weight, n)
         return 1 / (1 + np.exp(-z))
 
 
@@ -87,12 +90,7 @@ def fit(known: np.ndarray, code: np.ndarray, sentence: np.ndarray, text: np.ndar
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:bias] *= 1 - rate * shrink
-    size = 1 << max(12, 4 + int(bias).bit_length())
-    tag, weight = np.zeros(size, np.uint64), np.zeros(size)
-    rank = np.argsort(np.abs(w[:bias]), kind="stable")
-    slot = (known[rank] & np.uint64(size - 1)).astype(np.int64)
-    tag[slot], weight[slot] = known[rank], w[:bias][rank]
-    return Model(tag, weight, float(w[bias]))
+    return Model(known, w[:bias], float(w[bias]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
@@ -144,20 +142,34 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     return fit(known, np.concatenate(code), np.concatenate(sentence), np.concatenate(text).astype(np.int64), np.array([r[1] for r in got], np.int64), np.array([r[0] for r in got], np.int64))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, offending, *keep) for each row; ``offending`` has start, end and score of sentences that score 0.5 or more."""
+def clear(p: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
+    """Each text's score by noisy-or: the chance that not all of its sentences are clear."""
+    return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), rows))
+
+
+def drop(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``most``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        word, sentence, text, _, _ = sentences(batch.column("text"))
+        return batch.filter(pa.array(clear(sent.value.sentence_scores(word, sentence, len(text)), text, batch.num_rows) < most))
+
+    return arrow_map(docs, make, docs.schema)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, offending) for each row; ``offending`` has start, end and score of sentences that score 0.5 or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, sentence, text, start, end = sentences(batch.column("text"))
         p = sent.value.sentence_scores(word, sentence, len(text))
-        clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), batch.num_rows)
         found: list[list] = [[] for _ in range(batch.num_rows)]
         for i in np.flatnonzero(p >= 0.5):
             found[text[i]].append({"start": int(start[i]), "end": int(end[i]), "score": float(p[i])})
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(-np.expm1(clear)), pa.array(found, spans), *(batch.column(c) for c in keep)], ["doc_id", "score", "offending", *keep])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(clear(p, text, batch.num_rows)), pa.array(found, spans)], ["doc_id", "score", "offending"])
 
-    types = dict(docs.dtypes)
-    schema = "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>" + "".join(f", `{c}` {types[c]}" for c in keep)
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c != "text")), make, schema)
+    schema = "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>"
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)

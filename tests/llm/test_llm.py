@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -444,6 +445,36 @@ def test_toxicity_learns_and_locates(spark, sf):
     assert flat.count() == len(rows)
 
 
+def brute_toxicity(model, t):
+    weight = dict(zip(model.known.tolist(), model.weight.tolist(), strict=True))
+    clear = 1.0
+    for sentence in re.split(r"[.!?\n]", t or ""):
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", sentence.encode())
+        if found:
+            data, at = text.utf8(pa.array([w.decode("utf-8", "replace").lower() for w in found]))
+            clear /= 1 + math.exp(model.bias + sum(weight.get(h, 0.0) for h in text.hashes(data, at[:-1], at[1:]).tolist()))
+    return 1 - clear
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [[i, " ".join(rng.choice(["house", "tree", "vile", "Sky.", "Walk!", "end?\nso", "x,y"]) for _ in range(rng.randint(0, 30)))] for i in range(300)]
+    rows += [[7, rows[7][1]], [None, "vile. tree"], [901, None], [902, "vile " * 5000 + "."]]
+    docs = spark.createDataFrame([(*r, 0.5, "o") for r in rows], "doc_id long, text string, score double, offending string")
+    marks = spark.createDataFrame([(i, int("vile" in (t or ""))) for i, t in rows if i is not None] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert len(model.known) >= 1
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for (i, x), (j, y) in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(((i, brute_toxicity(model, t)) for i, t in rows), key=key), strict=True):
+        assert i == j and x == pytest.approx(y, abs=1e-9)
+    left = toxicity.drop(docs, model)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((i or 0, t or "") for i, t in rows if brute_toxicity(model, t) < 0.5)
+    assert toxicity.score(docs.limit(0), model).count() == toxicity.drop(docs.limit(0), model).count() == 0
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.train(docs, marks)).join(marks, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
