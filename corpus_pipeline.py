@@ -22,7 +22,7 @@ TARGETS = {"0": 0.1, "1": 0.9}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, tuple(c for c in docs.columns if c != "doc_id")).where("score < 0.5").select(docs.columns)
+    return toxicity.drop(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
