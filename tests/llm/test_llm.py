@@ -452,7 +452,7 @@ def brute_toxicity(model, t):
         found = re.findall(rb"[A-Za-z\x80-\xff]+", sentence.encode())
         if found:
             data, at = text.utf8(pa.array([w.decode("utf-8", "replace").lower() for w in found]))
-            clear /= 1 + math.exp(model.bias + sum(weight.get(h, 0.0) for h in text.hashes(data, at[:-1], at[1:]).tolist()))
+            clear /= 1 + math.exp(min(700.0, model.bias + sum(weight.get(h, 0.0) for h in text.hashes(data, at[:-1], at[1:]).tolist())))
     return 1 - clear
 
 
