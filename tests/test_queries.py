@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quakespark.plans import geodesy, queries  # noqa: F401 (geodesy registers its queries)
+from quakespark.plans import files, geodesy, queries  # noqa: F401 (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
