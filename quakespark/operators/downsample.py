@@ -52,3 +52,9 @@ def variogram(df: DataFrame, key: str, x: str, y: str, value: str, width: float,
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
     pairs = own.join(other, ["cx", "cy"]).where("k > k2").withColumn("d", d).where(F.col("d") < reach)
     return pairs.groupBy(F.floor(F.col("d") / width).cast("long").alias("bin")).agg((F.avg((F.col("v") - F.col("v2")) ** 2) / 2).alias("semivariance"), (F.avg(F.abs(F.col("v") * F.col("v2"))) / 2).alias("covariance"), F.count("*").alias("n"))
+
+
+def by_distance(df: DataFrame, x: str, y: str, value: str, distance: Column, origin: tuple[float, float], size: float, near: float, levels: int) -> DataFrame:
+    """Statistics of cells that halve each time the distance halves: level ``levels`` up to ``near`` away, 0 from near * 2^levels on."""
+    level = F.greatest(F.lit(0), F.least(F.lit(levels), F.lit(levels) - F.ceil(F.log2(F.greatest(distance / near, F.lit(1.0))))))
+    return cell_statistics(cells(df, x, y, origin, size, level.cast("int")), x, y, value)

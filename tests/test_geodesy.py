@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quakespark.functions import angles, okada
-from quakespark.operators import network, traces
+from quakespark.operators import inversion, network, traces
 
 # Displacements of the half-space paper's check-list at x = 2, y = 3 with depth 4, length 3 and width 2.
 CHECK = {
@@ -56,3 +57,25 @@ def test_dips_out_of_range_are_errors(spark):
 def test_rotation_pole_and_datum(spark):
     assert network.pole([0.0, 0.0, 2.0]) == (0.0, 90.0, 2.0)
     assert angles.datum("wgs-84")[0] == 6378137.0
+
+
+def test_variance_components_find_the_parts_noise(spark):
+    rng = np.random.default_rng(1)
+    g = rng.normal(size=(4000, 3))
+    part = np.arange(4000) % 2
+    d = g @ [1.0, -2.0, 3.0] + rng.normal(size=4000) * np.where(part, 0.1, 2.0)
+    greens = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(4000) for j in range(3)], "row long, col int, value double")
+    data = spark.createDataFrame([(i, float(d[i]), 1.0, int(part[i])) for i in range(4000)], "row long, d double, weight double, part int")
+    m, variance = inversion.variance_components(greens, data, 3)
+    assert variance[0] == pytest.approx(4.0, rel=0.1) and variance[1] == pytest.approx(0.01, rel=0.1)
+    assert list(m) == pytest.approx([1.0, -2.0, 3.0], abs=0.02)
+
+
+def test_bounded_least_squares_and_checkerboard():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=30)
+    m = inversion.bounded(a.T @ a, a.T @ b, [-0.1] * 4, [0.1] * 4)
+    slope = a.T @ (a @ m - b)
+    assert np.abs(m).max() <= 0.1
+    assert all(abs(s) < 1e-9 if abs(x) < 0.1 - 1e-12 else s * x < 1e-9 for s, x in zip(slope, m, strict=True))
+    assert inversion.checkerboard(4, 2, 2, 1.0).tolist() == [1, 1, 0, 0, 1, 1, 0, 0]
