@@ -2,18 +2,20 @@
 
 Every window of ``WINDOW`` words belongs to the smallest hash of its ``ANCHOR``-word grams. Runs of windows with
 one such anchor form a segment, and equal windows fall under equal anchors; so the anchors deal segments out to
-shards, and only anchors that stand in two documents matter. A shard's distinct segments, each with its first
-document, make up one FM-index: the words before each suffix in a wavelet matrix of packed bits with block counts.
-Documents' segments are then streamed through backward search, which gives for each window how far it matches
-(its matching statistic) and, from the interval, the smallest document that holds it. Windows of anchors that
-stand very often are dealt out by the window instead, so that no shard holds a frequent passage's whole context.
+shards, and only anchors that stand in two documents matter. In a shard the distinct segments of an anchor's documents,
+all but the last one, make up one FM-index: the words before each suffix in a wavelet matrix of packed bits with block
+counts, and each suffix's document. The segments of all but the first document are then streamed through backward search, which gives
+for each window how far it matches (its matching statistic); where that is the whole window, the smallest document
+of the interval decides. Windows of anchors that stand very often are dealt out by the window instead, so that no shard holds a frequent
+passage's whole context.
 
 Texts are shuffled once, into buckets of about ``BUCKET`` bytes. A bucket tells each shard its anchors, hears which
 are shared, sends its distinct segments, and hears one bit for each window: whether it starts in a document before
 the bucket's first. What many copies in a bucket share is sent once.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Null texts
-have no words. Rows that share a doc_id are one document for the comparison, and each is cut on its own.
+have no words. Rows that share a doc_id are one document for the comparison, and each is cut on its own; a null doc_id is
+compared with nothing and kept whole. An empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ class WaveletMatrix:
             bit = ((values >> level) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.uint32)
             self.levels.append((level, packed, before, int(len(bit) - bit.sum())))
             values = np.concatenate([values[~bit], values[bit]])
 
@@ -78,15 +80,18 @@ class WaveletMatrix:
         one = np.uint64(1)
         for level, packed, before, zeros in self.levels:
             block = place >> 6
-            ones = before[block] + np.bitwise_count(packed[block] & ((one << (place & 63).astype(np.uint64)) - one)).astype(np.int64)
+            ones = before[block].astype(np.int64) + np.bitwise_count(packed[block] & ((one << (place & 63).astype(np.uint64)) - one)).astype(np.int64)
             place = np.where((symbol >> level) & 1, zeros + ones, place - ones)
         return place
 
 
 class FMIndex:
-    """Backward search over words (0 divides segments); suffixes are in order of their first ``WINDOW`` words."""
+    """Backward search over words (0 divides segments); suffixes are in order of their first ``WINDOW`` words.
 
-    def __init__(self, text: np.ndarray, symbols: int):
+    What is kept is the matrix, the symbols' counts and the suffixes' documents; text and order of the suffixes go.
+    """
+
+    def __init__(self, text: np.ndarray, symbols: int, document: np.ndarray | None = None):
         rank = text.astype(np.int64)
         self.text_length = len(text)
 
@@ -94,13 +99,13 @@ class FMIndex:
             later = np.concatenate([rank[by:], np.full(min(by, len(rank)), -1)]) + 1
             return np.unique(rank * (len(text) + symbols + 2) + later, return_inverse=True)[1]
 
-        for by in (1, 2, 4):
+        for by in (1, 2, 4, WINDOW - 8):
             rank = joined(rank, by)
-        self.rank = joined(rank, WINDOW - 8)
-        self.order = np.argsort(self.rank, kind="stable")
+        order = np.argsort(rank, kind="stable")
+        self.document = None if document is None else document[order]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         bits = max(1, int(symbols - 1).bit_length())
-        self.matrix = WaveletMatrix(text[self.order - 1], bits)
+        self.matrix = WaveletMatrix(text[order - 1], bits)
         self.base = self.matrix.follow(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def search(self, text: np.ndarray, ends: np.ndarray, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,30 +124,43 @@ class FMIndex:
         return matched, low, high
 
 
-def first_documents(segments: list[np.ndarray], documents: np.ndarray) -> list[np.ndarray]:
-    """For each segment's windows, the smallest document of those whose segments hold the window's words."""
-    n = np.array([len(s) for s in segments])
-    flat = np.concatenate(segments)
-    known, code = np.unique(flat, return_inverse=True)
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest document of each interval of whole windows: such intervals are equal or apart."""
+        ends, code = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+        return np.minimum.reduceat(np.append(self.document, self.document[-1]), ends.T.ravel())[::2][code.ravel()] if len(low) else low
+
+
+def _laid_out(segments: list[np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments' codes with a 0 after each, the numbers of words, and where each segment begins."""
+    n = np.array([len(x) for x in segments], np.int64)
     start = np.cumsum(n + 1) - n - 1
     text = np.zeros(int((n + 1).sum()), np.int64)
-    owner = np.repeat(np.arange(len(n)), n)
-    text[np.arange(len(flat)) + owner] = code + 1
-    index = FMIndex(text, len(known) + 1)
-    # Rows of the same first words are a run; its smallest document stands at its first row.
-    of = np.repeat(np.arange(len(n)), n + 1)[index.order]
-    ranks = index.rank[index.order]
-    head = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
-    least = np.minimum.reduceat(documents[of], head)
-    windows = n - WINDOW + 1
-    which = np.repeat(np.arange(len(n)), windows)
+    text[np.arange(len(code)) + np.repeat(np.arange(len(n)), n)] = code
+    return text, n, start
+
+
+def stream(segments: list[np.ndarray], documents: np.ndarray, streamed: list[np.ndarray], block: int = 1 << 16) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each streamed segment's windows: how many words back from the window's end are in the index, and the smallest document that holds the whole window.
+
+    The index is made of ``segments``, each of its document. Windows that it doesn't hold have the largest number as document.
+    """
+    known, code = np.unique(np.concatenate(segments), return_inverse=True)
+    text, n, _ = _laid_out(segments, code + 1)
+    index = FMIndex(text, len(known) + 2, np.repeat(documents, n + 1))
+    flat = np.concatenate(streamed)
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    query, m, start = _laid_out(streamed, np.where(known[at] == flat, at + 1, len(known) + 1))
+    windows = m - WINDOW + 1
+    which = np.repeat(np.arange(len(m)), windows)
     ends = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows) + start[which] + WINDOW
-    out = np.empty(len(which), np.int64)
-    for a in range(0, len(ends), 1 << 16):
-        matched, low, _ = index.search(text, ends[a : a + (1 << 16)])
-        found = least[np.searchsorted(head, low, "right") - 1]
-        out[a : a + (1 << 16)] = np.where(matched >= WINDOW, found, np.iinfo(np.int64).max)
-    return np.split(out, np.cumsum(windows)[:-1])
+    depth, found = np.empty(len(ends), np.int64), np.full(len(ends), np.iinfo(np.int64).max)
+    for a in range(0, len(ends), block):
+        matched, low, high = index.search(query, ends[a : a + block])
+        whole = np.flatnonzero(matched >= WINDOW)
+        depth[a : a + block] = matched
+        found[a + whole] = index.least(low[whole], high[whole])
+    cuts = np.cumsum(windows)[:-1]
+    return list(zip(np.split(depth, cuts), np.split(found, cuts), strict=True))
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -314,11 +332,25 @@ def remove_repeats(docs: DataFrame, cut: bool = False, bucket: int = BUCKET, sha
         length, ids, word = (np.concatenate([p[k] for p in parts]) for k in range(3))
         length = length.astype(np.int64)
         begin = np.cumsum(length) - length
-        _, first, code = np.unique(segment_hashes(word, begin, length), return_index=True, return_inverse=True)
-        least = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(least, code, ids)
-        found = first_documents([word[b : b + n] for b, n in zip(begin[first], length[first], strict=True)], least)
-        early = np.concatenate([found[c] < d for c, d in zip(code, ids, strict=True)])
+        early = [np.zeros(n, bool) for n in length - WINDOW + 1]
+        # Of an anchor's documents, the last can't be earlier than any and the first can't be later.
+        anchor = np.minimum.reduce([grams(word, ANCHOR)[begin + k] for k in range(WINDOW - ANCHOR + 1)])
+        _, group = np.unique(anchor, return_inverse=True)
+        high, low = np.full(group.max() + 1, np.iinfo(np.int64).min), np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.maximum.at(high, group, ids)
+        np.minimum.at(low, group, ids)
+        hash_of = segment_hashes(word, begin, length)
+        inside, later = np.flatnonzero(ids < high[group]), np.flatnonzero(ids > low[group])
+        if len(inside):
+            _, first, code = np.unique(hash_of[inside], return_index=True, return_inverse=True)
+            least = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(least, code, ids[inside])
+            cut = lambda at: [word[b : b + n] for b, n in zip(begin[at], length[at], strict=True)]
+            _, once, code = np.unique(hash_of[later], return_index=True, return_inverse=True)
+            answers = stream(cut(inside[first]), least, cut(later[once]))
+            for at, c in zip(later, code, strict=True):
+                early[at] = answers[c][1] < ids[at]
+        early = np.concatenate(early)
         ends = np.concatenate([[0], np.cumsum(length - WINDOW + 1)])[np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])]
         bits = [np.packbits(early[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         n = len(bits)

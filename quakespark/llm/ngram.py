@@ -5,6 +5,7 @@ tasks as packed arrays, dealt out by the history's hash, those of very frequent
 Each group of arrays becomes one file in the shared folder: sorted 64-bit hashes and their counts. Workers map
 the files; where the shared folder isn't a local path they keep one copy for their lifetime.
 Null and empty texts are one end token. Repeated rows count each. Without training rows every token is unknown.
+An empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .text import LOWER, hashes, mix, slices, utf8, words
 
 START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _TOP = np.uint64(48)
-#: Bytes of text that are counted at once, and pairs of which one packed array is made at most.
-SLICE, FLUSH = 2 << 20, 3_000_000
+#: Bytes of text that are counted at once, pairs of which one packed array is made at most, and tokens behind a shard.
+SLICE, FLUSH, PER_SHARD = 1 << 20, 1_500_000, 1_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +176,6 @@ def discounts(n: list[int]) -> list[float]:
 def train(docs: DataFrame, shards: int | None = None) -> Model:
     """Count ``docs`` (doc_id, text) and write the arrays into a folder of their own in the shared folder."""
     spark = docs.sparkSession
-    shards = min(shards or 2 * shuffle_partitions(spark), 1 << 16)
     base = shared_dir(spark)
     folder = f"{base if '://' in base else 'file://' + os.path.abspath(base)}/ngram-{uuid.uuid4().hex}"
     store, path = fs.FileSystem.from_uri(folder)
@@ -203,6 +203,8 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     real = counted.where(F.col("w") != start)
     n_tokens, n_types = real.agg(F.sum("n"), F.count("*")).first()
     n_tokens = n_tokens or 0
+    # By tokens, so that what one task gathers doesn't grow with the corpus.
+    shards = min(shards or max(2 * shuffle_partitions(spark), -(-n_tokens // PER_SHARD)), 1 << 16)
     # So frequent that a shard would be uneven; fewer than 4 * shards words can be.
     often = counted.where(F.col("n") >= max(1.0, n_tokens / (4 * shards))).select("w").collect()
     hot = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))

@@ -291,6 +291,28 @@ def test_fm_index_counts():
         assert b - a == count(q[e - m : e].tolist())
 
 
+def test_fm_index_streams_segments(spark):
+    rng = random.Random(12)
+    words = np.array([rng.getrandbits(63) for _ in range(4)], np.uint64)
+    for _ in range(20):
+        index = [words[[rng.choice([0, 0, 0, 1, 2]) for _ in range(rng.randint(13, 60))]] for _ in range(rng.randint(1, 12))]
+        streamed = [words[[rng.choice([0, 0, 0, 1, 3]) for _ in range(rng.randint(13, 60))]] for _ in range(8)] + [index[0][:20]]
+        documents = np.array([rng.randrange(5) for _ in index])
+        grams = defaultdict(set)
+        for x, d in zip(index, documents, strict=True):
+            for k in range(14):
+                for i in range(len(x) - k + 1):
+                    grams[tuple(x[i : i + k])].add(d)
+        depths = set()
+        for x, (depth, found) in zip(streamed, fmindex.stream(index, documents, streamed, block=50), strict=True):
+            for i in range(len(x) - 12):
+                whole = tuple(x[i : i + 13])
+                assert depth[i] == max(k for k in range(14) if whole[13 - k :] in grams)
+                assert found[i] == min(grams.get(whole, ()), default=np.iinfo(np.int64).max)
+                depths.add(depth[i])
+        assert 13 in depths or len(depths) > 1
+
+
 # op6
 
 
