@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's tokens are its runs of non-space characters, cut after 16 characters. Each ``k`` consecutive tokens are
-hashed; of each ``window`` consecutive hashes the smallest is kept, the rightmost of equal ones, with its position.
+A text's tokens are its runs of non-space characters, cut after 16 characters. Each ``k`` consecutive tokens have a rolling
+hash; of each ``window`` consecutive hashes the smallest is kept, the rightmost of equal ones, with its position.
 Texts that share ``k + window - 1`` consecutive tokens share a kept hash. A text of fewer tokens has one hash of
-all of them, and null, empty and blank texts have none. Equal texts have equal fingerprints.
+all of them, and null, empty and blank texts have none. Equal texts have equal fingerprints. Repeated rows follow each other
+like any; an empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 K, WINDOW = 5, 6
+#: Base of the rolling hash, and grams that roll on in a run.
+BASE, RUN = 3, 32
 _POSITION = (1 << 31) - 1
 
 
@@ -21,22 +24,64 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S{1,16}"), F.lit(0))
 
 
+def _modulus(k: int) -> int:
+    """So large that what the hash multiplies stays under 63 bits."""
+    return (1 << (60 - (BASE ** (k - 1)).bit_length())) - 1
+
+
 def gram_hashes(tokens: Column, k: int) -> Column:
-    """For each place, 32 bits of its k-gram's hash, then its position counted down, in one number."""
-    place = F.sequence(F.lit(0), F.greatest(F.size(tokens) - k, F.lit(0)))
-    packed = F.transform(place, lambda i: F.shiftleft(F.xxhash64(F.slice(tokens, i + 1, k)).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(_POSITION) - i.cast("long")))
+    """For each place, 32 bits of its k-gram's rolling hash, then its position counted down, in one number.
+
+    A gram's hash is the sum of its tokens' hashes times powers of ``BASE``, modulo ``_modulus``; the next gram's takes the
+    first token's part out, moves the rest up and adds the new token. Runs of ``RUN`` grams roll on, each from its own first gram.
+    A text of fewer than k tokens has one gram of all of them.
+    """
+    m, first = _modulus(k), BASE ** (k - 1)
+    shift = m.bit_length() - 32
+    hashed = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(m)))
+
+    def rolled(hashes: Column, start: Column) -> Column:
+        whole = F.aggregate(F.slice(hashes, start + 1, k), F.lit(0).cast("long"), lambda h, x: (h * BASE + x) % m)
+        out = F.slice(hashes, start + 1, RUN - 1)
+        new = F.slice(hashes, start + 1 + k, RUN - 1)
+        steps = F.filter(F.zip_with(new, out, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda z: z.x.isNotNull())
+        return F.aggregate(steps, F.array(whole), lambda done, z: F.concat(done, F.array(((F.element_at(done, -1) + m - z.y * first % m) * BASE + z.x) % m)))
+
+    def rolled_all(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - k, F.lit(0)), F.lit(RUN))
+        return F.flatten(F.transform(starts, lambda start: rolled(hashes, start)))
+
+    # A let: the tokens are hashed once.
+    packed = F.element_at(F.transform(F.array(F.struct(hashed.alias("h"))), lambda one: _packed(rolled_all(one.h), shift)), 1)
     return F.when(F.size(tokens) > 0, packed).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _packed(hashes: Column, shift: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, shift), 31).bitwiseOR(F.lit(_POSITION) - i.cast("long")))
+
+
 def minima(packed: Column, window: int) -> Column:
-    """The smallest number of each window, each once: the smallest hash, rightmost of equal ones."""
-    place = F.sequence(F.lit(0), F.greatest(F.size(packed) - window, F.lit(0)))
-    return F.when(F.size(packed) > 0, F.array_distinct(F.transform(place, lambda i: F.array_min(F.slice(packed, i + 1, window))))).otherwise(packed)
+    """The smallest number of each window, each once: the smallest hash, rightmost of equal ones.
+
+    The minimum of a window is that of two that overlap, of half the length or more: each pass lengthens all windows.
+    """
+
+    def longer(least: Column, by: int) -> Column:
+        return F.filter(F.zip_with(least, F.slice(least, by + 1, F.greatest(F.size(least) - by, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.least(a, b))), lambda x: x.isNotNull())
+
+    def running(least: Column, width: int) -> Column:
+        if width >= window:
+            return least
+        by = min(width, window - width)
+        return F.element_at(F.transform(F.array(F.struct(least.alias("v"))), lambda one: running(longer(one.v, by), width + by)), 1)
+
+    return F.when(F.size(packed) > window, F.array_distinct(running(packed, 1))).when(F.size(packed) > 0, F.array(F.array_min(packed))).otherwise(packed)
 
 
 def add_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """Add column ``name``: kept hashes with positions, packed."""
-    return df.withColumn(name, tokens(F.coalesce(F.col(text), F.lit("")))).withColumn(name, gram_hashes(F.col(name), k)).withColumn(name, minima(F.col(name), window))
+    made = df.withColumn("_tokens", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn(name, gram_hashes(F.col("_tokens"), k))
+    return made.withColumn(name, minima(F.col(name), window)).drop("_tokens")
 
 
 def hash_set(packed: Column) -> Column:

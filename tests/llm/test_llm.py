@@ -176,10 +176,12 @@ def test_winnowing_minima_and_edits(spark):
     got = by_id(winnowing.compare_edits(frame(spark, rows)))
     rows = sorted((i, t or "") for i, t in rows)
     cut = [re.findall(r"[^ \t\n\x0b\f\r]{1,16}", t) for _, t in rows]
-    flat = frame(spark, rows).select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.size(winnowing.tokens(F.col("text"))) - 5, F.lit(0)))).alias("i"), winnowing.tokens(F.col("text")).alias("t"))
-    hashed = defaultdict(dict)
-    for r in flat.select("doc_id", "i", F.xxhash64(F.slice("t", F.col("i") + 1, 5)).alias("h")).collect():
-        hashed[r.doc_id][r.i] = r.h & 0xFFFFFFFF
+    one = {t: h for t, h in spark.createDataFrame([(x,) for x in {x for c in cut for x in c}], "t string").select("t", F.xxhash64("t")).collect()}
+    m = winnowing._modulus(5)
+    hashed = {}
+    for (i, _), c in zip(rows, cut, strict=True):
+        grams = [c[j : j + 5] for j in range(max(1, len(c) - 4))]
+        hashed[i] = {j: (sum(one[x] % m * 3 ** (len(g) - 1 - p) for p, x in enumerate(g)) % m) >> (m.bit_length() - 32) for j, g in enumerate(grams)}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
