@@ -1,12 +1,14 @@
 """Chat formatting of reply trees.
 
-Self-joins that double their reach enumerate each leaf's path from the root, branches are ranked by the sum of
-their messages' scores (ties by the smaller leaf), and each chosen path becomes one formatted conversation.
+Self-joins that double their reach find each leaf's root, length and sum of scores; branches are ranked by the sum of
+their messages' scores (ties by the smaller leaf), the same joins read downwards enumerate the nodes of the chosen ones, and
+each chosen path becomes one formatted conversation.
 
 Template: each turn is ``<s>[role] text</s>``. Inside roles and texts a backslash becomes ``\\e``, ``<`` becomes
 ``\\l``, ``[`` becomes ``\\b`` and ``]`` becomes ``\\c``, so no marker can stand in them and the text can be read back.
 Null roles and texts count as empty. Rows of one conversation with the same turn follow by role, then text.
-Rows whose conv_id is null are one conversation, as in SQL's GROUP BY. Messages whose parent is missing are roots. Messages that only reach themselves (cycles) have no root and aren't formatted.
+Rows whose conv_id is null are one conversation, as in SQL's GROUP BY. An empty table gives an empty result; columns besides those
+named are not read, so they can't clash. Messages whose parent is missing are roots. Messages that only reach themselves (cycles) have no root and aren't formatted.
 """
 
 from __future__ import annotations
@@ -47,28 +49,48 @@ def chain(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", place).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """(conv_id, leaf, path, score): the nodes from the root to each leaf. ``tree`` has conv_id, node, parent, score.
+def climb(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (conv_id, leaf, size, score), and for each r the nodes' ancestors 2^r steps up (conv_id, node, up).
 
-    Every join takes each node's next known ancestor's own fragment in front of its own, so rounds follow
-    the logarithm of the depth.
+    Each self-join doubles the reach and adds up sizes and scores, so rounds follow the logarithm of the depth and no row holds a path.
     """
     links = checkpoint(tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
     nodes = links.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known"))
     inner = links.where("parent is not null").select("conv_id", "parent").distinct()
-    state = join_null_safe(links, nodes, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score")
-    open_before = None
+    state = join_null_safe(links, nodes, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("size"), "score")
+    levels, open_before = [], None
     while True:
         state = checkpoint(state)
         still = state.where("up is not null").count()
         if not still or still == open_before:
             break
         open_before = still
-        above = state.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
-        moved = join_null_safe(state.where("up is not null"), above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        state = moved.unionByName(state.where("up is null"))  # paths that have reached a root rest
+        levels.append(state.where("up is not null").select("conv_id", "node", "up"))
+        above = state.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("size").alias("longer"), F.col("score").alias("more"))
+        moved = join_null_safe(state.where("up is not null"), above, ["conv_id", "up"]).select("conv_id", "node", F.col("next").alias("up"), (F.col("size") + F.col("longer")).alias("size"), (F.col("score") + F.col("more")).alias("score"))
+        state = moved.unionByName(state.where("up is null"))  # nodes that have reached a root rest
     leaves = join_null_safe(state.where("up is null"), inner.withColumnRenamed("parent", "node"), ["conv_id", "node"], "left_anti")
-    return leaves.select("conv_id", F.col("node").alias("leaf"), "path", "score")
+    return leaves.select("conv_id", F.col("node").alias("leaf"), "size", "score"), levels
+
+
+def steps(branches: DataFrame, levels: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """(conv_id, keys, place, node): the nodes of each branch, from the root on.
+
+    Each level, the highest first, adds to the nodes so far their ancestors that many steps up: every ancestor comes in once.
+    """
+    rows = branches.select("conv_id", *keys, "size", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
+    for r in reversed(range(len(levels))):
+        known = join_null_safe(rows, levels[r], ["conv_id", "node"], "left")
+        both = F.array(F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + (1 << r)).alias("back")))
+        rows = known.select("conv_id", *keys, "size", F.inline(F.filter(both, lambda x: x.node.isNotNull())))
+    return rows.select("conv_id", *keys, (F.col("size") - 1 - F.col("back")).alias("place"), "node")
+
+
+def paths(tree: DataFrame) -> DataFrame:
+    """(conv_id, leaf, path, score): the nodes from the root to each leaf. ``tree`` has conv_id, node, parent, score."""
+    leaves, levels = climb(tree)
+    held = steps(leaves, levels, ("leaf", "score")).groupBy("conv_id", "leaf", "score").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("p"))
+    return held.select("conv_id", "leaf", F.col("p.node").alias("path"), "score")
 
 
 def best(branches: DataFrame, most: int = 1) -> DataFrame:
@@ -78,12 +100,11 @@ def best(branches: DataFrame, most: int = 1) -> DataFrame:
 
 
 def render(tree: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(conv_id, branch, formatted, loss_spans): one text for each chosen branch, and where its assistant texts stand.
+    """(conv_id, branch, formatted, loss_spans): one text for each branch of ``chosen`` (conv_id, branch, place, node), and where its assistant texts stand.
 
     ``loss_spans`` holds start and length in code points of the formatted text.
     """
-    steps = chosen.select("conv_id", "branch", F.posexplode("path").alias("place", "node"))
-    turns = join_null_safe(steps, tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
+    turns = join_null_safe(chosen, tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     head = F.concat(F.lit("<s>["), escape(F.coalesce("role", F.lit(""))), F.lit("] "))
     turn = F.struct("place", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.col("role") == "assistant").alias("loss"))
     rows = turns.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -110,4 +131,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def format_conversations(tree: DataFrame, most: int = 1) -> DataFrame:
     """The ``most`` best branches of each conversation of a reply tree, formatted."""
     tree = checkpoint(tree)
-    return render(tree, best(paths(tree), most))
+    leaves, levels = climb(tree)
+    return render(tree, steps(best(leaves, most), levels, ("branch",)))
