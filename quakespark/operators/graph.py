@@ -34,18 +34,32 @@ def laplacian(pairs: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, component): smallest node that is reached; labels are handed on and then looked up at the label itself."""
-    both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
+    """(node, component): smallest node that is reached.
+
+    Two steps alternate until nothing changes: each node hands its smallest neighbour to its larger neighbours, then to its
+    smaller ones. Edges are dealt by their ends and aggregates keep one smallest neighbour a node, so no
+    component is gathered; the joins are by node, which Spark splits where a node has many edges.
+    """
+
+    def step(now: DataFrame, large: bool) -> DataFrame:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else now
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        hung = both.join(least, "a")
+        if large:
+            hung = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            hung = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return hung.where("a <> b").distinct()
+
+    first, second = F.col(a), F.col(b)
+    now = checkpoint(pairs.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b")).where("a <> b").distinct())
+    seen = None
     for _ in range(most):
-        near = both.join(now.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        new = now.join(near, "a").select("a", F.least("c", "near").alias("c"))
-        new = checkpoint(new.join(new.select(F.col("a").alias("c"), F.col("c").alias("jump")), "c").select("a", F.least("c", "jump").alias("c")))
-        settled = new.join(now.withColumnRenamed("c", "before"), "a").where("c <> before").isEmpty()
-        now = new
-        if settled:
-            return now.toDF("node", "component")
+        now = checkpoint(step(step(now, True), False))
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        seen = state
     raise RuntimeError(f"components didn't settle in {most} rounds")
 
 

@@ -41,7 +41,8 @@ def around_points(points: DataFrame, pixels: DataFrame, point_xy: tuple[str, str
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, doublings: int = 12) -> DataFrame:
     """(left_id, right_id, distance): each left row's nearest right row, ties by the smaller right id.
 
-    The search radius doubles for the rows that have found nothing yet.
+    The search radius doubles for the rows that have found nothing yet; those with nothing within reach * 2^(doublings - 1)
+    come with nulls.
     """
     found, rest, radius = None, left.select(left_id, *left_xy), reach
     for _ in range(doublings):
@@ -50,9 +51,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
         found = best if found is None else found.unionByName(best)
         rest = rest.join(best.select(left_id), left_id, "left_anti")
         if rest.isEmpty():
-            break
+            return found
         radius *= 2
-    return found
+    return found.unionByName(rest.select(left_id), allowMissingColumns=True)
 
 
 def to_trace(df: DataFrame, x: str, y: str, vertices: Sequence[tuple[float, float]]) -> DataFrame:

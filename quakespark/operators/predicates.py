@@ -108,7 +108,7 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", limit: float =
         keep = (F.col("_n") <= 4) | c.between(F.col("_m") - limit * spread, F.col("_s") + limit * spread)
     else:
         raise ValueError(f"unknown method {method!r}")
-    joined = df.join(F.broadcast(stats), list(by)) if by else df.join(F.broadcast(stats))  # one row, or one a group
+    joined = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))  # one row
     return joined.where(keep).select(df.columns)
 
 
