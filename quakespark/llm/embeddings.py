@@ -3,12 +3,13 @@
 Vectors are scaled to length one and turned into the order of their principal components. Tiles of them are
 compared over the leading components first; what the others can still add is bounded by the product of the two
 suffix norms, and rows and columns that can't reach the threshold leave the tile. Tiles whose first components
-lie too far apart are never paired. Pairs within rounding of the threshold are decided on the vectors as given.
+lie too far apart are never paired. Tiles are shuffled as components only; pairs within rounding of the threshold come out as
+such and are decided on the vectors as given, fetched for them alone.
 
 A tile pair reports how many links each vector has and a spanning forest of the links, not the links.
 Equal vectors are one row until the end. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths don't link. Repeated vec_ids are separate vectors
-of one node. Empty tables give empty results.
+of one node. Empty tables give empty results. Only vec_id and embedding are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components
 
-#: Vectors in a tile, and leading components after which a tile is looked through again.
-TILE, STEPS, STRIP = 4096, (16, 32), 512
+#: Bytes of a tile's components, leading components after which a tile is looked through again, and what rounding may take from a product.
+TILE_BYTES, STEPS, STRIP, SLACK = 2 << 20, (16, 32), 512, 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -77,12 +78,9 @@ class Forest:
             self.up = label
 
 
-def compare(x: np.ndarray, y: np.ndarray, threshold: float, exact) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (rows of x, rows of y) of unit vectors in PCA order whose product reaches the threshold.
-
-    ``exact(i, j)`` gives the products of pairs within rounding of the threshold.
-    """
-    slack = 1e-9
+def compare(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (rows of x, rows of y, whether within rounding of it) of unit vectors in PCA order whose product reaches the threshold."""
+    slack = SLACK
     cuts = [0, *(s for s in STEPS if s < x.shape[1]), x.shape[1]]
     rest = lambda m, c: np.sqrt(np.maximum(0, (m[:, c:] ** 2).sum(1)))
     x_rest, y_rest = [rest(x, c) for c in cuts], [rest(y, c) for c in cuts]
@@ -104,16 +102,10 @@ def compare(x: np.ndarray, y: np.ndarray, threshold: float, exact) -> Iterator[t
         if k + 2 < len(cuts):
             continue
         i, j = np.nonzero(product >= threshold - slack)
-        close = np.flatnonzero(product[i, j] < threshold + slack)
-        i_, j_ = rows[i], cols[j]
-        if len(close):
-            keep = np.ones(len(i), bool)
-            keep[close] = exact(i_[close], j_[close]) >= threshold
-            i_, j_ = i_[keep], j_[keep]
-        yield i_, j_
+        yield rows[i], cols[j], product[i, j] < threshold + slack
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -126,8 +118,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE
     counts, edges = None, None
     for (size,) in sorted(kinds.select("size").distinct().collect()):
         units = kinds.where(F.col("size") == size).withColumn("u", F.transform("e", lambda x: x / F.col("norm")))
-        part = checkpoint(_compare_all(units, size, threshold, tile))
-        own_counts, own_edges = part.where("b is null").select("a", "n"), part.where("b is not null").select("a", "b")
+        part = checkpoint(_compare_all(units, size, threshold, tile or max(64, TILE_BYTES // (8 * size))))
+        close = part.where("b is not null and n is not null").select("a", "b")
+        vector = [units.select(F.col("id").alias(c), F.col("u").alias(f"u{c}"), F.col("copies").alias(f"n{c}")) for c in "ab"]
+        product = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        sure = checkpoint(close.join(vector[0], "a").join(vector[1], "b").where(product >= threshold).select("a", "b", "na", "nb"))
+        own_counts = part.where("b is null").select("a", "n").unionByName(sure.select("a", F.col("nb").alias("n"))).unionByName(sure.select(F.col("b").alias("a"), F.col("na").alias("n")))
+        own_edges = part.where("b is not null and n is null").select("a", "b").unionByName(sure.select("a", "b"))
         counts = own_counts if counts is None else counts.unionByName(own_counts)
         edges = own_edges if edges is None else edges.unionByName(own_edges)
     ids = rows.select("vec_id")
@@ -143,7 +140,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE
 
 
 def _compare_all(units: DataFrame, size: int, threshold: float, tile: int) -> DataFrame:
-    """Rows (a, b null, n): links of a counted with copies; rows (a, b, n null): links that connect what is linked."""
+    """Rows (a, b null, n): links of a counted with copies; rows (a, b, n null): links that connect what is linked;
+    rows (a, b, 0): pairs within rounding of the threshold."""
     spark = units.sparkSession
     axes = principal_axes(units, size)
     shared = spark.sparkContext.broadcast(axes)
@@ -163,30 +161,34 @@ def _compare_all(units: DataFrame, size: int, threshold: float, tile: int) -> Da
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         pc = (_matrix(t.column("u")) @ shared.value).tobytes()
-        return pa.table({"tile": [key[0].as_py()], "near": [t.column("near")[0].as_py()], "ids": [t.column("id").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "pc": [pc], "given": [_matrix(t.column("u")).tobytes()]}, schema=pa.schema([("tile", pa.int64()), ("near", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary()), ("copies", pa.binary()), ("pc", pa.binary()), ("given", pa.binary())]))
+        return pa.table({"tile": [key[0].as_py()], "near": [t.column("near")[0].as_py()], "ids": [t.column("id").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "pc": [pc]}, schema=pa.schema([("tile", pa.int64()), ("near", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary()), ("copies", pa.binary()), ("pc", pa.binary())]))
 
-    packed = checkpoint(placed.select("tile", "near", "id", "copies", "u").groupBy("tile").applyInArrow(pack, "tile long, near array<array<long>>, ids binary, copies binary, pc binary, given binary"))
+    packed = checkpoint(placed.select("tile", "near", "id", "copies", "u").groupBy("tile").applyInArrow(pack, "tile long, near array<array<long>>, ids binary, copies binary, pc binary"))
     others = F.flatten(F.transform("near", lambda r: F.sequence(r[0], r[1])))
-    pairs = packed.select("tile", F.explode(others).alias("other"), "ids", "copies", "pc", "given").select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ids", "copies", "pc", "given")
+    pairs = packed.select("tile", F.explode(others).alias("other"), "ids", "copies", "pc").select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ids", "copies", "pc")
 
     def match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("tile")
-        ids, copies, pc, given = ([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ids", np.int64), ("copies", np.int64), ("pc", np.float64), ("given", np.float64)))
+        ids, copies, pc = ([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ids", np.int64), ("copies", np.int64), ("pc", np.float64)))
         own = key[0].as_py() == key[1].as_py()
-        pc, given = [p.reshape(-1, size) for p in pc], [g.reshape(-1, size) for g in given]
+        pc = [p.reshape(-1, size) for p in pc]
         a, b = 0, 0 if own else 1
         everyone = ids[0] if own else np.concatenate(ids)
         shift = 0 if own else len(ids[0])
         weight = copies[0] if own else np.concatenate(copies)
         links, forest = np.zeros(len(everyone), np.int64), Forest(len(everyone))
-        for i, j in compare(pc[a], pc[b], threshold, lambda i, j: (given[a][i] * given[b][j]).sum(1)):
+        doubtful = [np.zeros((2, 0), np.int64)]
+        for i, j, close in compare(pc[a], pc[b], threshold):
             if own:
-                i, j = i[i < j], j[i < j]
+                i, j, close = i[i < j], j[i < j], close[i < j]
             j = j + shift
+            doubtful.append(np.stack([everyone[i[close]], everyone[j[close]]]))
+            i, j = i[~close], j[~close]
             links += np.bincount(i, weight[j], len(links)).astype(np.int64) + np.bincount(j, weight[i], len(links)).astype(np.int64)
             forest.add(i, j)
         hit, far = np.flatnonzero(links), np.flatnonzero(forest.up != np.arange(len(everyone)))
         none = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"a": pa.concat_arrays([pa.array(everyone[hit]), pa.array(everyone[far])]), "b": pa.concat_arrays([none(len(hit)), pa.array(everyone[forest.up[far]])]), "n": pa.concat_arrays([pa.array(links[hit]), none(len(far))])})
+        one, two = np.concatenate(doubtful, axis=1)
+        return pa.table({"a": pa.concat_arrays([pa.array(everyone[hit]), pa.array(everyone[far]), pa.array(one)]), "b": pa.concat_arrays([none(len(hit)), pa.array(everyone[forest.up[far]]), pa.array(two)]), "n": pa.concat_arrays([pa.array(links[hit]), none(len(far)), pa.array(np.zeros(len(one), np.int64))])})
 
     return pairs.groupBy("low", "high").applyInArrow(match, "a long, b long, n long")

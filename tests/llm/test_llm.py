@@ -99,6 +99,12 @@ def test_embeddings_match_brute_force(spark):
         assert all(x[2] == (i == x[1]) for i, x in got.items())
 
 
+def test_embeddings_within_rounding_of_the_threshold(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [3.0, 4.0]), (4, [3.0 - 2e-10, 4.0]), (5, [-1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.6).collect()}
+    assert got == {1: (2, 1), 2: (3, 1), 3: (3, 1), 4: (2, 1), 5: (0, 5)}
+
+
 def test_embeddings_of_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].kept
