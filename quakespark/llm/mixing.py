@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .common import checkpoint
 #: Labelled documents that the classifier is fitted on at most, buckets of words, and values of E that are tried.
 MOST_LABELLED, BUCKETS, HELD, EVIDENCE = 5000, 16384, 5, (5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 320.0, 1e9)
 #: Gradient steps at most, the relative residual that ends them, and steps that must bring a gain.
-STEPS, CLOSE, PATIENCE, GAIN = 240, 1e-4, 12, 1e-2
+STEPS, CLOSE, PATIENCE, GAIN = 80, 1e-4, 12, 1e-2
 
 
 def _words(text: Column) -> Column:
@@ -88,13 +89,24 @@ def totals(rows: DataFrame, n: int, rate: str = "rate") -> list[float]:
     return [x or 0.0 for x in got]
 
 
+def _products(rows: DataFrame, n: int) -> np.ndarray:
+    """Sums over documents of tokens times the posteriors of two domains."""
+    pairs = [(k, j) for k in range(n) for j in range(k, n)]
+    p = [F.element_at("p", k + 1) for k in range(n)]
+    got = rows.agg(*(F.sum(F.col("n_tokens") * p[k] * p[j]) for k, j in pairs)).first()
+    out = np.zeros((n, n))
+    for (k, j), x in zip(pairs, got, strict=True):
+        out[k, j] = out[j, k] = x or 0.0
+    return out
+
+
 def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, grow: bool = False) -> DataFrame:
     """Add ``rate`` and ``residual`` to (doc_id, n_tokens, p).
 
     The wanted totals are the target shares of all tokens, or, with ``grow``, of the smallest total at which no
-    domain has to shrink. A step moves each rate against the sum of its posteriors times the domains' residuals,
-    scaled by the domains' own totals, under which step length 1 can't overshoot; then rates below ``least`` are
-    set to it, and the next step starts somewhat further along the way (Nesterov's momentum, dropped where the squares grew). Steps
+    domain has to shrink. A step moves each rate against the sum of its posteriors times the domains' residuals, which are
+    multiplied by the inverse of the domains' sums of products: under that metric step length 1 can't overshoot, and one step is enough
+    where no rate meets its bound. Then rates below ``least`` are set to it, and the next step starts somewhat further along the way (Nesterov's momentum, dropped where the squares grew). Steps
     end when all totals are within ``CLOSE`` of what is wanted, or when ``PATIENCE`` steps no longer bring the squares down by a
     share of ``GAIN``, as with targets that no rates meet. ``residual`` is the largest miss that is left, as a share of all wanted tokens;
     if it is above ``CLOSE`` there is a warning as well.
@@ -106,13 +118,14 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, grow
     whole = max((o / s for o, s in zip(own, share, strict=True) if s > 0), default=0.0) if grow else sum(own)
     wanted = [whole * s for s in share]
     floor = 1e-9 * max(whole, 1.0)
+    metric = np.linalg.pinv(_products(rows, n), rcond=1e-9, hermitian=True)
     now, ahead, weight, squares = own, own, 1.0, []
     for step in range(STEPS + 1):
         residual = max(abs(a - b) for a, b in zip(now, wanted, strict=True)) / max(whole, 1.0)
         squares.append(sum((a - b) ** 2 / max(o, floor) for a, b, o in zip(now, wanted, own, strict=True)))
         if residual <= CLOSE or step == STEPS or step >= PATIENCE and squares[-1] > (1 - GAIN) * min(squares[:-PATIENCE]):
             break
-        off = [(a - b) / max(o, floor) for a, b, o in zip(ahead, wanted, own, strict=True)]
+        off = metric @ (np.array(ahead) - np.array(wanted))
         move = sum((F.element_at("p", k + 1) * float(off[k]) for k in range(n)), F.lit(0.0))
         rows = rows.withColumns({"rate": F.greatest(F.lit(float(least)), F.col("ahead") - move), "before": F.col("rate")})
         before, now = now, totals(rows, n)
