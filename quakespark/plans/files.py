@@ -230,7 +230,7 @@ def file_surface(spark, d):
     return rounded(rows, "x1", "y2", "z3", keys=("v1",))
 
 
-@query("SELECT n_name AS event, strftime(make_date(2000 + n_regionkey, 3, n_nationkey + 1), '%Y-%m-%d') AS day, round(n_nationkey * 2e0, 6) AS latitude, round(-n_nationkey * 3e0, 6) + 0.0 AS longitude, round(n_regionkey + 0.5e0, 6) AS depth, round(n_nationkey * 1e24, 6) AS mrr FROM nation")
+@query("SELECT n_name AS event, strftime(make_date(2000 + n_regionkey, 3, n_nationkey + 1), '%Y-%m-%d') AS day, round(n_nationkey * 2e0, 6) AS latitude, round(-n_nationkey * 3e0, 6) + 0.0 AS longitude, round(n_regionkey + 0.5e0, 6) AS depth, round(n_nationkey * 1e24 / 1e24, 6) AS mrr FROM nation")
 def file_moment_tensors(spark, d):
     path = place(spark, "tensors")
     n, k = F.col("n_nationkey"), F.col("n_regionkey")
@@ -239,7 +239,7 @@ def file_moment_tensors(spark, d):
     names = ("time shift", "half duration")
     lines = [head, pair("event name", F.col("n_name")), *(pair(x, F.lit(1.5)) for x in names), pair("latitude", n * 2.0), pair("longitude", n * -3.0), pair("depth", k + 0.5), pair("Mrr", n * 1e24), *(pair(x, F.lit(1e23)) for x in ("Mtt", "Mpp", "Mrt", "Mrp", "Mtp"))]
     table(spark, d, "nation").select(F.concat_ws("\n", *lines).alias("value")).write.text(path)
-    rows = formats.moment_tensors(spark, path).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    rows = formats.moment_tensors(spark, path).withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "mrr": F.col("mrr") / 1e24})
     return rounded(rows, "latitude", "longitude", "depth", "mrr", keys=("event", "day"))
 
 

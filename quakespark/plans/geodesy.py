@@ -383,9 +383,9 @@ def trace_reversed(spark, d):
     return traces.reversed_trace(_traces(spark, d), ["c"], "seq").select("c", "id", "seq")
 
 
-@query(f"WITH {TRACE}, n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM t WINDOW w AS (PARTITION BY c ORDER BY seq)) SELECT c, 4.55e0 AS x, round(y + (4.55e0 - x) / (x2 - x) * (y2 - y), 6) AS y FROM n WHERE (x < 4.55e0 AND x2 > 4.55e0) OR (x > 4.55e0 AND x2 < 4.55e0)")
+@query(f"WITH {TRACE.replace('o_totalprice / 10000', 'sqrt(o_totalprice / 10000)')}, n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM t WINDOW w AS (PARTITION BY c ORDER BY seq)) SELECT c, 4.55e0 AS x, round(y + (4.55e0 - x) / (x2 - x) * (y2 - y), 6) AS y FROM n WHERE (x < 4.55e0 AND x2 > 4.55e0) OR (x > 4.55e0 AND x2 < 4.55e0)")
 def trace_crossings(spark, d):
-    return traces.crossings(_traces(spark, d), ["c"], "seq", "x", "y", 4.55).select("c", "x", F.round("y", 6).alias("y"))
+    return traces.crossings(_traces(spark, d).withColumn("y", F.sqrt("y")), ["c"], "seq", "x", "y", 4.55).select("c", "x", F.round("y", 6).alias("y"))
 
 
 @query(f"""WITH {TRACE}, n AS (SELECT *, lag(y, 2) OVER w AS a, lag(y) OVER w AS b, lead(y) OVER w AS e, lead(y, 2) OVER w AS f FROM t WINDOW w AS (PARTITION BY c ORDER BY seq))
