@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import finite
 from ..functions.seismo import magnitude
+from .quantiles import quantiles
 
 
 def fit_metrics(df: DataFrame, observed: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +91,10 @@ def depth_layers(df: DataFrame, depth: str, tolerance: float) -> DataFrame:
 def normalize(df: DataFrame, column: str, how: str = "max") -> DataFrame:
     """Divide by the largest or summed absolute value, the Euclidean length, or the 95th percentile; by 0 never."""
     v = F.abs(F.col(column))
-    factor = {"max": F.max(v), "sum": F.sum(v), "l2": F.sqrt(F.sum(v * v)), "p95": F.percentile(v, 0.95)}[how]
+    if how == "p95":
+        factor = F.lit(quantiles(df, v, [0.95])[0])
+    else:
+        factor = {"max": F.max(v), "sum": F.sum(v), "l2": F.sqrt(F.sum(v * v))}[how]
     one = df.agg(F.coalesce(factor, F.lit(0.0)).alias("_f"))
     return df.join(F.broadcast(one)).withColumn(column, F.when(F.col("_f") == 0, F.col(column)).otherwise(F.col(column) / F.col("_f"))).drop("_f")
 
@@ -145,7 +149,8 @@ def spread(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def value_diagnostics(df: DataFrame, column: str, low: float, high: float, central: float = 0.98) -> DataFrame:
     """Finite count, extremes, mean, the central range of percentiles and the share outside [low, high]."""
     v = finite(F.col(column))
-    return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, (1 - central) / 2).alias("low"), F.percentile(v, (1 + central) / 2).alias("high"), F.avg(F.when(v.isNotNull(), F.when(v.between(low, high), 0.0).otherwise(1.0))).alias("clipped"))
+    ends = [F.lit(x).cast("double") for x in quantiles(df, v, [(1 - central) / 2, (1 + central) / 2])]
+    return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.any_value(ends[0]).alias("low"), F.any_value(ends[1]).alias("high"), F.avg(F.when(v.isNotNull(), F.when(v.between(low, high), 0.0).otherwise(1.0))).alias("clipped"))
 
 
 def vertical_average(df: DataFrame, depth: str, *columns: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import is_finite
+from .quantiles import quantiles
 
 
 def _sums(design: Sequence[Column], value: Column, weight: Column) -> list[Column]:
@@ -53,8 +54,8 @@ def huber(df: DataFrame, design: Sequence[Column], value: str, bend: float = 1.3
     now = solve(df, design, value)
     for _ in range(rounds):
         off = F.col(value) - evaluate(design, now)
-        middle = df.agg(F.median(off)).first()[0] or 0.0
-        scale = 1.4826 * (df.agg(F.median(F.abs(off - middle))).first()[0] or 0.0)
+        middle = quantiles(df, off, [0.5])[0] or 0.0
+        scale = 1.4826 * (quantiles(df, F.abs(off - middle), [0.5])[0] or 0.0)
         if scale == 0:
             break
         weight = F.least(F.lit(1.0), bend * scale / F.greatest(F.abs(off), F.lit(1e-300)))

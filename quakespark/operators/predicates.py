@@ -115,3 +115,8 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", limit: float =
 def depth_window(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Patches with a depth in [low, high]."""
     return df.where(F.col(column).between(low, high))
+
+
+def drop_vertical(df: DataFrame, up: str) -> DataFrame:
+    """Pixels whose look vector isn't straight up; a null look goes too."""
+    return df.where(F.col(up) != 1.0)

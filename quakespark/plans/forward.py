@@ -17,6 +17,19 @@ def mogi(x: Column, y: Column, x0: Column | float, y0: Column | float, depth: Co
     return c * dx, c * dy, c * d
 
 
+def volume_of_pressure(pressure: Column, radius: Column, shear_modulus: float) -> Column:
+    """Volume change of a spherical cavity much smaller than its depth, under a change of pressure."""
+    return 0.75 * _sphere(radius) * pressure / shear_modulus
+
+
+def pressure_of_volume(volume: Column, radius: Column, shear_modulus: float) -> Column:
+    return volume * shear_modulus / (0.75 * _sphere(radius))
+
+
+def _sphere(radius: Column) -> Column:
+    return 4 / 3 * math.pi * F.pow(radius, F.lit(3.0))
+
+
 def predict(greens: DataFrame, model: DataFrame, correction: DataFrame | None = None) -> DataFrame:
     """(row, predicted): sum over parameters of value times the parameter; rows of (row, predicted) may be added."""
     out = greens.join(model, "col").groupBy("row").agg(F.sum(F.col("value") * F.col("m")).alias("predicted"))
