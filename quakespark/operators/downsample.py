@@ -23,8 +23,10 @@ def quadtree(df: DataFrame, x: str, y: str, value: str, origin: tuple[float, flo
 
     The deviations of all levels come from one pass: the finest cells' sums, added up level by level. A cell
     is split while it is above the threshold; what reaches the last level stays. Cells of under ``least`` pixels go.
+    Squares are of differences from the mean of all values, so that large means don't swallow them.
     """
-    v = F.col(value)
+    shift = float(df.agg(F.avg(value)).first()[0] or 0.0)
+    v = F.col(value).cast("double") - shift
     fine = cells(df, x, y, origin, size, levels).groupBy("ix", "iy").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.sum(x).alias("sx"), F.sum(y).alias("sy"))
     every = fine.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "*")
     up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels) - F.col("level"))).cast("long")
@@ -37,20 +39,20 @@ def quadtree(df: DataFrame, x: str, y: str, value: str, origin: tuple[float, flo
     lift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level") - F.col("up"))).cast("long")
     marked = above.withColumns({"ux": lift("ix"), "uy": lift("iy")}).join(stats.select(F.col("level").alias("up"), F.col("ix").alias("ux"), F.col("iy").alias("uy"), F.col("split").alias("open")), ["up", "ux", "uy"])
     kept = marked.groupBy("level", "ix", "iy").agg(F.sum(F.col("open").cast("long")).alias("opened"), *(F.first(c).alias(c) for c in ("n", "s", "sx", "sy", "error"))).where((F.col("opened") == F.col("level")) & (F.col("n") >= least))
-    return kept.select("level", "ix", "iy", (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), (F.col("s") / F.col("n")).alias("value"), "error", "n")
+    return kept.select("level", "ix", "iy", (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), (F.col("s") / F.col("n") + shift).alias("value"), "error", "n")
 
 
-def variogram(df: DataFrame, key: str, x: str, y: str, value: str, width: float, reach: float) -> DataFrame:
+def variogram(df: DataFrame, key: str, x: str, y: str, value: str, width: float, reach: float, salt: int = 1) -> DataFrame:
     """Semivariance, covariogram (mean absolute product) and pairs by distance bin, of pairs under ``reach`` apart.
 
-    Pairs meet in grid cells as large as the reach. ``key`` orders the two rows of a pair.
+    Pairs meet in grid cells as large as the reach, whose rows ``salt`` spreads over so many tasks. ``key`` orders the two rows of a pair.
     """
     cx, cy = F.floor(F.col(x) / reach).cast("long"), F.floor(F.col(y) / reach).cast("long")
-    own = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).alias("v"), cx.alias("cx"), cy.alias("cy"))
-    around = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    own = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).alias("v"), cx.alias("cx"), cy.alias("cy"), F.pmod(F.xxhash64(key), F.lit(salt)).cast("int").alias("salt"))
+    around = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(s).alias("salt")) for i in (-1, 0, 1) for j in (-1, 0, 1) for s in range(salt)))
     other = own.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), F.inline(around))
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    pairs = own.join(other, ["cx", "cy"]).where("k > k2").withColumn("d", d).where(F.col("d") < reach)
+    pairs = own.join(other, ["cx", "cy", "salt"]).where("k > k2").withColumn("d", d).where(F.col("d") < reach)
     return pairs.groupBy(F.floor(F.col("d") / width).cast("long").alias("bin")).agg((F.avg((F.col("v") - F.col("v2")) ** 2) / 2).alias("semivariance"), (F.avg(F.abs(F.col("v") * F.col("v2"))) / 2).alias("covariance"), F.count("*").alias("n"))
 
 

@@ -63,11 +63,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     raise RuntimeError(f"components didn't settle in {most} rounds")
 
 
-def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, least: int) -> DataFrame:
+def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, least: int, salt: int = 1) -> DataFrame:
     """(key, cluster, core): cluster is the smallest core point's key; border points join their smallest cluster, noise has null."""
     own = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
     other = own.toDF("k2", "x2", "y2")
-    near = checkpoint(range_join(own, other, ("x", "y"), ("x2", "y2"), eps).select("k", "k2"))
+    near = checkpoint(range_join(own, other, ("x", "y"), ("x2", "y2"), eps, salt).select("k", "k2"))
     core = checkpoint(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k"))
     between = near.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2")
     linked = components(between, "k", "k2").select(F.col("node").alias("k"), F.col("component").alias("cluster"))

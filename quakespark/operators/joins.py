@@ -31,14 +31,14 @@ def range_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], righ
     return pairs.withColumn("distance", F.sqrt((lx - rx) ** 2 + (ly - ry) ** 2)).where(F.col("distance") <= radius)
 
 
-def around_points(points: DataFrame, pixels: DataFrame, point_xy: tuple[str, str], pixel_xy: tuple[str, str], radius: float, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+def around_points(points: DataFrame, pixels: DataFrame, point_xy: tuple[str, str], pixel_xy: tuple[str, str], radius: float, by: Sequence[str], values: Sequence[str], salt: int = 1) -> DataFrame:
     """Mean, population deviation and number of each value over the pixels around each point."""
-    pairs = range_join(points, pixels, point_xy, pixel_xy, radius)
+    pairs = range_join(points, pixels, point_xy, pixel_xy, radius, salt)
     aggregates = [f for v in values for f in (F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"))]
     return pairs.groupBy(*by).agg(*aggregates, F.count("*").alias("n"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, doublings: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, doublings: int = 12, salt: int = 1) -> DataFrame:
     """(left_id, right_id, distance): each left row's nearest right row, ties by the smaller right id.
 
     The search radius doubles for the rows that have found nothing yet; those with nothing within reach * 2^(doublings - 1)
@@ -46,7 +46,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     """
     found, rest, radius = None, left.select(left_id, *left_xy), reach
     for _ in range(doublings):
-        pairs = range_join(rest, right.select(right_id, *right_xy), left_xy, right_xy, radius)
+        pairs = range_join(rest, right.select(right_id, *right_xy), left_xy, right_xy, radius, salt)
         best = checkpoint(pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_b")).select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.distance").alias("distance")))
         found = best if found is None else found.unionByName(best)
         rest = rest.join(best.select(left_id), left_id, "left_anti")
@@ -82,13 +82,17 @@ def signed_distance(df: DataFrame, x: str, y: str, a: tuple[float, float], b: tu
     return df.withColumn(name, ((b[0] - a[0]) * (F.col(y) - a[1]) - (b[1] - a[1]) * (F.col(x) - a[0])) / length)
 
 
-def in_cells(points: DataFrame, cells: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """Points joined with the rectangles (x0, x1, y0, y1) that hold them, half open; rectangles are dealt to grid squares of ``size``."""
+def in_cells(points: DataFrame, cells: DataFrame, x: str, y: str, size: float, salt: int = 1) -> DataFrame:
+    """Points joined with the rectangles (x0, x1, y0, y1) that hold them, half open.
+
+    Rectangles are dealt to grid squares of ``size``; ``salt`` spreads a crowded square's points over so many tasks.
+    """
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.greatest(F.floor(F.col(lo) / size), F.ceil(F.col(hi) / size) - 1).cast("long"))
-    dealt = cells.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    dealt = cells.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     cx, cy = _cells(F.col(x), F.col(y), size)
-    joined = points.withColumns({"_cx": cx, "_cy": cy}).join(dealt, ["_cx", "_cy"])
-    return joined.where((F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y1"))).drop("_cx", "_cy")
+    spread = F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int") if salt > 1 else F.lit(0)
+    joined = points.withColumns({"_cx": cx, "_cy": cy, "_salt": spread}).join(dealt, ["_cx", "_cy", "_salt"])
+    return joined.where((F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y1"))).drop("_cx", "_cy", "_salt")
 
 
 def value_at(series: DataFrame, time: str, date, keep: Sequence[str]) -> DataFrame:

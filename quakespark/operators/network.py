@@ -55,6 +55,14 @@ def strain(df: DataFrame, x: str, y: str, east: str, north: str, by: Sequence[st
     return out.withColumns({"dilatation": F.col("dedx") + F.col("dndy"), "shear": (F.col("dedy") + F.col("dndx")) / 2, "rotation": (F.col("dndx") - F.col("dedy")) / 2})
 
 
+
+def principal_strain(df: DataFrame) -> DataFrame:
+    """Add the largest and smallest principal strain, the largest shear and the first's azimuth (degrees from north) to rows of ``strain``."""
+    e, n, s = F.col("dedx"), F.col("dndy"), F.col("shear")
+    most = F.sqrt(((e - n) / 2) ** 2 + s * s)
+    return df.withColumns({"first": (e + n) / 2 + most, "second": (e + n) / 2 - most, "max_shear": most, "azimuth": F.pmod(90 - F.degrees(F.atan2(2 * s, e - n)) / 2, F.lit(180.0))})
+
+
 def rotation_vector(df: DataFrame, lon: str, lat: str, east: str, north: str) -> np.ndarray:
     """Rotation vector (x, y, z, degrees a million years) that fits velocities in mm/yr; only 3 x 3 sums reach the driver."""
     km = geo.EARTH_KM * math.pi / 180

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, matrices, meshes, predicates
+from ..operators import downsample, joins, matrices, meshes, network, predicates
 from . import forward
 from .geodesy import NETWORK, P, named, points, stations
 from .queries import query, r, table
@@ -200,3 +200,29 @@ def profile_crossing(spark, d):
 def pixels_masked_out(spark, d):
     rows = predicates.region(patches(spark, d), predicates.in_boxes(F.col("x"), F.col("y"), [(2.0, 5.0, 1.0, 6.0)]))
     return predicates.drop_vertical(rows, "z").select("k")
+
+
+@query(f"""WITH {NETWORK}, w AS (SELECT *, v + 0.3e0 * x - 0.2e0 * y AS e, 0.5e0 * y - v * x / 9 AS n FROM s WHERE nation < 12),
+m AS (SELECT nation, covar_pop(x, x) * covar_pop(y, y) - pow(covar_pop(x, y), 2) AS det, (covar_pop(x, e) * covar_pop(y, y) - covar_pop(y, e) * covar_pop(x, y)) AS ex, (covar_pop(x, n) * covar_pop(y, y) - covar_pop(y, n) * covar_pop(x, y)) AS nx,
+  (covar_pop(y, e) * covar_pop(x, x) - covar_pop(x, e) * covar_pop(x, y)) AS ey, (covar_pop(y, n) * covar_pop(x, x) - covar_pop(x, n) * covar_pop(x, y)) AS ny FROM w GROUP BY nation HAVING count(*) >= 4),
+g AS (SELECT nation, ex / det AS ex, ny / det AS ny, (ey + nx) / det / 2 AS s FROM m), q AS (SELECT *, sqrt(pow((ex - ny) / 2, 2) + s * s) AS most FROM g)
+SELECT nation, round((ex + ny) / 2 + most, 6) AS first, round((ex + ny) / 2 - most, 6) AS second, round(most, 6) AS max_shear, round((270 - degrees(atan2(2 * s, ex - ny)) / 2) % 180, 4) AS azimuth FROM q""")
+def network_principal_strain(spark, d):
+    x, y, v = F.col("x"), F.col("y"), F.col("v")
+    rows = stations(spark, d).where("nation < 12").withColumns({"e": v + 0.3 * x - 0.2 * y, "n": 0.5 * y - v * x / 9})
+    got = network.principal_strain(network.strain(rows, "x", "y", "e", "n", ["nation"]).where("n >= 4"))
+    return got.select("nation", r("first", 6), r("second", 6), r("max_shear", 6), r("azimuth"))
+
+
+@query(f"""WITH {PATCH}, b AS (SELECT i::INTEGER AS bin, i * 2e0 AS lo, i * 2e0 + 2 AS hi FROM range(5) v(i)), s AS (SELECT bin, sum(slip) AS potency FROM b JOIN t ON x BETWEEN lo AND hi GROUP BY bin)
+SELECT bin, round(potency, 4) AS potency, round(sum(potency) OVER (ORDER BY bin), 4) AS running FROM s""")
+def potency_along_profile(spark, d):
+    return network.potency_by_depth(patches(spark, d), "x", "slip", 0.0, 10.0, 5).select(F.col("bin").cast("int").alias("bin"), r("potency"), r("running"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CAST(c_nationkey % 3 AS DOUBLE) AS x, c_acctbal / 5000 AS y, c_acctbal / 1000 AS v FROM customer),
+p AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.v AS v, b.v AS w FROM c a JOIN c b ON a.k > b.k)
+SELECT CAST(floor(d / 0.5) AS BIGINT) AS bin, round(avg((v - w) ** 2) / 2, 6) AS semivariance, round(avg(abs(v * w)) / 2, 6) AS covariance, count(*) AS n FROM p WHERE d < 2 GROUP BY 1""")
+def variogram_crowded(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 3).cast("double").alias("x"), (F.col("c_acctbal") / 5000).alias("y"), (F.col("c_acctbal") / 1000).alias("v"))
+    return downsample.variogram(c, "k", "x", "y", "v", 0.5, 2.0, salt=4).select("bin", r("semivariance", 6), r("covariance", 6), "n")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.functions import geo, seismo
-from quakespark.operators import fits, graph
+from quakespark.operators import downsample, fits, graph, joins
 from quakespark.plans import forward
 from quakespark.sources import text
 
@@ -92,3 +92,16 @@ def test_readers(spark, tmp_path):
     assert text.catalog(spark, str(tmp_path / "c.txt")).first().mag == 4.5
     (tmp_path / "g.txt").write_text("> one\n1 2\n3 4\n> two\n5 6 7\n")
     assert [(r.segment, r.seq, r.x, r.z) for r in text.segments(spark, str(tmp_path / "g.txt")).orderBy("segment", "seq").collect()] == [(1, 1, 1.0, None), (1, 2, 3.0, None), (2, 1, 5.0, 7.0)]
+
+
+def test_salted_cells_lose_nothing(spark):
+    points = spark.createDataFrame([(k, (k * 7 % 10) / 10, (k * 3 % 10) / 10) for k in range(200)], "k int, x double, y double")
+    cells = spark.createDataFrame([(1, 0.0, 0.5, 0.0, 1.0), (2, 0.5, 2.5, 0.0, 0.5), (3, 5.0, 6.0, 5.0, 6.0)], "c int, x0 double, x1 double, y0 double, y1 double")
+    plain, salted = (sorted(map(tuple, joins.in_cells(points, cells, "x", "y", 1.0, s).select("k", "c").collect())) for s in (1, 5))
+    assert plain == salted and len(plain) > 100
+
+
+def test_quadtree_of_large_mean(spark):
+    rows = spark.createDataFrame([(float(x), float(y), 1e9 + (x < 8) * 0.01) for x in range(16) for y in range(16)], "x double, y double, v double")
+    got = downsample.quadtree(rows, "x", "y", "v", (0.0, 0.0), 16.0, 0.004, 3)
+    assert sorted((r.level, r.n) for r in got.collect()) == [(1, 64)] * 4
