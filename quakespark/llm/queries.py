@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, fmindex, merkle, minhash, mixing, ngram, pii, sql, toxicity, winnowing
+from . import bpe, chat, embeddings, fmindex, merkle, minhash, mixing, ngram, pii, sql, toxicity, trie, winnowing
 from .common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,6 +71,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 OP10_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -91,9 +95,9 @@ FROM sized GROUP BY conv_id
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_embedding_near_dedup, op2_pii, op3_winnowing, op4_byte_bpe, op5_substring_dedup, op6_soft_mixing, op7_kneser_ney, op8_toxicity, op9_order_minhash, op10_chat_format, op12_merkle_manifest)
+    own = (op1_embedding_near_dedup, op2_pii, op3_winnowing, op4_byte_bpe, op5_substring_dedup, op6_soft_mixing, op7_kneser_ney, op8_toxicity, op9_order_minhash, op10_chat_format, op12_merkle_manifest, op13_prefix_trie)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL, "op12_merkle_manifest": sql.merkle()}
+    return {"op10_chat_format": OP10_SQL, "op12_merkle_manifest": sql.merkle(), "op13_prefix_trie": sql.prefix_trie()}

@@ -57,3 +57,31 @@ def merkle(depth: int = 6, crown: int = 4) -> str:
     return "WITH " + ", ".join(parts) + f"""
 SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM {last} JOIN u{crown} USING (whole)
 """
+
+
+def prefix_trie(family: int = 20, share: int = 4) -> str:
+    """All prefixes of the rebuilt conversations, each node's subtree by its members' prefixes."""
+    return rf"""WITH said AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations
+), own AS (
+  SELECT conv_id, list(struct_pack(d := digest, w := words) ORDER BY turn NULLS FIRST, digest) AS turns,
+    CASE WHEN conv_id IS NULL THEN 0 ELSE ({crc32('conv_id::VARCHAR')} % {share})::BIGINT END AS h FROM said GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(f.turns, o.turns[1:0])[1:o.h], o.turns[o.h + 1:]) AS turns
+  FROM own o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % {family}
+), prefixes AS (
+  SELECT conv_id, len(turns) AS n, d, array_to_string(list_transform(turns[1:d], lambda t: t.d), '') AS p, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM prefixes GROUP BY d, p
+), born AS (SELECT d - 1 AS d, left(p, (d - 1) * 64) AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), counted AS (SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM node n LEFT JOIN born b USING (d, p)
+), below AS (
+  SELECT a AS d, left(p, a * 64) AS p, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b USING (d, p) LEFT JOIN node up ON up.d = c.d - 1 AND up.p = left(c.p, greatest(c.d - 1, 0) * 64)
+"""
