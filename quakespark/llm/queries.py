@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, fmindex, merkle, minhash, mixing, ngram, pii, sql, toxicity, trie, winnowing
+from . import bpe, chat, embeddings, fmindex, merkle, minhash, mixing, ngram, pii, quality, sql, toxicity, trie, winnowing
 from .common import fold, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,6 +67,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
@@ -95,7 +102,7 @@ FROM sized GROUP BY conv_id
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_embedding_near_dedup, op2_pii, op3_winnowing, op4_byte_bpe, op5_substring_dedup, op6_soft_mixing, op7_kneser_ney, op8_toxicity, op9_order_minhash, op10_chat_format, op12_merkle_manifest, op13_prefix_trie)
+    own = (op1_embedding_near_dedup, op2_pii, op3_winnowing, op4_byte_bpe, op5_substring_dedup, op6_soft_mixing, op7_kneser_ney, op8_toxicity, op9_order_minhash, op10_chat_format, op11_quality, op12_merkle_manifest, op13_prefix_trie)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
