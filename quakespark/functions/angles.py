@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .safe import ratio
 
 # Semi-major axis (m) and inverse flattening of reference ellipsoids.
 DATUMS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101), "CLARKE1866": (6378206.4, 294.9786982), "INTERNATIONAL": (6378388.0, 297.0)}
@@ -38,8 +39,9 @@ def rotate(x: Column, y: Column, degrees: Column | float) -> tuple[Column, Colum
 
 
 def normalized(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """The unit vector; null for a vector of length 0."""
     size = F.sqrt(x * x + y * y + z * z)
-    return x / size, y / size, z / size
+    return ratio(x, size), ratio(y, size), ratio(z, size)
 
 
 def unit_from_cartesian(angle: Column) -> tuple[Column, Column]:
@@ -57,7 +59,8 @@ def ahead(x: Column, y: Column, length: Column, heading: Column) -> tuple[Column
 
 
 def downdip_width(top: Column, bottom: Column, dip: Column) -> Column:
-    return (bottom - top) / F.sin(F.radians(dip))
+    """Width of a fault between two depths; null where it is flat."""
+    return ratio(bottom - top, F.sin(F.radians(dip)))
 
 
 def strike_length(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

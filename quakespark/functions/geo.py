@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .safe import ratio
 
 # Mean earth radius (km), and WGS84 semi-major axis (m) and flattening.
 EARTH_KM, WGS84_A, WGS84_F = 6371.0, 6378137.0, 1 / 298.257223563
@@ -168,8 +169,8 @@ def project(e: Column, n: Column, u: Column, le: Column, ln: Column, lu: Column)
 
 
 def los_to_vertical(los: Column, lu: Column) -> Column:
-    """Vertical displacement that would give the line-of-sight value without horizontal motion."""
-    return los / lu
+    """Vertical displacement that would give the line-of-sight value without horizontal motion; null for a horizontal look vector."""
+    return ratio(los, lu)
 
 
 def strike(dx: Column, dy: Column) -> Column:
@@ -212,7 +213,8 @@ def auxiliary_plane(strike_deg: Column, dip_deg: Column, rake_deg: Column) -> tu
     dip2 = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -ad)))
     strike2 = F.atan2(-an, ae)
     along = bn * F.cos(strike2) + be * F.sin(strike2)
-    up = -bd / F.sin(dip2)
+    # along the plane's steepest way up, which has a direction on a flat plane too
+    up = F.cos(dip2) * (bn * F.sin(strike2) - be * F.cos(strike2)) - bd * F.sin(dip2)
     return F.pmod(F.degrees(strike2), F.lit(360.0)), F.degrees(dip2), F.degrees(F.atan2(up, along))
 
 

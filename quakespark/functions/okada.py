@@ -1,6 +1,7 @@
 """Surface displacement of a rectangular dislocation in an elastic half-space, as Column expressions.
 
 Formulas: Y. Okada, Surface deformation due to shear and tensile faults in a half-space, BSSA 75 (1985), 1135-1154.
+At a corner that meets the surface the displacement has no value: null.
 """
 
 from __future__ import annotations
@@ -9,6 +10,11 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .safe import ratio
+
+
+def _log(x: Column) -> Column:
+    return F.when(x > 0, F.log(x))
 
 
 def _corner(xi: Column, eta: Column, q: Column, dip: float, alpha: float) -> dict[str, tuple[Column, Column, Column]]:
@@ -20,21 +26,21 @@ def _corner(xi: Column, eta: Column, q: Column, dip: float, alpha: float) -> dic
     if abs(c) > 1e-6:
         x = F.sqrt(xi * xi + q * q)
         i5 = F.when(F.abs(xi) < 1e-12, 0.0).otherwise(alpha * 2 / c * F.atan((eta * (x + q * c) + x * (r + x) * s) / (xi * (r + x) * c)))
-        i4 = alpha / c * (F.log(r + d) - s * log)
-        i3 = alpha * (y / (c * (r + d)) - log) + s / c * i4
-        i1 = -alpha / c * xi / (r + d) - s / c * i5
+        i4 = alpha / c * (_log(r + d) - s * log)
+        i3 = alpha * (ratio(y, c * (r + d)) - log) + s / c * i4
+        i1 = ratio(-alpha / c * xi, r + d) - s / c * i5
     else:
-        i5 = -alpha * xi * s / (r + d)
-        i4 = -alpha * q / (r + d)
-        i3 = alpha / 2 * (eta / (r + d) + y * q / F.pow(r + d, 2) - log)
-        i1 = -alpha / 2 * xi * q / F.pow(r + d, 2)
+        i5 = ratio(-alpha * xi * s, r + d)
+        i4 = ratio(-alpha * q, r + d)
+        i3 = alpha / 2 * (ratio(eta, r + d) + ratio(y * q, F.pow(r + d, 2)) - log)
+        i1 = ratio(-alpha / 2 * xi * q, F.pow(r + d, 2))
     i2 = -alpha * log - i3
     e = F.when(r + eta > 1e-12, 1 / (r * (r + eta))).otherwise(0.0)
     f = F.when(r + xi > 1e-12, 1 / (r * (r + xi))).otherwise(0.0)
     turn = F.when(F.abs(q) < 1e-12, 0.0).otherwise(F.atan(xi * eta / (q * r)))
     return {
         "strike": (-(xi * q * e + turn + i1 * s), -(y * q * e + q * c * r * e + i2 * s), -(d * q * e + q * s * r * e + i4 * s)),
-        "dip": (-(q / r - i3 * s * c), -(y * q * f + c * turn - i1 * s * c), -(d * q * f + s * turn - i5 * s * c)),
+        "dip": (-(ratio(q, r) - i3 * s * c), -(y * q * f + c * turn - i1 * s * c), -(d * q * f + s * turn - i5 * s * c)),
         "opening": (q * q * e - i3 * s * s, -d * q * f - s * (xi * q * e - turn) - i1 * s * s, y * q * f + c * (xi * q * e - turn) - i5 * s * s),
     }
 

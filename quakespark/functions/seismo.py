@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .safe import ratio
 
 # Intercept and slope of log10(length, width or area) on magnitude, by mechanism, and the magnitudes they hold for.
 SCALING = {
@@ -47,17 +48,17 @@ def scaling(kind: str, magnitude_value: Column, mechanism: str = "ALL") -> Colum
 
 def elastic(young: Column, poisson: Column) -> dict[str, Column]:
     """The other elastic constants of Young's modulus and Poisson's ratio."""
-    shear = young / (2 * (1 + poisson))
-    lame = young * poisson / ((1 + poisson) * (1 - 2 * poisson))
+    shear = ratio(young, 2 * (1 + poisson))
+    lame = ratio(young * poisson, (1 + poisson) * (1 - 2 * poisson))
     return {"shear": shear, "lame": lame, "bulk": lame + 2 * shear / 3, "p_modulus": lame + 2 * shear}
 
 
 def elastic_from_lame(lame: Column, shear: Column) -> dict[str, Column]:
-    return {"young": shear * (3 * lame + 2 * shear) / (lame + shear), "poisson": lame / (2 * (lame + shear)), "bulk": lame + 2 * shear / 3}
+    return {"young": ratio(shear * (3 * lame + 2 * shear), lame + shear), "poisson": ratio(lame, 2 * (lame + shear)), "bulk": lame + 2 * shear / 3}
 
 
 def elastic_from_bulk(bulk: Column, shear: Column) -> dict[str, Column]:
-    return {"young": 9 * bulk * shear / (3 * bulk + shear), "poisson": (3 * bulk - 2 * shear) / (2 * (3 * bulk + shear)), "lame": bulk - 2 * shear / 3}
+    return {"young": ratio(9 * bulk * shear, 3 * bulk + shear), "poisson": ratio(3 * bulk - 2 * shear, 2 * (3 * bulk + shear)), "lame": bulk - 2 * shear / 3}
 
 
 def scalar_moment(m: dict[str, Column]) -> Column:

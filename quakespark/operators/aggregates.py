@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import finite
 from ..functions.seismo import magnitude
 from .quantiles import quantiles
+from ..functions.safe import ratio
 
 
 def fit_metrics(df: DataFrame, observed: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -51,9 +52,9 @@ def b_value_least_squares(df: DataFrame, column: str, width: float, start: float
 
 
 def b_value_likelihood(df: DataFrame, column: str, width: float, by: Sequence[str] = ()) -> DataFrame:
-    """b by maximum likelihood above the smallest magnitude; null below two events."""
+    """b by maximum likelihood above the smallest magnitude; null below two events, or where all are equal and ``width`` is 0."""
     m = F.col(column)
-    return df.groupBy(*by).agg(F.when(F.count(m) >= 2, math.log10(math.e) / (F.avg(m) - (F.min(m) - width / 2))).alias("b"), F.count(m).alias("n"))
+    return df.groupBy(*by).agg(F.when(F.count(m) >= 2, ratio(math.log10(math.e), F.avg(m) - (F.min(m) - width / 2))).alias("b"), F.count(m).alias("n"))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, size: tuple[float, float], compat: tuple[float, float] | None = None) -> DataFrame:
@@ -107,23 +108,23 @@ def moments(df: DataFrame, area_km2: str, slip: str, shear_modulus: float, by: S
 
 
 def centroid(df: DataFrame, weight: str, *columns: str, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted means of the columns."""
-    return df.groupBy(*by).agg(*((F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in columns))
+    """Weighted means of the columns, null where the weights add up to 0."""
+    return df.groupBy(*by).agg(*(ratio(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(c) for c in columns))
 
 
 def stress_drop(df: DataFrame, area_km2: str, slip: str, shear_modulus: float, by: Sequence[str], threshold: float = 0.1, shape: float = 2.44) -> DataFrame:
-    """Moment over area to the power 1.5, of patches that slip at least ``threshold`` of the largest slip."""
+    """Moment over area to the power 1.5, of patches that slip at least ``threshold`` of the largest slip; null without area."""
     top = df.groupBy(*by).agg(F.max(slip).alias("_top"))
     used = df.join(top, list(by)).where(F.col(slip) >= threshold * F.col("_top"))
     out = used.groupBy(*by).agg(F.sum(area_km2).alias("area_km2"), F.sum(F.col(area_km2) * 1e6 * F.col(slip) * shear_modulus).alias("moment"))
-    return out.withColumn("stress_drop", shape * F.col("moment") / F.pow(F.col("area_km2") * 1e6, 1.5))
+    return out.withColumn("stress_drop", ratio(shape * F.col("moment"), F.pow(F.col("area_km2") * 1e6, 1.5)))
 
 
 def counts_by_patch(events: DataFrame, patches: DataFrame, patch: str, area: str | None = None) -> DataFrame:
-    """Events of every patch, zero where none, and by area."""
+    """Events of every patch, zero where none, and by area (null where that is 0)."""
     got = events.groupBy(patch).agg(F.count("*").alias("n"))
     out = patches.join(got, patch, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.withColumn("rate", F.col("n") / F.col(area)) if area else out
+    return out.withColumn("rate", ratio(F.col("n"), F.col(area))) if area else out
 
 
 def trimmed_mean(df: DataFrame, value: str, fraction: float, by: Sequence[str]) -> DataFrame:
@@ -136,7 +137,7 @@ def trimmed_mean(df: DataFrame, value: str, fraction: float, by: Sequence[str])
     counts = counts.withColumns({"_end": F.sum("_c").over(up), "_n": F.sum("_c").over(Window.partitionBy(*by))})
     cut = F.floor(F.col("_n") * fraction)
     used = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_n") - cut) - F.greatest(F.col("_end") - F.col("_c"), cut))
-    return counts.groupBy(*by).agg((F.sum(F.col(value) * used) / F.sum(used)).alias("trimmed_mean"), F.first("_n").alias("n"))
+    return counts.groupBy(*by).agg(ratio(F.sum(F.col(value) * used), F.sum(used)).alias("trimmed_mean"), F.first("_n").alias("n"))
 
 
 def spread(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

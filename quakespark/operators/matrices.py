@@ -36,11 +36,14 @@ def equalized(greens: DataFrame, groups: DataFrame, how: str = "l2") -> DataFram
 
 
 def rotated(strike: Column, dip: Column, strike_slip: Column, dip_slip: Column, azimuth: float) -> tuple[Column, Column]:
-    """Green's functions of slip along an azimuth (degrees) and across it, from those of strike and dip slip on planes of given angles (degrees)."""
-    azimuth %= 360.0
-    s, a = F.tan(F.radians(strike)), F.tan(F.radians(F.lit(azimuth)))
-    turn = F.atan2(s - a, F.cos(F.radians(dip)) * (1 + a * s)) + (F.pi() if 90.0 < azimuth <= 270.0 else F.lit(0.0))
-    return strike_slip * F.cos(turn) + dip_slip * F.sin(turn), strike_slip * F.sin(turn) - dip_slip * F.cos(turn)
+    """Green's functions of slip along an azimuth (degrees) and across it, from those of strike and dip slip on planes of given angles (degrees).
+
+    The slip lies in the plane and its horizontal part points along the azimuth: seen from the strike, whose unit vector is
+    horizontal, against the way up the plane, of which only the cosine of the dip is horizontal.
+    """
+    apart = F.radians(strike - azimuth)
+    rake = F.atan2(F.sin(apart), F.cos(F.radians(dip)) * F.cos(apart))
+    return strike_slip * F.cos(rake) + dip_slip * F.sin(rake), strike_slip * F.sin(rake) - dip_slip * F.cos(rake)
 
 
 def stacked(*tables: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .joins import range_join
 from .shared import checkpoint
+from ..functions.safe import ratio
 
 
 def depth_segments(df: DataFrame, key: str, corners: Sequence[tuple[str, str, str]], depths: Sequence[float]) -> DataFrame:
@@ -20,7 +21,7 @@ def depth_segments(df: DataFrame, key: str, corners: Sequence[tuple[str, str, st
     points = []
     for (xa, ya, za), (xb, yb, zb) in zip(corners, [*corners[1:], corners[0]], strict=True):
         a, b = F.col(za), F.col(zb)
-        t = (F.col("depth") - a) / (b - a)
+        t = ratio(F.col("depth") - a, b - a)
         cut = F.struct((F.col(xa) + t * (F.col(xb) - F.col(xa))).alias("x"), (F.col(ya) + t * (F.col(yb) - F.col(ya))).alias("y"))
         points.append(F.when((a >= F.col("depth")) != (b >= F.col("depth")), cut))
     rows = rows.withColumn("_p", F.array_compact(F.array(*points))).where(F.size("_p") == 2)
@@ -54,7 +55,7 @@ def smoothed(pairs: DataFrame, slips: DataFrame, key: str, slip: str, length: fl
     """(key, slip): slip spread by a Gaussian of the distance; what each patch hands out adds up to its slip."""
     weights = pairs.withColumn("w", F.exp(-0.5 * F.col("distance") * F.col("distance") / length**2))
     whole = weights.groupBy("b").agg(F.sum("w").alias("whole"))
-    given = slips.select(F.col(key).alias("b"), F.col(slip).alias("s")).join(whole, "b").select("b", (F.col("s") / F.col("whole")).alias("s"))
+    given = slips.select(F.col(key).alias("b"), F.col(slip).alias("s")).join(whole, "b").select("b", ratio(F.col("s"), F.col("whole")).alias("s"))
     return weights.join(given, "b").groupBy(F.col("a").alias(key)).agg(F.sum(F.col("w") * F.col("s")).alias(slip))
 
 
@@ -97,7 +98,7 @@ def between_layers(points: DataFrame, layers: DataFrame, by: str, depth: str, va
     above = F.last(layer, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(layer, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"_a": above, "_b": below}).where("_own")
-    share = (F.col(depth) - F.col("_a.d")) / (F.col("_b.d") - F.col("_a.d"))
+    share = ratio(F.col(depth) - F.col("_a.d"), F.col("_b.d") - F.col("_a.d"))
     whole = F.when(F.col("_a.d") == F.col(depth), F.col("_a.v")).otherwise(F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v")))
     return rows.withColumn(value, F.coalesce(whole, F.col("_a.v"), F.col("_b.v"))).select(*points.columns, value)
 
@@ -129,7 +130,7 @@ def cell_gradients(df: DataFrame, x: str, y: str, value: str, origin: tuple[floa
     )
     xx, yy, xy, xv, yv, vv = (F.col(c) for c in ("xx", "yy", "xy", "xv", "yv", "vv"))
     det = xx * yy - xy * xy
-    a, b = (xv * yy - yv * xy) / det, (yv * xx - xv * xy) / det
+    a, b = ratio(xv * yy - yv * xy, det), ratio(yv * xx - xv * xy, det)
     flat = (F.col("parts") < 3) | (det <= 1e-12 * xx * yy)
     left = F.sqrt(F.greatest(F.lit(0.0), vv - a * xv - b * yv))
     return sums.select("ix", "iy", "parts", F.when(flat, 0.0).otherwise(F.abs(a + b) / 2).alias("gradient"), F.when(flat, 0.0).otherwise(left).alias("curvature"))
@@ -160,9 +161,9 @@ def profile_crossing(traces: DataFrame, by: Sequence[str], order: str, x: str, y
     half = (px * px + py * py) ** 0.5 / 2
     side = lambda a, b: px * (F.col(b) - start[1]) - py * (F.col(a) - start[0])
     s0, s1 = side("x0", "y0"), side("x1", "y1")
-    t = s0 / (s0 - s1)
+    t = ratio(s0, s0 - s1)
     cx, cy = F.col("x0") + t * (F.col("x1") - F.col("x0")), F.col("y0") + t * (F.col("y1") - F.col("y0"))
-    along = ((cx - start[0]) * px + (cy - start[1]) * py) / (2 * half)
+    along = ratio((cx - start[0]) * px + (cy - start[1]) * py, 2 * half)
     hit = ((s0 >= 0) != (s1 >= 0)) & along.between(0.0, 2 * half)
     met = rows.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("n"), F.min(F.when(hit, half - along)).alias("d"))
     return met.select(*by, F.when(F.col("n") == 1, F.col("d")).alias("distance"))

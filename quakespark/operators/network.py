@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import fits
+from ..functions.safe import ratio
 
 
 def scale(df: DataFrame, factor: float, *columns: str) -> DataFrame:
@@ -45,12 +46,16 @@ def normalizing(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def strain(df: DataFrame, x: str, y: str, east: str, north: str, by: Sequence[str] = ()) -> DataFrame:
-    """Horizontal velocity gradient of a network, by least squares in one aggregate: its strain, dilatation and rotation."""
+    """Horizontal velocity gradient of a network, by least squares in one aggregate: its strain, dilatation and rotation.
+
+    All are null for fewer than three stations, or stations on one line.
+    """
     rows = df.groupBy(*by) if by else df
     cov = lambda a, b: F.covar_pop(a, b)
     sums = rows.agg(F.count("*").alias("n"), cov(x, x).alias("xx"), cov(y, y).alias("yy"), cov(x, y).alias("xy"), *(cov(a, v).alias(f"{k}{w}") for k, a in (("x", x), ("y", y)) for w, v in (("e", east), ("n", north))))
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    slope = {f"d{w}dx": (F.col(f"x{w}") * F.col("yy") - F.col(f"y{w}") * F.col("xy")) / det for w in "en"} | {f"d{w}dy": (F.col(f"y{w}") * F.col("xx") - F.col(f"x{w}") * F.col("xy")) / det for w in "en"}
+    whole = F.col("xx") * F.col("yy")
+    det = F.when(whole - F.col("xy") * F.col("xy") > 1e-12 * whole, whole - F.col("xy") * F.col("xy"))
+    slope = {f"d{w}dx": ratio(F.col(f"x{w}") * F.col("yy") - F.col(f"y{w}") * F.col("xy"), det) for w in "en"} | {f"d{w}dy": ratio(F.col(f"y{w}") * F.col("xx") - F.col(f"x{w}") * F.col("xy"), det) for w in "en"}
     out = sums.select(*by, "n", *(v.alias(k) for k, v in slope.items()))
     return out.withColumns({"dilatation": F.col("dedx") + F.col("dndy"), "shear": (F.col("dedy") + F.col("dndx")) / 2, "rotation": (F.col("dndx") - F.col("dedy")) / 2})
 
@@ -126,13 +131,13 @@ def fit_exponential(bins: DataFrame, distance: str, value: str, count: str) -> t
 
 
 def triangles(df: DataFrame, corners: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Add centre (cx, cy, cz), area, strike and dip of triangles with corners (x, y, depth)."""
+    """Add centre (cx, cy, cz), area, strike and dip of triangles with corners (x, y, depth); the dip of an area of 0 is null."""
     (x1, y1, z1), (x2, y2, z2), (x3, y3, z3) = (tuple(F.col(c) for c in p) for p in corners)
     ax, ay, az, bx, by, bz = x2 - x1, y2 - y1, z1 - z2, x3 - x1, y3 - y1, z1 - z3
     nx, ny, nz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
     up = F.when(nz < 0, -1.0).otherwise(1.0)
     size = F.sqrt(nx * nx + ny * ny + nz * nz)
-    return df.withColumns({"cx": (x1 + x2 + x3) / 3, "cy": (y1 + y2 + y3) / 3, "cz": (z1 + z2 + z3) / 3, "area": size / 2, "strike": F.pmod(F.degrees(F.atan2(-up * ny, up * nx)), F.lit(360.0)), "dip": F.degrees(F.acos(F.least(F.lit(1.0), F.abs(nz) / size)))})
+    return df.withColumns({"cx": (x1 + x2 + x3) / 3, "cy": (y1 + y2 + y3) / 3, "cz": (z1 + z2 + z3) / 3, "area": size / 2, "strike": F.pmod(F.degrees(F.atan2(-up * ny, up * nx)), F.lit(360.0)), "dip": F.when(size > 0, F.degrees(F.acos(F.least(F.lit(1.0), ratio(F.abs(nz), size)))))})
 
 
 def rectangle_corners(df: DataFrame, x: str, y: str, depth: str, strike: str, dip: str, length: str, width: str) -> DataFrame:

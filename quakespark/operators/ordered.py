@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.safe import ratio
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -108,7 +109,7 @@ def resample_trace(df: DataFrame, by: Sequence[str], order: str, x: str, y: str,
     legs = arc_length(clean_trace(df, by, order, x, y), by, order, x, y).withColumns({"_n": F.lead("along").over(w), "_x": F.lead(x).over(w), "_y": F.lead(y).over(w)}).where("_n > along")
     k0, k1 = F.ceil(F.col("along") / every).cast("long"), F.ceil(F.col("_n") / every).cast("long") - 1
     points = legs.where(k0 <= k1).withColumn("_k", F.explode(F.sequence(k0, k1)))
-    t = (F.col("_k") * every - F.col("along")) / (F.col("_n") - F.col("along"))
+    t = ratio(F.col("_k") * every - F.col("along"), F.col("_n") - F.col("along"))
     return points.select(*by, (F.col("_k") * every).alias("s"), (F.col(x) + t * (F.col("_x") - F.col(x))).alias(x), (F.col(y) + t * (F.col("_y") - F.col(y))).alias(y)).withColumnRenamed("s", "along")
 
 
@@ -125,7 +126,7 @@ def gaussian_smooth(df: DataFrame, ix: str, iy: str, value: str, sigma: float, r
     good = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     shifts = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(pow(2.718281828459045, -(i * i + j * j) / (2 * sigma * sigma))).alias("w")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
     given = good.select(ix, iy, value, F.inline(shifts)).select((F.col(ix) + F.col("dx")).alias(ix), (F.col(iy) + F.col("dy")).alias(iy), (F.col(value) * F.col("w")).alias("_wv"), F.col("w").alias("_w"))
-    smooth = given.groupBy(ix, iy).agg((F.sum("_wv") / F.sum("_w")).alias("smoothed"))
+    smooth = given.groupBy(ix, iy).agg(ratio(F.sum("_wv"), F.sum("_w")).alias("smoothed"))
     return good.join(smooth, [ix, iy])
 
 

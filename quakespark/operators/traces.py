@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.safe import ratio
 
 
 def reversed_trace(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -31,7 +32,7 @@ def crossings(df: DataFrame, by: Sequence[str], order: str, x: str, y: str, valu
     rows = df.withColumns({"x2": F.lead(x).over(run), "y2": F.lead(y).over(run)})
     on = F.abs(F.col(x) - value) <= tolerance
     beside = (F.col(x) - value) * (F.col("x2") - value) < 0
-    share = (value - F.col(x)) / (F.col("x2") - F.col(x))
+    share = ratio(value - F.col(x), F.col("x2") - F.col(x))
     after = F.abs(F.col("x2") - value) <= tolerance
     return rows.where(on | (beside & ~after)).select(*by, F.lit(float(value)).alias("x"), F.when(on, F.col(y)).otherwise(F.col(y) + share * (F.col("y2") - F.col(y))).alias("y"))
 

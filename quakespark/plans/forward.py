@@ -7,13 +7,14 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions.safe import ratio
 
 
 def mogi(x: Column, y: Column, x0: Column | float, y0: Column | float, depth: Column | float, volume: Column | float, poisson: float = 0.25) -> tuple[Column, Column, Column]:
     """Surface displacement (east, north, up) of a point source of volume change, all in one unit of length."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     dx, dy, d = x - lit(x0), y - lit(y0), lit(depth)
-    c = lit(volume) * ((1 - poisson) / math.pi) / F.pow(dx * dx + dy * dy + d * d, 1.5)
+    c = ratio(lit(volume) * ((1 - poisson) / math.pi), F.pow(dx * dx + dy * dy + d * d, 1.5))
     return c * dx, c * dy, c * d
 
 

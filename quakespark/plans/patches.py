@@ -113,8 +113,10 @@ def greens_equalized(spark, d):
     return matrices.equalized(some(spark, d).drop("weight"), groups).select("row", "col", r("value", 6), r("scale", 6))
 
 
-@query(f"""WITH {P}, a AS (SELECT k, slip AS ss, rake / 100 AS ds, atan2(tan(radians(strike)) - tan(radians(210e0)), cos(radians(dip)) * (1 + tan(radians(210e0)) * tan(radians(strike)))) + pi() AS turn FROM p)
-SELECT k, round(ss * cos(turn) + ds * sin(turn), 6) + 0.0 AS along, round(ss * sin(turn) - ds * cos(turn), 6) + 0.0 AS across FROM a""")
+# SQL: unit vectors (east, north) along strike and, shortened by the dip, up the plane; their sum that points along the azimuth.
+@query(f"""WITH {P}, v AS (SELECT k, slip AS ss, rake / 100 AS ds, sin(radians(strike)) AS se, cos(radians(strike)) AS sn, -cos(radians(dip)) * cos(radians(strike)) AS ue, cos(radians(dip)) * sin(radians(strike)) AS un, sin(radians(210e0)) AS ae, cos(radians(210e0)) AS an FROM p),
+a AS (SELECT k, ss, ds, ae * un - an * ue AS a, an * se - ae * sn AS b FROM v), n AS (SELECT *, sqrt(a * a + b * b) AS size FROM a)
+SELECT k, round((ss * a + ds * b) / size, 6) + 0.0 AS along, round((ss * b - ds * a) / size, 6) + 0.0 AS across FROM n""")
 def greens_rotated(spark, d):
     along, across = matrices.rotated(F.col("strike"), F.col("dip"), F.col("slip"), F.col("rake") / 100, 210.0)
     return named(points(spark, d), {"along": along, "across": across})

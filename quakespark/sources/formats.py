@@ -1,11 +1,13 @@
 """Text formats of observation files: each is a layout, a map from column to its place among the line's fields (from 0).
 
-Readers are text scans split into columns; lines whose numbers aren't numbers (headers) or that have too few fields go.
+Readers are text scans split into columns; lines whose numbers aren't numbers (headers), whose date doesn't exist or that have
+too few fields go; a tensor's time that doesn't exist is null. ``rejected`` gives the lines that a layout leaves out.
 Writers make one line a row in the tasks that hold the rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,19 +46,29 @@ _WORDS = frozenset({"station", "id"})
 
 def table(spark: SparkSession, path: str, layout: Mapping[str, int], separator: str = r"\s+", comment: str | None = "#") -> DataFrame:
     """The layout's columns of each line: stations and ids are text, all others numbers."""
+    return _fields(spark, path, layout, separator, comment).where("_complete").select(*layout)
+
+
+def rejected(spark: SparkSession, path: str, layout: Mapping[str, int], separator: str = r"\s+", comment: str | None = "#") -> DataFrame:
+    """(value): the lines that ``table`` leaves out, without blank lines and comments."""
+    return _fields(spark, path, layout, separator, comment).where("not _complete").select(F.col("_line").alias("value"))
+
+
+def _fields(spark: SparkSession, path: str, layout: Mapping[str, int], separator: str, comment: str | None) -> DataFrame:
     line = F.trim(F.col("value"))
     rows = spark.read.text(path).where(line != "")
     if comment:
         rows = rows.where(~line.startswith(comment))
-    rows = rows.select(F.split(line, separator).alias("p")).where(F.size("p") > max(layout.values()))
-    number = lambda k: F.expr(f"try_cast(trim(p[{k}]) as double)")
-    rows = rows.select(*((F.trim(F.get("p", F.lit(k))) if c in _WORDS else number(k)).alias(c) for c, k in layout.items()))
-    return rows.dropna(subset=[c for c in layout if c not in _WORDS])
+    rows = rows.withColumn("p", F.split(line, separator))
+    number = lambda k: F.expr(f"try_cast(trim(get(p, {k})) as double)")
+    rows = rows.select(F.col("value").alias("_line"), (F.size("p") > max(layout.values())).alias("_long"), *((F.trim(F.get("p", F.lit(k))) if c in _WORDS else number(k)).alias(c) for c, k in layout.items()))
+    given = [F.nanvl(c, F.lit(None).cast("double")).isNotNull() for c in layout if c not in _WORDS]
+    return rows.withColumn("_complete", functools.reduce(lambda a, b: a & b, given, F.col("_long")))
 
 
 def _timed(rows: DataFrame) -> DataFrame:
-    whole = [F.col(c).cast("int") for c in _TIME[:-1]]
-    return rows.withColumn("ts", F.make_timestamp(*whole, F.floor("second").cast("int").cast("decimal(8,6)"))).drop(*_TIME)
+    whole = [F.col(c).try_cast("int") for c in _TIME[:-1]]
+    return rows.withColumn("ts", F.try_make_timestamp(*whole, F.floor("second").try_cast("int").try_cast("decimal(8,6)"))).drop(*_TIME).where("ts is not null")
 
 
 def catalog(spark: SparkSession, path: str, layout: str) -> DataFrame:
@@ -99,7 +111,7 @@ def creep(spark: SparkSession, path: str) -> DataFrame:
     """(station, date, offset): one file a station, named after it; the day is added to the 1st of January."""
     station = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/.]*)?$", 1)
     rows = spark.read.text(path).select(station.alias("station"), *(F.expr(f"try_cast(get(split(trim(value), '\\\\s+'), {k}) as double)").alias(c) for c, k in TABLES["creep_days"].items())).dropna()
-    return rows.select("station", F.date_add(F.make_date(F.col("year").cast("int"), F.lit(1), F.lit(1)), F.col("day").cast("int")).alias("date"), "offset")
+    return rows.select("station", F.date_add(F.to_date(F.try_make_timestamp(F.col("year").try_cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))), F.col("day").try_cast("int")).alias("date"), "offset")
 
 
 def decimated(spark: SparkSession, values: str, cells: str, factor: float = 1.0, step: float = 0.0, triangular: bool = False) -> DataFrame:
@@ -126,8 +138,8 @@ def moment_tensors(spark: SparkSession, path: str) -> DataFrame:
     """Moment-tensor solutions: a line that begins with P and the origin time, then twelve ``name: value`` lines each."""
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^\s*(?=P[A-Z]{3}\s*[0-9]{4}\s)")).alias("b")).where(F.trim("b").startswith("P"))
     value = lambda name: F.expr(f"try_cast(regexp_extract(b, '(?m)^{name}:\\\\s*(\\\\S+)', 1) as double)").alias(name.lower().replace(" ", "_"))
-    head = lambda k: F.regexp_extract("b", r"^\s*P[A-Z]{3}\s*([0-9]{4})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([0-9]+)", k).cast("int")
-    ts = F.make_timestamp(head(1), head(2), head(3), head(4), head(5), head(6).cast("decimal(8,6)"))
+    head = lambda k: F.regexp_extract("b", r"^\s*P[A-Z]{3}\s*([0-9]{4})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([0-9]+)", k).try_cast("int")
+    ts = F.try_make_timestamp(head(1), head(2), head(3), head(4), head(5), head(6).try_cast("decimal(8,6)"))
     return blocks.select(F.regexp_extract("b", r"(?m)^event name:\s*(\S+)", 1).alias("event"), ts.alias("ts"), *map(value, ("latitude", "longitude", "depth", "Mrr", "Mtt", "Mpp", "Mrt", "Mrp", "Mtp")))
 
 
@@ -135,8 +147,8 @@ def kml_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """(place, seq, lon, lat, height): the coordinates of each ``coordinates`` element."""
     each = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<coordinates>(.*?)</coordinates>"), F.lit(1))).alias("place", "c"))
     each = each.select("place", F.posexplode(F.split(F.trim("c"), r"\s+")).alias("seq", "p"))
-    at = lambda k: F.expr(f"try_cast(split(p, ',')[{k}] as double)")
-    return each.select("place", "seq", at(0).alias("lon"), at(1).alias("lat"), F.expr("try_cast(get(split(p, ','), 2) as double)").alias("height"))
+    at = lambda k: F.expr(f"try_cast(get(split(p, ','), {k}) as double)")
+    return each.select("place", "seq", at(0).alias("lon"), at(1).alias("lat"), at(2).alias("height")).where("lon is not null and lat is not null")
 
 
 def patches(spark: SparkSession, path: str) -> DataFrame:
