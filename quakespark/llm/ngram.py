@@ -30,7 +30,7 @@ from .common import arrow_map, checkpoint, fold, shared_dir, shuffle_partitions
 from .text import LOWER, hashes, mix, slices, utf8, words
 
 START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_TOP = np.uint64(48)
+_TOP = np.uint64(32)
 #: Bytes of text that are counted at once, pairs of which one packed array is made at most, and tokens behind a shard.
 SLICE, FLUSH, PER_SHARD = 1 << 20, 1_500_000, 1_000_000
 
@@ -55,7 +55,7 @@ def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def shard_of(word: np.ndarray, shards: int) -> np.ndarray:
-    return ((word >> _TOP).astype(np.int64) * shards) >> 16
+    return ((word >> _TOP).astype(np.int64) * shards) >> 32
 
 
 def among(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def _mapped(folder: str, name: str) -> list[np.ndarray] | None:
 
 def _look_up(folder: str, kind: str, shard: np.ndarray, key: np.ndarray, columns: int) -> list[np.ndarray]:
     """Values of the keys in their shards' arrays; 0 for keys that aren't there."""
-    order = np.argsort((shard.astype(np.uint64) << _TOP) | (key >> np.uint64(16)), kind="stable")
+    order = np.lexsort((key, shard))
     found = [np.zeros(len(key)) for _ in range(columns)]
     sorted_shard = shard[order]
     bounds = np.flatnonzero(np.append(True, sorted_shard[1:] != sorted_shard[:-1])) if len(order) else []
@@ -165,12 +165,20 @@ class Model:
     unknown: float
 
 
+#: Discounts where the counts of counts give none between 0 and the count.
+PLAIN = (0.5, 1.0, 1.5)
+
+
 def discounts(n: list[int]) -> list[float]:
-    """What is taken from counts of 1, 2, and 3 or more, given how many n-grams have counts 1 to 4."""
+    """What is taken from counts of 1, 2, and 3 or more, given how many n-grams have counts 1 to 4.
+
+    An estimate that isn't above 0 and below its count gives way to a plain discount, as repeated texts leave few small
+    counts: every history keeps some chance for words it has not been seen with, so no chance is 0.
+    """
     n1, n2, n3, n4 = (max(0, x) for x in n)
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     rough = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.0), k + 0.999) for k, d in enumerate(rough)]
+    return [d if 0 < d < k else plain for k, (d, plain) in enumerate(zip(rough, PLAIN, strict=True), 1)]
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
@@ -204,7 +212,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     n_tokens, n_types = real.agg(F.sum("n"), F.count("*")).first()
     n_tokens = n_tokens or 0
     # By tokens, so that what one task gathers doesn't grow with the corpus.
-    shards = min(shards or max(2 * shuffle_partitions(spark), -(-n_tokens // PER_SHARD)), 1 << 16)
+    shards = shards or max(2 * shuffle_partitions(spark), -(-n_tokens // PER_SHARD))
     # So frequent that a shard would be uneven; fewer than 4 * shards words can be.
     often = counted.where(F.col("n") >= max(1.0, n_tokens / (4 * shards))).select("w").collect()
     hot = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
@@ -270,8 +278,8 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     left = (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("n")
     table = counted.join(stats, "w", "left").na.fill(0, ["n1", "n2", "n3", "before"]).select("w", "n", lower.alias("lower"), left.alias("gamma"))
     first = table.where(F.col("w") == start).select("n", "gamma").first()
-    # The word's top 16 bits choose its shard.
-    shard = F.shiftright(F.shiftrightunsigned("w", 48) * shards, 16).cast("int")
+    # The word's top 32 bits choose its shard.
+    shard = F.shiftright(F.shiftrightunsigned("w", 32) * shards, 32).cast("int")
 
     def write_words(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         w = t.column("w").to_numpy().view(np.uint64)
