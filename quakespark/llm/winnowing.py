@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's tokens are its runs of non-space characters, cut after 16 characters. Each ``k`` consecutive tokens have a rolling
+A text's tokens are its runs of up to 16 non-space characters, and each character of longer runs (scripts without spaces, links),
+so that what stands before a passage doesn't change its tokens. Each ``k`` consecutive tokens have a rolling
 hash; of each ``window`` consecutive hashes the smallest is kept, the rightmost of equal ones, with its position.
 Texts that share ``k + window - 1`` consecutive tokens share a kept hash. A text of fewer tokens has one hash of
 all of them, and null, empty and blank texts have none. Equal texts have equal fingerprints. Repeated rows follow each other
@@ -9,6 +10,9 @@ like any; an empty table gives an empty result. Only doc_id and text are read, s
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ _POSITION = (1 << 31) - 1
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\S{1,16}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"(?<!\S)\S{1,16}(?!\S)|\S"), F.lit(0))
 
 
 def _modulus(k: int) -> int:
@@ -100,33 +104,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
-def _bucket(at: Column, starts: list[int]) -> Column:
-    """The number of the last start that isn't above ``at``, found in two short lists."""
-    runs = [starts[i : i + 64] for i in range(0, len(starts), 64)]
-    lists = F.array(*(F.array(*map(F.lit, r)) for r in runs))
-    run = F.size(F.filter(F.array(*(F.lit(r[0]) for r in runs)), lambda x: x <= at))
-    return (run - 1) * 64 + F.size(F.filter(F.element_at(lists, run), lambda x: x <= at)) - 1
+def _place(key: Column) -> Column:
+    """The number of the last start that isn't above ``key``, found in the list of runs, then in its run."""
+    run = F.greatest(F.size(F.filter("_heads", lambda x: x <= key)), F.lit(1))
+    return (run - 1) * F.col("_step") + F.size(F.filter(F.element_at("_runs", run), lambda x: x <= key)) - 1
+
+
+def _ranges(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the number of their range of keys, whether they begin it, and how many ranges there are.
+
+    About ``n`` ranges of equal size; a doc_id that fills several (null, for instance) is cut by the hash of the text.
+    Each range begins with its first row's key, so none is empty. The starts are one row of two short lists.
+    """
+    spark = rows.sparkSession
+    marks = rows.agg(F.percentile_approx("at", [i / n for i in range(n)], 100 * n)).first()[0] or []
+    times = Counter(marks)
+    guess = sorted((at, -(1 << 63) + (1 << 64) // k * j) for at, k in times.items() for j in range(k))
+
+    def lists(starts: list[tuple[int, int]]) -> DataFrame:
+        step = max(1, math.isqrt(len(starts)))
+        runs = [starts[i : i + step] for i in range(0, len(starts), step)]
+        return spark.createDataFrame([([r[0] for r in runs], runs, step, len(starts))], "_heads array<struct<at: long, h: long>>, _runs array<array<struct<at: long, h: long>>>, _step int, _ranges int")
+
+    key = F.struct("at", "h")
+    if not guess:
+        return rows.select("*", F.lit(0).alias("bucket"), F.lit(True).alias("first"), F.lit(1).alias("ranges"))
+    # one row for each range
+    firsts = rows.crossJoin(F.broadcast(lists(guess))).groupBy(F.greatest(_place(key), F.lit(0)).alias("b")).agg(F.min(key).alias("k")).collect()
+    placed = rows.crossJoin(F.broadcast(lists(sorted((r["k"]["at"], r["k"]["h"]) for r in firsts)))).withColumn("bucket", _place(key))
+    start = F.element_at(F.element_at("_runs", F.floor(F.col("bucket") / F.col("_step")).cast("int") + 1), F.col("bucket") % F.col("_step") + 1)
+    return placed.withColumn("first", start == key).withColumnRenamed("_ranges", "ranges").drop("_heads", "_runs", "_step")
 
 
 def with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, own, next_text, next_own): each row's fingerprint, and text and fingerprint of the row after it.
 
-    Rows follow by doc_id (null first), then text; the first follows the last. Ranges of ids are dealt out, each
-    with the first rows of the range after it, so texts are shuffled once and no task holds all rows.
+    Rows follow by doc_id (null first), then by the hash of their text; the first follows the last. Ranges of them are
+    dealt out, each with the first rows of the range after it, so texts are shuffled once and no task holds all rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    n = min(4096, 8 * shuffle_partitions(spark))
-    least, marks = rows.agg(F.min("at"), F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()
-    starts = sorted({least, *(marks or [])} - {None}) or [0]
-    bucket = _bucket(F.col("at"), starts)
-    first = F.col("at").isin(starts) if len(starts) <= 64 else F.element_at(F.array(*map(F.lit, starts)), (F.col("bucket") + 1).cast("int")) == F.col("at")
-    rows = rows.withColumn("bucket", bucket)
-    sent = F.when(first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail")), F.struct(F.when(F.col("bucket") == 0, F.lit(len(starts) - 1)).otherwise(F.col("bucket") - 1).cast("int").alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))))
-    dealt = rows.select("doc_id", "at", "text", F.explode(sent).alias("to")).select("doc_id", "at", "text", F.col("to.bucket").alias("bucket"), F.col("to.tail").alias("tail"))
-    dealt = add_fingerprint(dealt.repartition(shuffle_partitions(spark), "bucket"), "text", "own", k, window)
-    order = Window.partitionBy("bucket").orderBy("tail", "at", "text")
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "h": F.xxhash64("text")})
+    n = shuffle_partitions(docs.sparkSession)
+    rows = _ranges(rows, 8 * n)
+    before = F.when(F.col("bucket") == 0, F.col("ranges") - 1).otherwise(F.col("bucket") - 1)
+    to = lambda bucket, tail: F.struct(bucket.cast("int").alias("bucket"), F.lit(tail).alias("tail"))
+    sent = F.when(F.col("first"), F.array(to(F.col("bucket"), False), to(before, True))).otherwise(F.array(to(F.col("bucket"), False)))
+    dealt = rows.select("doc_id", "at", "h", "text", F.explode(sent).alias("to")).select("doc_id", "at", "h", "text", "to.*")
+    dealt = add_fingerprint(dealt.repartition(n, "bucket"), "text", "own", k, window)
+    order = Window.partitionBy("bucket").orderBy("tail", "at", "h", "text")
     after = F.lead(F.struct("text", "own")).over(order)
     return dealt.withColumn("after", after).where(~F.col("tail")).select("doc_id", "text", "own", F.col("after.text").alias("next_text"), F.col("after.own").alias("next_own"))
 
