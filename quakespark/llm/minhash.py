@@ -292,7 +292,10 @@ def align_groups(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, kept) for each row: its class's smallest doc_id, and whether it is that document."""
+    """(doc_id, class_id, kept, digest) for each row: its class's smallest doc_id, and whether it is that document.
+
+    ``digest`` is the SHA-256 of the row's text: a doc_id may stand for several texts, each with a class of its own.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     signed = stored(signatures(rows))
@@ -315,4 +318,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(links)
     classes = kinds.select("digest", F.col("doc_id").alias("first")).join(label.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "digest")

@@ -55,7 +55,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

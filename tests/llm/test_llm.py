@@ -177,11 +177,19 @@ def test_pii_context_speaks_for_and_against(spark):
 # op3
 
 
+def pieces(text):
+    return [c for run in re.findall(r"[^ \t\n\x0b\f\r]+", text) for c in ([run] if len(run) <= 16 else run)]
+
+
+def plain_hashes(fingerprint):
+    return {x.split(":")[0] for x in fingerprint.split()}
+
+
 def test_winnowing_minima_and_edits(spark):
     rows = corpus(2)
     got = by_id(winnowing.compare_edits(frame(spark, rows)))
     rows = sorted((i, t or "") for i, t in rows)
-    cut = [re.findall(r"[^ \t\n\x0b\f\r]{1,16}", t) for _, t in rows]
+    cut = [pieces(t) for _, t in rows]
     one = {t: h for t, h in spark.createDataFrame([(x,) for x in {x for c in cut for x in c}], "t string").select("t", F.xxhash64("t")).collect()}
     m = winnowing._modulus(5)
     hashed = {}
@@ -201,7 +209,9 @@ def test_winnowing_minima_and_edits(spark):
             if p not in picked:
                 picked.append(p)
         assert got[i].fingerprint == " ".join(f"{h[p]:x}:{p}" for p in picked)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        mine, changed, beside = (plain_hashes(x) for x in (got[i].fingerprint, got[i].edited_fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint))
+        for found, other in ((got[i].near_edited, changed), (got[i].near_next, beside)):
+            assert found == (pytest.approx(len(mine & other) / len(mine | other)) if mine | other else 1.0)
         if t == edited:
             assert got[i].near_edited == 1
     long = [got[i] for (i, t) in rows if len(t.split()) > 60]
@@ -215,6 +225,32 @@ def test_winnowing_minima_and_edits(spark):
     assert one.near_next == 1
 
 
+@pytest.mark.parametrize("script", ["abcdefghij", "漢字仮名交文章例示", "абвгдежзик"])
+def test_winnowing_guarantee_without_spaces(spark, script):
+    rng = random.Random(3)
+    passage = "".join(rng.choice(script) for _ in range(winnowing.K + winnowing.WINDOW - 1 + 16))
+    rows = []
+    for i in range(40):
+        before, after = ("".join(rng.choice(script) for _ in range(rng.randint(17, 60))) for _ in range(2))
+        rows.append([i, before + passage + after])
+    rows += [[100, "".join(rng.choice(script) for _ in range(600))]]
+    rows += [[101, "xyz" + rows[-1][1]]]
+    got = by_id(winnowing.compare_edits(frame(spark, rows)))
+    assert all(plain_hashes(got[i].fingerprint) & plain_hashes(got[j].fingerprint) for i in range(40) for j in range(i))
+    assert got[100].near_next > 0.9
+
+
+def test_winnowing_repeated_and_null_ids(spark):
+    rows = [[None, f"text number {i} of those without id"] for i in range(300)] + [[7, f"seven {i % 3}"] for i in range(60)] + [[9, "last"]]
+    got = winnowing.compare_edits(frame(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == {None: 300, 7: 60, 9: 1}
+    nulls = [r for r in got if r.doc_id is None]
+    texts = {sha(a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]) for a in rows for b in rows}
+    assert all(r.edited_sha256 in texts for r in got) and len({r.fingerprint for r in nulls}) == 300
+    last = next(r for r in got if r.doc_id == 9)
+    assert last.edited_sha256 in {sha("la" + f"{r[1]}"[:2]) for r in rows if r[0] is None}
+
+
 # op4
 
 
@@ -442,6 +478,31 @@ def test_kneser_ney_matches_brute_force(spark):
         assert sum(chance(h, w) for w in uni) + chance(h, "unknown word") == pytest.approx(1)
 
 
+def test_kneser_ney_of_repeated_texts_is_finite(spark):
+    train = ["a b", "c d", "e f", "g h"] * 3 + ["x y"] * 2 + ["z w"] + ["k l"]
+    rows = [[10 * i, t] for i, t in enumerate(train)] + [[1000, "x q"], [1001, "x b"], [1002, "q q"], [1003, None]]
+    docs = frame(spark, rows)
+    model = ngram.train(docs.where("doc_id < 1000"), shards=3)
+    assert all(0 < d < k for k, d in enumerate(model.discounts, 1))
+    got = by_id(ngram.score(docs, model))
+    assert all(math.isfinite(r.score) and math.isfinite(r.perplexity) for r in got.values())
+    _, bi, _, _ = brute_bigrams(train, [0.5] * 3, [0.5] * 3)
+    before = Counter(Counter(w for _, w in bi).values())
+    uni, _, _, chance = brute_bigrams(train, model.discounts, ngram.discounts([before[k] for k in (1, 2, 3, 4)]))
+    for h in ["<s>", *uni, "never seen"]:
+        assert sum(chance(h, w) for w in uni) + chance(h, "unknown word") == pytest.approx(1)
+    for i, t in rows[-4:]:
+        words = (t or "").encode().split() + ["</s>"]
+        assert got[i].score == pytest.approx(sum(math.log10(chance(h, w)) for h, w in zip(["<s>", *words], words, strict=False)), rel=1e-6)
+    assert ngram.score(docs.limit(0), model).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 50), min_size=4, max_size=4))
+def test_kneser_ney_discounts_stay_between_0_and_the_count(n):
+    assert all(0 < d < k for k, d in enumerate(ngram.discounts(n), 1))
+
+
 def test_kneser_ney_without_training_rows(spark):
     docs = frame(spark, [[1, "a b"], [2, None]])
     got = by_id(ngram.score(docs, ngram.train(docs.limit(0))))

@@ -23,3 +23,12 @@ def test_run_and_empty(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_near_copies_by_text_of_repeated_ids(spark):
+    words = [f"word{i} is here" for i in range(40)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    rows = [(2, a, "x"), (5, b, "y"), (5, a, "z"), (None, a, "n"), (7, None, "e"), (8, "", "f"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = sorted(r._id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == ["e", "n", "x", "y"]
