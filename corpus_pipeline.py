@@ -26,10 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near-duplicates; documents without doc_id stay."""
+    """The document with the smallest doc_id of each class of near-duplicates; documents without doc_id stay.
+
+    A doc_id may have several texts: a row stays if its own text's class has that doc_id. Rows that repeat both stay together.
+    """
     classes = minhash.near_duplicates(docs)
-    stay = classes.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    stay = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct()
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    met = docs.join(stay, (F.col("doc_id") == F.col("_near_id")) & (own == F.col("_near_digest")), "left_semi")
+    return met.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
