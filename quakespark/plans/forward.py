@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from ..functions.safe import ratio
+from ..operators import inversion
 
 
 def mogi(x: Column, y: Column, x0: Column | float, y0: Column | float, depth: Column | float, volume: Column | float, poisson: float = 0.25) -> tuple[Column, Column, Column]:
@@ -39,31 +40,12 @@ def predict(greens: DataFrame, model: DataFrame, correction: DataFrame | None =
 
 def gram(greens: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(i, j, value) of G'WG and (i, value) of G'Wd, for data (row, d, weight)."""
-    g = greens.join(data, "row")
-    left = g.select("row", F.col("col").alias("i"), (F.col("value") * F.col("weight")).alias("a"))
-    right = greens.select("row", F.col("col").alias("j"), F.col("value").alias("b"))
-    return left.join(right, "row").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value")), g.groupBy(F.col("col").alias("i")).agg(F.sum(F.col("value") * F.col("weight") * F.col("d")).alias("value"))
-
-
-def least_squares(greens: DataFrame, data: DataFrame, parameters: int, damping: float = 0.0, nonnegative: bool = False, rounds: int = 5000) -> np.ndarray:
-    """Parameters 0 .. n-1 that fit the data; the n x n system is solved on the driver, rows never reach it.
-
-    ``nonnegative`` runs coordinate descent on the normal equations.
-    """
-    a, b = gram(greens, data)
-    g, d = damping * np.eye(parameters), np.zeros(parameters)
-    for i, j, v in a.collect():
-        g[i, j] += v
-    for i, v in b.collect():
-        d[i] = v
-    if not nonnegative:
-        return np.linalg.lstsq(g, d, rcond=None)[0]
-    m = np.zeros(parameters)
-    for _ in range(rounds):
-        old = m.copy()
-        for i in range(parameters):
-            if g[i, i] > 0:
-                m[i] = max(0.0, m[i] + (d[i] - g[i] @ m) / g[i, i])
-        if np.abs(m - old).max(initial=0) < 1e-12 * max(1.0, np.abs(m).max(initial=0)):
-            break
-    return m
+    sums = inversion.products(greens, data.withColumn("part", F.lit(0)))
+    return sums.where("j >= 0").select("i", "j", "value"), sums.where("j < 0").select("i", "value")
+
+
+def least_squares(greens: DataFrame, data: DataFrame, parameters: int, damping: float = 0.0, nonnegative: bool = False) -> np.ndarray:
+    """Parameters 0 .. n-1 that fit the data; the n x n system is solved on the driver, rows never reach it."""
+    g, d, _, _ = inversion.parts(greens, data.withColumn("part", F.lit(0)), parameters).get(0, (np.zeros((parameters, parameters)), np.zeros(parameters), 0.0, 0))
+    g = g + damping * np.eye(parameters)
+    return inversion.bounded(g, d, np.zeros(parameters), np.full(parameters, np.inf)) if nonnegative else np.linalg.lstsq(g, d, rcond=None)[0]

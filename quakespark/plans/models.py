@@ -41,6 +41,45 @@ def inversion_bounded(spark, d):
     return _parameters(spark, m)
 
 
+#: Rows (p, q, limit) of constraints p x + q y <= limit on the two parameters.
+LIMITS = [(1.0, 1.0, 1.2), (-1.0, 2.0, 0.5), (0.0, -1.0, 0.3), (-1.0, 0.0, -0.4)]
+
+
+@query(f"""WITH {GREENS}, s AS (SELECT *, aa * bb - ab * ab AS det, (ad * bb - bd * ab) / (aa * bb - ab * ab) AS x0, (bd * aa - ad * ab) / (aa * bb - ab * ab) AS y0 FROM n),
+l(p, q, t) AS (VALUES {', '.join(f'({p}e0, {q}e0, {t}e0)' for p, q, t in LIMITS)}),
+c AS (SELECT x0 AS x, y0 AS y FROM s
+  UNION ALL SELECT x0 - f * (bb * p - ab * q) / det, y0 - f * (aa * q - ab * p) / det FROM (SELECT *, (p * x0 + q * y0 - t) / ((p * (bb * p - ab * q) + q * (aa * q - ab * p)) / det) AS f FROM s, l)
+  UNION ALL SELECT (a.t * b.q - b.t * a.q) / (a.p * b.q - b.p * a.q), (a.p * b.t - b.p * a.t) / (a.p * b.q - b.p * a.q) FROM l a, l b WHERE a.p * b.q - b.p * a.q > 0),
+b AS (SELECT x, y FROM c, n WHERE NOT EXISTS (SELECT 1 FROM l WHERE p * x + q * y > t + 1e-9) ORDER BY aa * x * x / 2 + ab * x * y + bb * y * y / 2 - ad * x - bd * y LIMIT 1)
+SELECT 0 AS col, round(x, 6) + 0e0 AS m FROM b UNION ALL SELECT 1, round(y, 6) + 0e0 FROM b""")
+def inversion_inequality(spark, d):
+    """Parameters under inequalities; the SQL tries all corners, edges and the inside."""
+    import numpy as np
+
+    rows = np.array(LIMITS)
+    m, _ = inversion.solve(*_greens(spark, d), 2, prior=np.array([5.0, 0.0]), prior_weight=np.diag([2.0, 3.0]), a=rows[:, :2], b=rows[:, 2])
+    return _parameters(spark, m).withColumn("m", F.col("m") + 0.0)
+
+
+@query("""WITH g AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS part, o_custkey % 50 / 10e0 AS b, o_totalprice / 100000 + o_custkey % 50 / 9e0 AS d, 1 / (1e0 + o_orderkey % 3) AS w FROM orders),
+s AS (SELECT part, count(*) AS n, sum(w) AS s, sum(w * b) AS sb, sum(w * b * b) AS sbb, sum(w * d) AS sd, sum(w * b * d) AS sbd, sum(w * d * d) AS sdd FROM g GROUP BY part),
+m AS (SELECT *, (sd * sbb - sbd * sb) / (s * sbb - sb * sb) AS m0, (sbd * s - sd * sb) / (s * sbb - sb * sb) AS m1 FROM s)
+SELECT part, round(m0, 6) AS m0, round(m1, 6) AS m1, round((sdd - m0 * sd - m1 * sbd) / (n - 2), 6) AS variance FROM m""")
+def inversion_vce(spark, d):
+    """Six parameters and three variances: a line for each data set, so that Helmert's equations have a closed form."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("part"), (F.col("o_custkey") % 50 / 10).alias("b"), (F.col("o_totalprice") / 100000 + F.col("o_custkey") % 50 / 9).alias("d"), (1 / (1.0 + F.col("o_orderkey") % 3)).alias("weight"))
+    rows = rows.withColumn("row", F.col("key"))
+    each = F.array(F.struct((2 * F.col("part")).alias("col"), F.lit(1.0).alias("value")), F.struct((2 * F.col("part") + 1).alias("col"), F.col("b").alias("value")))
+    m, variance = inversion.variance_components(rows.select("row", F.explode(each).alias("x")).select("row", "x.*"), rows.select("row", "part", "d", "weight"), 6, rigorous=True)
+    return spark.createDataFrame([(k, *(round(float(v), 6) for v in (m[2 * k], m[2 * k + 1], variance[k]))) for k in variance], "part int, m0 double, m1 double, variance double")
+
+
+@query(f"""WITH {GREENS.replace(' + 2 AS aa', ' + 0.5e0 AS aa').replace(' + 3 AS bb', ' + 0.5e0 AS bb').replace(' + 2 * 5 AS ad', ' AS ad')}, s AS (SELECT *, aa * bb - ab * ab AS det FROM n) SELECT 0 AS col, round((ad * bb - bd * ab) / det, 6) AS m FROM s UNION ALL SELECT 1, round((bd * aa - ad * ab) / det, 6) FROM s""")
+def inversion_row_passes(spark, d):
+    """Damped least squares by passes over the rows, without products of parameters."""
+    return _parameters(spark, inversion.iterated(*_greens(spark, d), 2, damping=0.5))
+
+
 @query("SELECT s_suppkey, CAST(CAST(x AS DATE) AS VARCHAR) AS date, 0e0 AS e, 0e0 AS n FROM supplier, generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 12 DAY) t(x)")
 def series_initialized(spark, d):
     rows = series.initialized(table(spark, d, "supplier").select("s_suppkey"), "2024-01-01", "2024-03-01", 12, ["e", "n"])

@@ -656,6 +656,7 @@ def forward_mogi(spark, d):
 
 
 def _greens(spark, d):
+    """Green's functions of eight parameters: the first eight components of each vector."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode(F.slice("embedding", 1, 8)).alias("col", "value")).withColumn("value", F.col("value").cast("double"))
 
 
