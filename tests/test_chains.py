@@ -117,3 +117,13 @@ def test_next_beta(spark):
     w = np.append(np.exp((got - 0.01) * (fit - fit.max())), [0, 0])
     assert w.std() / w.mean() == pytest.approx(1.0, abs=1e-3)
     assert sampling.next_beta(rows.limit(0), 0.5) == 1 and sampling.next_beta(spark.createDataFrame([(1.0,)] * 5, "fit double"), 0.2) == 1
+
+
+def test_query_of_a_line_by_sampling(spark, sf):
+    from quakespark.plans import lines
+
+    rows = np.array([(1.0, r.b, r.d) for r in spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_custkey") % 50 / 10).alias("b"), (F.col("o_totalprice") / 100000).alias("d")).collect()])
+    g, variance = rows[:, :2].T @ rows[:, :2], max(1.0, len(rows) / 500)
+    want, spread = np.linalg.solve(g, rows[:, :2].T @ rows[:, 2]), np.sqrt(np.diag(np.linalg.inv(g)) * variance)
+    got = lines.smc_line(spark, sf).orderBy("col").collect()
+    assert all(abs(r["mean"] - want[k]) < 0.25 * spread[k] and r["deviation"] == pytest.approx(spread[k], rel=0.15) for k, r in enumerate(got))
