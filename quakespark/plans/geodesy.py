@@ -30,6 +30,20 @@ def stations(spark, d) -> DataFrame:
     return table(spark, d, "supplier").select(k.alias("k"), F.col("s_nationkey").alias("nation"), ((k * 37) % 101 / 10.0).alias("x"), ((k * 53) % 89 / 10.0).alias("y"), (F.col("s_acctbal") / 1000).alias("v"))
 
 
+def solved3(table: str, sums: str) -> str:
+    """SQL for m1, m2, m3 of three normal equations whose sums are g11 .. g33 and d1 .. d3."""
+    return f"""{table}_s AS ({sums}), {table}_c AS (SELECT *, g22 * g33 - g23 * g23 AS c11, g13 * g23 - g12 * g33 AS c12, g12 * g23 - g13 * g22 AS c13, g11 * g33 - g13 * g13 AS c22, g12 * g13 - g11 * g23 AS c23, g11 * g22 - g12 * g12 AS c33 FROM {table}_s),
+{table} AS (SELECT (c11 * d1 + c12 * d2 + c13 * d3) / (g11 * c11 + g12 * c12 + g13 * c13) AS m1, (c12 * d1 + c22 * d2 + c23 * d3) / (g11 * c11 + g12 * c12 + g13 * c13) AS m2, (c13 * d1 + c23 * d2 + c33 * d3) / (g11 * c11 + g12 * c12 + g13 * c13) AS m3 FROM {table}_c)"""
+
+
+def sums3(a: str, b: str, c: str, v: str, source: str) -> str:
+    """SQL for the sums of products of three columns and the data."""
+    names = {"1": a, "2": b, "3": c}
+    pairs = ", ".join(f"sum({names[i]} * {names[j]}) AS g{i}{j}" for i, j in ("11", "12", "13", "22", "23", "33"))
+    return f"SELECT {pairs}, " + ", ".join(f"sum({names[i]} * {v}) AS d{i}" for i in "123") + f" FROM {source}"
+
+
+
 def c(*names):
     return tuple(F.col(n) for n in names)
 
@@ -121,14 +135,22 @@ def geo_planes(spark, d):
     return rows.join(named(points(spark, d), {"dip2": d2, "across": across}, 5), "k")
 
 
+_KM = "6371 * pi() / 180"
+
+
 @query(f"""WITH {P}, w AS (SELECT radians(0.5e0) * 6371 * cos(radians(60e0)) * cos(radians(-100e0)) AS x, radians(0.5e0) * 6371 * cos(radians(60e0)) * sin(radians(-100e0)) AS y, radians(0.5e0) * 6371 * sin(radians(60e0)) AS z),
-a AS (SELECT k, radians(lon) AS o, radians(lat) AS f FROM p)
-SELECT k, round(-sin(f) * cos(o) * x - sin(f) * sin(o) * y + cos(f) * z, 6) + 0e0 AS east, round(sin(o) * x - cos(o) * y, 6) + 0e0 AS north, 0e0 AS east_left, 0e0 AS north_left FROM a, w""")
+a AS (SELECT k, radians(lon) AS o, radians(lat) AS f, slip, rake FROM p),
+v AS (SELECT k, -sin(f) * cos(o) * x - sin(f) * sin(o) * y + cos(f) * z AS e, sin(o) * x - cos(o) * y AS n, o, f, slip, rake FROM a, w),
+b AS (SELECT -sin(f) * cos(o) * {_KM} AS a1, -sin(f) * sin(o) * {_KM} AS a2, cos(f) * {_KM} AS a3, e + slip AS v FROM v UNION ALL SELECT sin(o) * {_KM}, -cos(o) * {_KM}, 0e0, n - rake / 50 FROM v),
+{solved3('m', sums3('a1', 'a2', 'a3', 'v', 'b'))}
+SELECT k, round(e, 6) + 0e0 AS east, round(n, 6) + 0e0 AS north, round(e + slip - {_KM} * (-sin(f) * cos(o) * m1 - sin(f) * sin(o) * m2 + cos(f) * m3), 6) + 0e0 AS east_left, round(n - rake / 50 - {_KM} * (sin(o) * m1 - cos(o) * m2), 6) + 0e0 AS north_left FROM v, m""")
 def network_euler_rotation(spark, d):
+    """Velocities about a pole, and what the best rotation leaves of them with other motion added."""
     lon, lat = c("lon", "lat")
     east, north = geo.euler_velocity(lon, lat, -100.0, 60.0, 0.5)
     rows = points(spark, d).withColumns({"east": east, "north": north})
-    left = network.remove_rotation(rows, "lon", "lat", "east", "north").select("k", F.col("east").alias("east_left"), F.col("north").alias("north_left"))
+    moved = rows.withColumns({"east": F.col("east") + F.col("slip"), "north": F.col("north") - F.col("rake") / 50})
+    left = network.remove_rotation(moved, "lon", "lat", "east", "north").select("k", F.col("east").alias("east_left"), F.col("north").alias("north_left"))
     return named(rows.join(left, "k"), {n: F.col(n) for n in ("east", "north", "east_left", "north_left")})
 
 
@@ -292,22 +314,25 @@ def network_strain(spark, d):
     return network.strain(rows, "x", "y", "e", "n").select("n", *(F.round(k, 6).alias(k) for k in ("dedx", "dndx", "dedy", "dndy", "dilatation", "shear", "rotation")))
 
 
-@query(f"WITH {NETWORK} SELECT k, 0e0 AS e, 0e0 AS n FROM s")
+@query(f"""WITH {NETWORK}, g AS (SELECT k, x - (SELECT avg(x) FROM s) AS dx, y - (SELECT avg(y) FROM s) AS dy, 1 + 0.3e0 * x - 0.2e0 * y + v AS e, 2 + 0.2e0 * x + 0.3e0 * y - v * y / 9 AS n FROM s),
+m AS (SELECT avg(e) AS e0, avg(n) AS n0, sum(dx * e + dy * n) / sum(dx * dx + dy * dy) AS scale, sum(dx * n - dy * e) / sum(dx * dx + dy * dy) AS turn FROM g)
+SELECT k, round(e - e0 - scale * dx + turn * dy, 6) + 0e0 AS e, round(n - n0 - scale * dy - turn * dx, 6) + 0e0 AS n FROM g, m""")
 def network_helmert_removed(spark, d):
-    x, y = c("x", "y")
-    rows = stations(spark, d).withColumns({"e": 1 + 0.3 * x - 0.2 * y, "n": 2 + 0.2 * x + 0.3 * y})
+    x, y, v = c("x", "y", "v")
+    rows = stations(spark, d).withColumns({"e": 1 + 0.3 * x - 0.2 * y + v, "n": 2 + 0.2 * x + 0.3 * y - v * y / 9})
     rows = network.remove_helmert(rows, "x", "y", "e", "n")
     return named(rows, {"e": F.col("e"), "n": F.col("n")})
 
 
-@query("SELECT event_id, 0e0 AS left_over FROM events")
+@query(f"""WITH b AS (SELECT event_id, value, cos(2 * pi() * 24 / 12.42e0 * t) AS c, sin(2 * pi() * 24 / 12.42e0 * t) AS s, 1e0 AS o FROM (SELECT event_id, value, epoch_us(ts) / 86400e6 - 19723 AS t FROM events)),
+{solved3('m', sums3('o', 'c', 's', 'value', 'b'))}
+SELECT event_id, round(value - m1 - m2 * c - m3 * s, 5) + 0e0 AS left_over FROM b, m""")
 def series_tides_removed(spark, d):
-    periods = (12.42, 25.82)
-    t = geo.decimal_year(F.col("ts")) * 366 - 2024 * 366
-    rows = table(spark, d, "events").select("event_id", t.alias("t"))
-    waves = network.tidal_design(F.col("t"), periods)
-    rows = rows.withColumn("v", sum(w * (k + 1.0) for k, w in enumerate(waves)))
-    rows, _ = network.remove_fit(rows, waves, "v", "left_over")
+    """The events' values without their mean and the part that follows the main tide."""
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6) - 19723
+    rows = table(spark, d, "events").select("event_id", "value", t.alias("t"))
+    waves = network.tidal_design(F.col("t"), (12.42,))
+    rows, _ = network.remove_fit(rows, [waves[0], *waves[2:]], "value", "left_over")
     return rows.select("event_id", (F.round("left_over", 5) + 0.0).alias("left_over"))
 
 
@@ -317,9 +342,11 @@ def data_covariance(spark, d):
     return network.covariances(stations(spark, d), "k", "x", "y", "v", 2.0, 0.5, 1.0).select("a", "b", F.round("value", 6).alias("value"))
 
 
-@query("SELECT 3e0 AS sill, 12.5e0 AS length")
+@query("""WITH b AS (SELECT p_size * 1e0 AS h, ln(avg(p_retailprice) / 300 * exp(-p_size / 12.5e0)) AS v, count(*) * 1e0 AS w FROM part WHERE p_size > 0 GROUP BY p_size),
+s AS (SELECT sum(w) AS s, sum(w * h) AS sh, sum(w * h * h) AS shh, sum(w * v) AS sv, sum(w * h * v) AS shv FROM b)
+SELECT round(exp((sv * shh - shv * sh) / (s * shh - sh * sh)), 6) AS sill, round(-(s * shh - sh * sh) / (s * shv - sh * sv), 6) AS length FROM s""")
 def covariogram_fit(spark, d):
-    bins = table(spark, d, "part").where("p_size > 0").groupBy("p_size").count().withColumn("value", 3.0 * F.exp(-F.col("p_size") / 12.5))
+    bins = table(spark, d, "part").where("p_size > 0").groupBy("p_size").agg(F.count("*").alias("count"), F.avg("p_retailprice").alias("price")).withColumn("value", F.col("price") / 300 * F.exp(-F.col("p_size") / 12.5))
     sill, length = network.fit_exponential(bins, "p_size", "value", "count")
     return spark.createDataFrame([(round(sill, 6), round(length, 6))], "sill double, length double")
 

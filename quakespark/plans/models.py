@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import downsample, graph, inversion, series
-from .queries import query, r, table
+from .queries import SQL, query, r, table
 
 GREENS = "g AS (SELECT o_orderkey AS row, 1e0 AS a, o_custkey % 50 / 10e0 AS b, o_totalprice / 100000 + o_custkey % 50 / 9e0 AS d, 1 / (1e0 + o_orderkey % 3) AS w FROM orders), n AS (SELECT sum(w * a * a) + 2 AS aa, sum(w * a * b) AS ab, sum(w * b * b) + 3 AS bb, sum(w * a * d) + 2 * 5 AS ad, sum(w * b * d) AS bd FROM g)"
 
@@ -151,3 +151,7 @@ def _lloyd(rounds: int) -> str:
 def cluster_centers(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 400).alias("y"))
     return series.centered(rows, ["x", "y"], [(0, 0), (10, 10), (25, 20)], 3)[0].select("k", "cluster")
+
+
+# The same clusters under their older name.
+SQL["cluster_dbscan"] = SQL["cluster_density"]
