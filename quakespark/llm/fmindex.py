@@ -212,7 +212,7 @@ class Bucket:
         shard = (mix(a) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         for s, part in _by(shard, order):
-            yield s, _pack(a[part], np.minimum(count[part], 255).astype(np.uint8), two[part].astype(np.uint8))
+            yield s, _pack(a[part], np.minimum(count[part], (1 << 32) - 1).astype(np.uint32), two[part].astype(np.uint8))
 
     def segments(self, heard: list[bytes], shards: int) -> tuple:
         """Occurrences (document, first word, windows) of shared anchors and their segment's number; segments by shard."""
@@ -274,7 +274,9 @@ class Bucket:
 
 
 def _by(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    bounds = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
+    if not len(order):
+        return
+    bounds = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
     for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
         yield int(shard[order[a]]), order[a:b]
 
@@ -297,7 +299,8 @@ def remove_repeats(docs: DataFrame, cut: bool = False, bucket: int = BUCKET, sha
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row: without words under a window that starts in an earlier document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = 1 + size // bucket, 1 + size // shard
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("bucket")
+    # by id and text: rows of one id (or none) are compared by their id alone, so they need not lie together
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("bucket")
 
     def told(pairs: Iterator[tuple[int, bytes]], bucket: int) -> pa.Table:
         pairs = list(pairs)
@@ -307,7 +310,7 @@ def remove_repeats(docs: DataFrame, cut: bool = False, bucket: int = BUCKET, sha
         return told(Bucket(t).tell_anchors(shards), key[0].as_py())
 
     def share(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        parts = [_unpack(x, "u8", "u1", "u1") for x in t.column("packed").to_pylist()]
+        parts = [_unpack(x, "u8", "u4", "u1") for x in t.column("packed").to_pylist()]
         a, count, two = (np.concatenate([p[k] for p in parts]) for k in range(3))
         of = np.repeat(t.column("bucket").to_numpy(), [len(p[0]) for p in parts])
         order = np.argsort(a, kind="stable")

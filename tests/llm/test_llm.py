@@ -322,6 +322,17 @@ def test_substring_dedup_matches_brute_force(spark, often):
     assert fmindex.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    shared, other = line(20), line(20)
+    rows = [[5, f"{line(5)} {shared} {line(4)}"], [5, f"{shared} {line(9)}"], [5, f"{line(3)} {other}"], [7, f"{line(2)} {shared}"], [3, f"{other} {line(3)}"]]
+    rows += [[None, f"{line(i)} {shared} {other}"] for i in range(30)] + [[None, None], [9, None]]
+    got = fmindex.remove_repeats(frame(spark, rows), bucket=300, shard=300).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == {(5, 0): 2, (5, 20): 1, (7, 20): 1, (3, 0): 1, (None, 0): 31, (9, 0): 1}
+    assert sum(r.n_words for r in got) == sum(len((t or "").split()) for _, t in rows)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(5)
     t = np.append(rng.integers(1, 5, 400), 0)
