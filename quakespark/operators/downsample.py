@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import inversion
+from .shared import checkpoint
+
 
 def cells(df: DataFrame, x: str, y: str, origin: tuple[float, float], size: float, level: Column | int = 0) -> DataFrame:
     """Add level, ix and iy of the half-open square that holds each pixel; squares halve with each level."""
@@ -60,3 +67,63 @@ def by_distance(df: DataFrame, x: str, y: str, value: str, distance: Column, ori
     """Statistics of cells that halve each time the distance halves: level ``levels`` up to ``near`` away, 0 from near * 2^levels on."""
     level = F.greatest(F.lit(0), F.least(F.lit(levels), F.lit(levels) - F.ceil(F.log2(F.greatest(distance / near, F.lit(1.0))))))
     return cell_statistics(cells(df, x, y, origin, size, level.cast("int")), x, y, value)
+
+
+def resolutions(greens: DataFrame, parameters: int, damping: float = 0.0) -> DataFrame:
+    """(row, resolution): the diagonal of G (G'G + damping)^-1 G', how much a datum alone decides of what is predicted for it.
+
+    The parameters' products come from ``inversion.products``; their inverse, as large as parameters squared, goes to the tasks.
+    """
+    given = greens.select("row", F.lit(0.0).alias("d"), F.lit(1.0).alias("weight"), F.lit(0).alias("part")).distinct()
+    none = (np.zeros((parameters, parameters)), None, 0.0, 0)
+    inverse = np.linalg.pinv(inversion.parts(greens, given, parameters).get(0, none)[0] + damping * np.eye(parameters), hermitian=True)
+    sent = greens.sparkSession.sparkContext.broadcast(inverse)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("col").to_pylist(), b.column("value").to_pylist(), strict=True)
+            own = [float(np.array(v) @ sent.value[np.ix_(c, c)] @ np.array(v)) for c, v in rows]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(own, pa.float64())], ["row", "resolution"])
+
+    packed = greens.groupBy("row").agg(F.collect_list(F.struct(F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"))).alias("g"))
+    return packed.select("row", F.col("g.col").alias("col"), F.col("g.value").alias("value")).mapInArrow(run, "row long, resolution double")
+
+
+def by_resolution(
+    df: DataFrame, x: str, y: str, value: str, origin: tuple[float, float], size: float, levels: int, greens: Callable[[DataFrame], DataFrame], parameters: int, threshold: float,
+    damping: float = 0.0, start: int = 0, rounds: int | None = None,
+) -> DataFrame:
+    """(level, ix, iy, x, y, value, n, resolution): squares split in four while their data resolution is above ``threshold``.
+
+    ``greens`` gives (row, col, value) for cells (row, x, y). Pixels are read once, into sums of the finest squares, from which all
+    others are added up. Each round works out the resolution of all cells anew and splits those above the threshold, until
+    none is left that can be split (``rounds`` ends it earlier). Empty squares are no cells; null values count for nothing.
+    """
+    sums = ("n", "s", "sx", "sy")
+    fine = cells(df.where(F.col(value).isNotNull()), x, y, origin, size, levels).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(x).cast("double")).alias("sx"), F.sum(F.col(y).cast("double")).alias("sy"))
+    fine = checkpoint(fine)
+
+    def lifted(level: Column | int) -> list[Column]:
+        side = F.pow(F.lit(2.0), F.lit(levels) - (level if isinstance(level, Column) else F.lit(level)))
+        return [F.floor(F.col(c) / side).cast("long") for c in ("ix", "iy")]
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("level", "ix", "iy").agg(*(F.sum(c).alias(c) for c in sums))
+
+    now = checkpoint(added(fine.select(F.lit(start).alias("level"), *(c.alias(n) for c, n in zip(lifted(start), ("ix", "iy"), strict=True)), *sums)))
+    done = 0
+    while True:
+        row = F.shiftleft(F.col("level").cast("long"), 56) + F.shiftleft(F.col("ix") + (1 << 27), 28) + F.col("iy") + (1 << 27)
+        named = now.withColumns({"row": row, "x": F.col("sx") / F.col("n"), "y": F.col("sy") / F.col("n")})
+        known = resolutions(greens(named.select("row", "x", "y")), parameters, damping)
+        judged = checkpoint(named.join(known, "row", "left").withColumn("resolution", F.coalesce("resolution", F.lit(0.0))))
+        split = judged.where((F.col("resolution") > threshold) & (F.col("level") < levels))
+        if done == rounds or split.isEmpty():
+            return judged.select("level", "ix", "iy", "x", "y", (F.col("s") / F.col("n")).alias("value"), "n", "resolution")
+        every = fine.select("*", F.explode(F.sequence(F.lit(start), F.lit(levels - 1))).alias("level"))
+        above = every.withColumns({"_x": lifted(F.col("level"))[0], "_y": lifted(F.col("level"))[1]})
+        open_ = split.select("level", F.col("ix").alias("_x"), F.col("iy").alias("_y"))
+        below = above.join(open_, ["level", "_x", "_y"]).withColumn("level", F.col("level") + 1)
+        children = below.select("level", *(c.alias(n) for c, n in zip(lifted(F.col("level")), ("ix", "iy"), strict=True)), *sums)
+        kept = judged.where(~((F.col("resolution") > threshold) & (F.col("level") < levels))).select("level", "ix", "iy", *sums)
+        now, done = checkpoint(kept.unionByName(added(children))), done + 1

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quakespark.plans import files, geodesy, lines, models, patches, queries, sources  # noqa: F401 (they register their queries)
+from quakespark.plans import cells, files, geodesy, lines, models, patches, queries, sources  # noqa: F401 (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
