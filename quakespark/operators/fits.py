@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.geo import is_finite
 from .quantiles import quantiles
@@ -78,3 +81,74 @@ def helmert(df: DataFrame, x: str, y: str, east: str, north: str) -> np.ndarray:
     dx, dy = F.col(x) - cx, F.col(y) - cy
     rows = df.select(F.inline(F.array(F.struct(F.lit(1.0).alias("e"), F.lit(0.0).alias("n"), dy.alias("r"), dx.alias("s"), F.col(east).alias("v")), F.struct(F.lit(0.0).alias("e"), F.lit(1.0).alias("n"), (-dx).alias("r"), dy.alias("s"), F.col(north).alias("v")))))
     return solve(rows, [F.col(c) for c in ("e", "n", "r", "s")], "v")
+
+
+def decay(df: DataFrame, by: Sequence[str], t: str, value: str, kind: str = "exp", rounds: int = 60, close: float = 1e-7) -> DataFrame:
+    """(by, offset, amplitude, tau, rms, n, settled): offset + amplitude * f(t / tau) fitted to each series, t counted from the onset.
+
+    ``kind`` is exp (f = 1 - exp(-u)) or log (f = ln(1 + u)); f is 0 before the onset. All series are fitted at once by Levenberg-Marquardt:
+    a round is one aggregate of products at the parameters on trial, one row a series, and a step worked out on those rows, so a
+    series of any length is never gathered. Rows with a null or non-finite number don't count. Series of fewer than three rows,
+    without rows after the onset, or whose sums give no step, come back with ``settled`` false and what they have.
+    """
+    from .shared import checkpoint
+
+    keys = [F.col(c) for c in by]
+    time, v = F.col(t).cast("double"), F.col(value).cast("double")
+    rows = checkpoint(df.where(is_finite(time) & is_finite(v)).select(*keys, time.alias("_t"), v.alias("_v")))
+    after = F.when(F.col("_t") > 0, F.col("_t"))
+    first = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("c"), (F.stddev_pop("_v") * 0).alias("a"), F.log(F.avg(after)).alias("s"))
+    state = first.select(*by, "n", "c", "a", "s", F.lit(1e-3).alias("damping"), F.lit(None).cast("double").alias("best"), F.col("c").alias("tc"), F.col("a").alias("ta"), F.col("s").alias("ts"), (F.col("s").isNull() | (F.col("n") < 3)).alias("stuck"), F.lit(False).alias("settled"))
+    names = ["c", "a", "s", "damping", "best", "tc", "ta", "ts", "stuck", "settled"]
+    sums = [f"p{i}{j}" for i in range(3) for j in range(i, 3)] + [f"r{i}" for i in range(3)] + ["cost"]
+    state = checkpoint(state)
+    schema = rows.select(*by).schema
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            get = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            old, trial = (np.stack([get(c) for c in cs], -1) for cs in (("c", "a", "s"), ("tc", "ta", "ts")))
+            p = np.empty((b.num_rows, 3, 3))
+            for i in range(3):
+                for j in range(i, 3):
+                    p[:, i, j] = p[:, j, i] = get(f"p{i}{j}")
+            g, cost, best, damping = np.stack([get(f"r{i}") for i in range(3)], -1), get("cost"), get("best"), get("damping")
+            stuck, settled = get("stuck") > 0, get("settled") > 0
+            better = ~(cost >= best) & np.isfinite(cost)  # the first round has no best cost
+            now = np.where(better[:, None], trial, old)
+            damping = np.where(better, damping / 5, damping * 4)
+            ok = better & ~stuck & np.isfinite(p).all((1, 2))
+            size = np.sqrt(np.where(np.einsum("nii->ni", p) > 0, np.einsum("nii->ni", p), 1.0))
+            scaled = np.where(ok[:, None, None], p / size[:, :, None] / size[:, None, :], np.eye(3))
+            go = np.linalg.solve(scaled + (damping[:, None, None] + 1e-14) * np.eye(3), np.where(ok[:, None], g / size, 0.0)[:, :, None])[:, :, 0] / size
+            go[:, 2] = np.clip(go[:, 2], -2, 2)
+            moves = np.abs(go * size).max(1)
+            settled = settled | (ok & (moves <= close * np.sqrt(np.maximum(cost, 1e-300)) + 1e-14)) | (~better & (damping > 1e12))
+            # a refused step: shorter, from where it started
+            short = old + (trial - old) / 4
+            ahead = np.where(better[:, None], now + go, short)
+            stuck = stuck | settled
+            out = [*now.T, damping, np.where(better, cost, best), *np.where(stuck[:, None], now, ahead).T]
+            columns = [b.column(c) for c in (*by, "n")] + [pa.array(x, mask=~np.isfinite(x)) for x in out] + [pa.array(stuck), pa.array(settled)]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "n", *names])
+
+    tau, amplitude = F.exp(F.col("ts")), F.col("ta")
+    u = F.when(F.col("_t") > 0, F.col("_t")).otherwise(0.0) / tau
+    f, slope = (1 - F.exp(-u), -u * F.exp(-u)) if kind == "exp" else (F.log1p(u), -u / (1 + u))
+    design = [F.lit(1.0), F.col("_f"), amplitude * F.col("_d")]
+    off = F.col("_v") - F.col("tc") - amplitude * F.col("_f")
+    kept = StructType([*schema.fields, StructField("n", LongType()), *(StructField(c, BooleanType() if c in ("stuck", "settled") else DoubleType()) for c in names)])
+    same = [F.col(f"_k{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)]
+    for _ in range(rounds):
+        open_ = state.where("not stuck")
+        if open_.isEmpty():
+            break
+        tried = open_.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by)), "tc", "ta", "ts")
+        met = rows.join(tried, functools.reduce(lambda x, y: x & y, same), "inner").select(*by, "_v", "tc", "ta", f.alias("_f"), slope.alias("_d"))
+        products = [F.sum(design[i] * design[j]).alias(f"p{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(design[i] * off).alias(f"r{i}") for i in range(3)] + [F.sum(off * off).alias("cost")]
+        made = met.groupBy(*by).agg(*products).select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by)), *sums)
+        going = open_.join(made, functools.reduce(lambda x, y: x & y, same)).select(*by, "n", *names, *sums)
+        state = checkpoint(state.where("stuck").unionByName(going.mapInArrow(step, kept)))
+    return state.select(*by, F.col("c").alias("offset"), F.col("a").alias("amplitude"), F.exp("s").alias("tau"), F.sqrt(F.col("best") / F.col("n")).alias("rms"), "n", "settled")
