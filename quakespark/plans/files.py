@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shared import folder
-from ..sources import formats, text
-from .queries import query, table
+from ..sources import formats, grids, text
+from .queries import query, r, table
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -257,3 +257,33 @@ def file_series_by_station(spark, d):
     formats.write_series_by_station(table(spark, d, "events"), path, "user_id", ["ts", "value"])
     rows = spark.read.text(path).select(F.col("user_id").cast("long").alias("station"), F.expr("try_cast(element_at(split(value, ' '), -1) as double)").alias("v"))
     return rows.groupBy("station").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+# Binary grids
+
+
+def _grid(spark, d):
+    """A grid of 50 columns: the mean price of the lines of each quantity, for rows of orders."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("row"), (F.col("l_quantity") - 1).cast("long").alias("col"), "l_extendedprice")
+    return rows.groupBy("row", "col").agg((F.max("l_extendedprice") / 1000).cast("float").cast("double").alias("value"), F.count("*").cast("double").alias("lines"))
+
+
+_GRID = "g AS (SELECT l_orderkey % 500 AS row, CAST(l_quantity - 1 AS BIGINT) AS col, CAST(CAST(max(l_extendedprice) / 1000 AS FLOAT) AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_GRID} SELECT row, col, round(30 + 0.1e0 * col, 6) AS x, round(50 - 0.1e0 * row, 6) AS y, round(value, 4) AS value FROM g")
+def grid_raw(spark, d):
+    """Written as bands of raw numbers and read again, several ranges a band."""
+    path = place(spark, "grid")
+    grids.write_raw(_grid(spark, d), path, 50, x=(30.0, 0.1), y=(50.0, -0.1), rows_per_file=128)
+    back = grids.read(spark, path, bytes=8000).where("value is not null")
+    return back.select("row", "col", r("x", 6), r("y", 6), r("value"))
+
+
+@query(f"WITH {_GRID} SELECT row, col, round(30 + 0.1e0 * col, 6) AS x, round(50 - 0.1e0 * row, 6) AS y, round(value, 4) AS value, lines FROM g WHERE row BETWEEN 100 AND 180")
+def grid_netcdf(spark, d):
+    """Written as NetCDF files of two variables and read again, ranges outside the rows asked for left out."""
+    path = place(spark, "grid")
+    grids.write_netcdf(_grid(spark, d), path, 50, ["value", "lines"], x=(30.0, 0.1), y=(50.0, -0.1), rows_per_file=128)
+    back = grids.read(spark, path, "netcdf", variables="value,lines", bytes=8000).where("row >= 100 and row <= 180 and value is not null")
+    return back.select("row", "col", r("x", 6), r("y", 6), r("value"), "lines")
