@@ -52,22 +52,27 @@ def remove_ramp(df: DataFrame, x: str, y: str, value: str, kind: str = "linear",
     return df.withColumn(value, F.col(value) - evaluate(design, parameters))
 
 
-def huber(df: DataFrame, design: Sequence[Column], value: str, bend: float = 1.345, rounds: int = 25, tolerance: float = 1e-8) -> np.ndarray:
-    """Robust parameters: weights fall beyond ``bend`` scales, the scale being 1.4826 median absolute deviations."""
-    now = solve(df, design, value)
-    for _ in range(rounds):
+def huber(df: DataFrame, design: Sequence[Column], value: str, bend: float = 1.345, rounds: int = 200, tolerance: float = 1e-8, scaled: int = 4) -> np.ndarray:
+    """Robust parameters: weights fall beyond ``bend`` scales, the scale being 1.4826 median absolute deviations.
+
+    The scale is worked out anew in the first ``scaled`` rounds, which take several passes each; later ones, of one pass, keep it.
+    Raises if the parameters don't settle.
+    """
+    now, scale = solve(df, design, value), 0.0
+    for k in range(rounds):
         off = F.col(value) - evaluate(design, now)
-        middle = quantiles(df, off, [0.5])[0] or 0.0
-        scale = 1.4826 * (quantiles(df, F.abs(off - middle), [0.5])[0] or 0.0)
-        if scale == 0:
-            break
+        if k < scaled:
+            middle = quantiles(df, off, [0.5])[0] or 0.0
+            scale = 1.4826 * (quantiles(df, F.abs(off - middle), [0.5])[0] or 0.0)
+            if scale == 0:
+                return now
         weight = F.least(F.lit(1.0), bend * scale / F.greatest(F.abs(off), F.lit(1e-300)))
         new = solve(df, design, value, weight)
         done = np.abs(new - now).max() <= tolerance * max(1.0, np.abs(now).max())
         now = new
         if done:
-            break
-    return now
+            return now
+    raise RuntimeError(f"robust parameters didn't settle in {rounds} rounds")
 
 
 def linear_by_group(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -152,3 +157,81 @@ def decay(df: DataFrame, by: Sequence[str], t: str, value: str, kind: str = "exp
         going = open_.join(made, functools.reduce(lambda x, y: x & y, same)).select(*by, "n", *names, *sums)
         state = checkpoint(state.where("stuck").unionByName(going.mapInArrow(step, kept)))
     return state.select(*by, F.col("c").alias("offset"), F.col("a").alias("amplitude"), F.exp("s").alias("tau"), F.sqrt(F.col("best") / F.col("n")).alias("rms"), "n", "settled")
+
+
+def with_covariance(df: DataFrame, design: Sequence[Column], value: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Least-squares parameters, their covariance by the residuals' own variance, that variance, and the number of rows.
+
+    Only sums of products reach the driver. Without more rows than parameters the variance is NaN.
+    """
+    w, v, n = F.lit(1.0) if weight is None else weight, F.col(value), len(design)
+    row = df.agg(*_sums(design, v, w), F.sum(v * v * w).alias("vv"), F.count("*").alias("n")).first()
+    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    d = np.array([row[f"d{i}"] or 0.0 for i in range(n)])
+    m = np.linalg.lstsq(g, d, rcond=None)[0]
+    free = row["n"] - n
+    variance = max((row["vv"] or 0.0) - 2 * m @ d + m @ g @ m, 0.0) / free if free > 0 else float("nan")
+    return m, variance * np.linalg.pinv(g, hermitian=True), variance, row["n"]
+
+
+def _slopes_up_to(x: np.ndarray, y: np.ndarray, slope: float) -> int:
+    """How many pairs of different x have a slope of at most ``slope``: inversions of y - slope x, counted bit by bit of their ranks."""
+    n = len(x)
+    z = y - slope * x
+    order = np.lexsort((z, x))
+    z, x = z[order], x[order]
+    rank = np.empty(n, np.int64)
+    # of equal z a later x counts as lower, and rows of one x stand in their order
+    rank[np.lexsort((np.arange(n), -x, z))] = np.arange(n)
+    total = 0
+    for bit in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+        by = np.argsort(rank >> (bit + 1), kind="stable")
+        group, one = (rank >> (bit + 1))[by], (rank >> bit & 1)[by]
+        ones = np.cumsum(one)
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        before = np.repeat(ones[head] - one[head], np.diff(np.append(head, n)))
+        total += int((ones - before)[one == 0].sum())
+    return total
+
+
+def _middle_slope(x: np.ndarray, y: np.ndarray) -> float:
+    """The median of the slopes of all pairs of different x, by bisection on their number."""
+    _, same = np.unique(x, return_counts=True)
+    pairs = len(x) * (len(x) - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not pairs:
+        return float("nan")
+    order = np.argsort(x, kind="stable")
+    sx, sy = x[order], y[order]
+    gap = np.diff(np.unique(sx)).min()
+    reach = (sy.max() - sy.min()) / gap + 1e-300
+
+    def ranked(k: int) -> float:
+        low, high = -reach, reach
+        for _ in range(200):
+            mid = (low + high) / 2
+            if mid in (low, high):
+                break
+            low, high = (low, mid) if _slopes_up_to(x, y, mid) >= k else (mid, high)
+        return high
+
+    first = ranked((pairs + 1) // 2)
+    return first if pairs % 2 else (first + ranked(pairs // 2 + 1)) / 2
+
+
+def theil_sen(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """(by, slope, intercept, n): the median slope of all pairs of a series, and the median of y - slope x.
+
+    No list of pairs is made: the pairs below a slope are counted as inversions, n log n a count. A series (16 bytes a row) is one
+    task's. Rows with null or non-finite numbers don't count; the slope is null without two different x.
+    """
+    kept = df.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double"))).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = StructType([*df.select(*by).schema.fields, StructField("slope", DoubleType()), StructField("intercept", DoubleType()), StructField("n", LongType())])
+
+    def fit(t: pa.Table) -> pa.Table:
+        px, py = t.column("_x").to_numpy(), t.column("_y").to_numpy()
+        slope = _middle_slope(px, py)
+        known = np.isfinite(slope)
+        cut = float(np.median(py - slope * px)) if known else None
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in by}, "slope": pa.array([slope if known else None], pa.float64()), "intercept": pa.array([cut], pa.float64()), "n": pa.array([len(px)], pa.int64())})
+
+    return kept.groupBy(*by).applyInArrow(fit, schema)

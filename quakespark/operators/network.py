@@ -68,14 +68,42 @@ def principal_strain(df: DataFrame) -> DataFrame:
     return df.withColumns({"first": (e + n) / 2 + most, "second": (e + n) / 2 - most, "max_shear": most, "azimuth": F.pmod(90 - F.degrees(F.atan2(2 * s, e - n)) / 2, F.lit(180.0))})
 
 
-def rotation_vector(df: DataFrame, lon: str, lat: str, east: str, north: str) -> np.ndarray:
-    """Rotation vector (x, y, z, degrees a million years) that fits velocities in mm/yr; only 3 x 3 sums reach the driver."""
+def _rotation_rows(df: DataFrame, lon: str, lat: str, east: str, north: str) -> tuple[DataFrame, list[Column]]:
     km = geo.EARTH_KM * math.pi / 180
     o, a = F.radians(lon), F.radians(lat)
     e = [-F.sin(a) * F.cos(o) * km, -F.sin(a) * F.sin(o) * km, F.cos(a) * km]
     n = [F.sin(o) * km, -F.cos(o) * km, F.lit(0.0)]
     both = df.select(F.explode(F.array(*(F.struct(*(c.alias(f"g{k}") for k, c in enumerate(g)), F.col(v).alias("v")) for g, v in ((e, east), (n, north))))).alias("r")).select("r.*")
-    return fits.solve(both, [F.col(f"g{k}") for k in range(3)], "v")
+    return both, [F.col(f"g{k}") for k in range(3)]
+
+
+def rotation_vector(df: DataFrame, lon: str, lat: str, east: str, north: str) -> np.ndarray:
+    """Rotation vector (x, y, z, degrees a million years) that fits velocities in mm/yr; only 3 x 3 sums reach the driver."""
+    both, design = _rotation_rows(df, lon, lat, east, north)
+    return fits.solve(both, design, "v")
+
+
+def rotation_fit(df: DataFrame, lon: str, lat: str, east: str, north: str) -> dict[str, float]:
+    """Pole, rate and their standard deviations, and the variance of the velocities left over, of the rotation that fits best."""
+    both, design = _rotation_rows(df, lon, lat, east, north)
+    vector, covariance, variance, n = fits.with_covariance(both, design, "v")
+    x, y, z = vector
+    flat, size = math.hypot(x, y), float(np.linalg.norm(vector))
+    if not flat:
+        return {"lon": float("nan"), "lat": math.copysign(90.0, z), "rate": size, "sd_lon": float("nan"), "sd_lat": float("nan"), "sd_rate": float("nan"), "variance": variance, "n": n}
+    slopes = np.array([[-y / flat**2, x / flat**2, 0.0], [-x * z / (flat * size**2), -y * z / (flat * size**2), flat / size**2], vector / size])
+    slopes[:2] = np.degrees(slopes[:2])
+    spread = np.sqrt(np.maximum(np.diag(slopes @ covariance @ slopes.T), 0.0))
+    at = pole(vector)
+    return dict(zip(("lon", "lat", "rate"), at, strict=True)) | dict(zip(("sd_lon", "sd_lat", "sd_rate"), map(float, spread), strict=True)) | {"variance": variance, "n": n}
+
+
+def referenced(df: DataFrame, station: str, names: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Velocities less the mean ones of the named stations; raises where none of them is in the network."""
+    at = df.where(F.col(station).isin(list(names))).agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values)).first()
+    if not at["n"]:
+        raise ValueError(f"no station of {', '.join(map(str, names))} is in the network")
+    return df.withColumns({v: F.col(v) - float(at[v]) for v in values if at[v] is not None})
 
 
 def pole(vector: np.ndarray) -> tuple[float, float, float]:

@@ -287,3 +287,51 @@ def grid_netcdf(spark, d):
     grids.write_netcdf(_grid(spark, d), path, 50, ["value", "lines"], x=(30.0, 0.1), y=(50.0, -0.1), rows_per_file=128)
     back = grids.read(spark, path, "netcdf", variables="value,lines", bytes=8000).where("row >= 100 and row <= 180 and value is not null")
     return back.select("row", "col", r("x", 6), r("y", 6), r("value"), "lines")
+
+
+# Networks and offsets across faults
+
+
+_NET = "n AS (SELECT 's' || s_suppkey AS station, (s_suppkey * 7) % 360 * 1e0 AS lon, s_nationkey * 1e0 AS lat, s_acctbal / 1000 AS ve, s_suppkey % 11 / 2e0 AS vn, s_suppkey % 5 - 2e0 AS vu, s_suppkey % 4 / 4e0 AS s FROM supplier)"
+
+
+def _net(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("station"), (k * 7 % 360).cast("double").alias("lon"), F.col("s_nationkey").cast("double").alias("lat"), (F.col("s_acctbal") / 1000).alias("ve"), (k % 11 / 2).alias("vn"), (k % 5 - 2.0).alias("vu"), *((k % 4 / 4).alias(c) for c in ("se", "sn", "su")))
+
+
+_SOLUTION = f"WITH {_NET} SELECT station, round(lon, 6) AS lon, round(lat, 6) AS lat, round(ve * 2, 6) AS ve, round(vn * 2, 6) AS vn, round(vu * 2, 6) + 0e0 AS vu, CASE WHEN s = 0 THEN 2 ELSE s * 2 END AS se FROM n"
+
+
+@query(_SOLUTION)
+def file_network_solution(spark, d):
+    path = place(spark, "solution")
+    formats.write(_net(spark, d), path, formats.TABLES["network_solution"])
+    return rounded(formats.network_solution(spark, path, 2.0), "lon", "lat", "ve", "vn", "vu", "se", keys=("station",))
+
+
+@query(_SOLUTION)
+def file_paired_solution(spark, d):
+    one, two = place(spark, "velocities"), place(spark, "places")
+    formats.write(_net(spark, d), one, formats.TABLES["solution_velocities"])
+    formats.write(_net(spark, d), two, formats.TABLES["solution_places"])
+    return rounded(formats.paired_solution(spark, one, two, 2.0), "lon", "lat", "ve", "vn", "vu", "se", keys=("station",))
+
+
+@query(f"WITH {_NET} SELECT station, round(lon, 6) AS lon, round(lat, 6) AS lat, round(ve, 6) AS ve, round(vn, 6) AS vn, 0e0 AS vu, round(s, 6) AS se FROM n")
+def file_by_axis(spark, d):
+    """Lines for east and north only, so that the vertical is 0."""
+    path = place(spark, "axes")
+    axis = lambda v, e, n: F.struct(F.col(v).alias("velocity"), F.col("se").alias("error"), F.lit(e).alias("east"), F.lit(n).alias("north"), F.lit(0).alias("up"))
+    rows = _net(spark, d).select("station", "lon", "lat", "se", F.explode(F.array(axis("ve", 1, 0), axis("vn", 0, 1))).alias("a")).select("station", "lon", "lat", "a.*")
+    formats.write(rows, path, formats.TABLES["by_axis"])
+    return rounded(formats.by_axis(spark, path), "lon", "lat", "ve", "vn", "vu", "se", keys=("station",))
+
+
+@query(f"WITH {_NET} SELECT station, round(lon + cos(radians(vn * 30)) / (111 * cos(radians(lat))), 6) AS lon1, round(lat - sin(radians(vn * 30)) / 111, 6) + 0e0 AS lat1, round(lat + sin(radians(vn * 30)) / 111, 6) + 0e0 AS lat2, round(ve, 6) AS parallel, round(s, 6) AS parallel_error, CAST(NULL AS DOUBLE) AS across FROM n")
+def file_cross_fault(spark, d):
+    """Points on a fault with a width of 2 km, strike and offset."""
+    path = place(spark, "offsets")
+    rows = _net(spark, d).select("station", "lon", "lat", F.lit(2.0).alias("width"), (F.col("vn") * 30).alias("strike"), F.col("ve").alias("parallel"), F.col("se").alias("parallel_error"))
+    formats.write(rows, path, {**formats.TABLES["cross_fault_points"], "parallel_error": 6})
+    return rounded(formats.cross_fault(spark, path, "points"), "lon1", "lat1", "lat2", "parallel", "parallel_error", "across", keys=("station",))

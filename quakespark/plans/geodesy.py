@@ -154,6 +154,37 @@ def network_euler_rotation(spark, d):
     return named(rows.join(left, "k"), {n: F.col(n) for n in ("east", "north", "east_left", "north_left")})
 
 
+@query(f"""WITH {P}, a AS (SELECT radians(lon) AS o, radians(lat) AS f, slip, rake FROM p),
+b AS (SELECT -sin(f) * cos(o) * {_KM} AS a1, -sin(f) * sin(o) * {_KM} AS a2, cos(f) * {_KM} AS a3, slip * 20 AS v FROM a UNION ALL SELECT sin(o) * {_KM}, -cos(o) * {_KM}, 0e0, rake / 50 FROM a),
+{solved3('m', sums3('a1', 'a2', 'a3', 'v', 'b'))},
+l AS (SELECT sum(pow(v - a1 * m1 - a2 * m2 - a3 * m3, 2)) / (count(*) - 3) AS variance, count(*) AS n FROM b, m),
+q AS (SELECT *, variance / (g11 * c11 + g12 * c12 + g13 * c13) AS f, sqrt(m1 * m1 + m2 * m2) AS flat, sqrt(m1 * m1 + m2 * m2 + m3 * m3) AS size FROM m, m_c, l)
+SELECT round(degrees(atan2(m2, m1)), 4) AS lon, round(degrees(atan2(m3, flat)), 4) AS lat, round(size, 8) AS rate, round(variance, 5) AS variance, n,
+  round(sqrt(f * (m1 * m1 * c11 + m2 * m2 * c22 + m3 * m3 * c33 + 2 * (m1 * m2 * c12 + m1 * m3 * c13 + m2 * m3 * c23))) / size, 8) AS sd_rate,
+  round(degrees(sqrt(f * (m2 * m2 * c11 + m1 * m1 * c22 - 2 * m1 * m2 * c12)) / pow(flat, 2)), 4) AS sd_lon FROM q""")
+def network_pole_uncertainty(spark, d):
+    """The pole that fits velocities with other motion best, with standard deviations."""
+    rows = points(spark, d).withColumns({"east": F.col("slip") * 20, "north": F.col("rake") / 50})
+    got = network.rotation_fit(rows, "lon", "lat", "east", "north")
+    digits = {"lon": 4, "lat": 4, "rate": 8, "variance": 5, "sd_rate": 8, "sd_lon": 4}
+    return spark.createDataFrame([(*(round(float(got[k]), n) for k, n in digits.items()), got["n"])], ", ".join(f"{k} double" for k in digits) + ", n long")
+
+
+@query(f"WITH {NETWORK}, m AS (SELECT avg(x) AS x0, avg(v) AS v0 FROM s WHERE k IN (3, 5)) SELECT k, round(x - x0, 6) + 0e0 AS x, round(v - v0, 6) + 0e0 AS v FROM s, m")
+def network_referenced(spark, d):
+    rows = network.referenced(stations(spark, d), "k", [3, 5], ["x", "v"])
+    return named(rows, {"x": F.col("x"), "v": F.col("v")})
+
+
+@query(f"""WITH {NETWORK}, q AS (SELECT a.nation, (b.v - a.v) / (b.x - a.x) AS slope FROM s a JOIN s b ON a.nation = b.nation AND a.x < b.x), m AS (SELECT nation, median(slope) AS slope FROM q GROUP BY 1)
+SELECT nation, round(any_value(slope), 5) + 0e0 AS slope, round(median(v - slope * x), 5) + 0e0 AS intercept, count(*) AS n FROM s LEFT JOIN m USING (nation) GROUP BY nation""")
+def network_theil_sen(spark, d):
+    """Median slopes by nation; the SQL lists all pairs, the operator counts them."""
+    from ..operators import fits
+
+    return fits.theil_sen(stations(spark, d), ["nation"], "x", "v").select("nation", r("slope", 5), r("intercept", 5), "n")
+
+
 @query(f"WITH {P} SELECT brand, round((degrees(atan2(sum(sin(radians(strike))), sum(cos(radians(strike))))) + 360) % 360, 4) AS direction FROM p GROUP BY 1")
 def geo_circular_mean(spark, d):
     return points(spark, d).groupBy("brand").agg(F.round(geo.circular_mean(F.col("strike")), 4).alias("direction"))

@@ -40,6 +40,13 @@ TABLES: dict[str, dict[str, int]] = {
     "cells": {"number": 0, **{f"{a}{k + 1}": 10 + 2 * k + j for k in range(4) for j, a in enumerate("xy")}},
     "triangles": {"number": 0, **{f"{a}{k + 1}": 2 + 2 * k + j for k in range(3) for j, a in enumerate("xy")}},
     "xyz": {"lon": 0, "lat": 1, "value": 2},
+    "network_solution": {"station": 0, "lat": 7, "lon": 8, "vn": 19, "ve": 20, "vu": 21, "sn": 22, "se": 23, "su": 24},
+    "solution_velocities": {"station": 0, "vn": 7, "ve": 8, "vu": 9, "sn": 10, "se": 11, "su": 12},
+    "solution_places": {"station": 0, "lat": 8, "lon": 9},
+    "by_axis": {"velocity": 1, "error": 2, "east": 3, "north": 4, "up": 5, "station": 9, "lon": 10, "lat": 11},
+    "cross_fault_pairs": {"station": 0, "lon1": 1, "lat1": 2, "lon2": 3, "lat2": 4, "strike": 5, "parallel": 6},
+    "cross_fault_points": {"station": 0, "lon": 1, "lat": 2, "width": 3, "strike": 4, "parallel": 5},
+    "cross_fault_uneven": {"station": 0, "lon": 1, "lat": 2, "width1": 3, "width2": 4, "strike": 5, "parallel": 6},
 }
 _WORDS = frozenset({"station", "id"})
 
@@ -107,6 +114,53 @@ def velocities(spark: SparkSession, path: str, up: bool = False, factor: float =
     return rows if up else rows.withColumns({"vu": F.lit(None).cast("double"), "su": F.lit(None).cast("double")})
 
 
+def network_solution(spark: SparkSession, path: str, factor: float = 1.0, least_error: float = 1.0) -> DataFrame:
+    """Station velocities of a network's solution file; errors of 0 become ``least_error``."""
+    return _velocities(table(spark, path, TABLES["network_solution"]), factor, least_error)
+
+
+def paired_solution(spark: SparkSession, velocities: str, places: str, factor: float = 1.0, least_error: float = 1.0) -> DataFrame:
+    """Station velocities from a file of velocities and one of coordinates; stations that aren't in both go."""
+    rows = table(spark, velocities, TABLES["solution_velocities"]).join(table(spark, places, TABLES["solution_places"]), "station")
+    return _velocities(rows, factor, least_error)
+
+
+def by_axis(spark: SparkSession, path: str, factor: float = 1.0) -> DataFrame:
+    """Station velocities from one line for each direction, marked by a 1 for east, north or up; directions without a line are 0."""
+    rows = table(spark, path, TABLES["by_axis"])
+    along = lambda value, axis: F.coalesce(F.max(F.when(F.col(axis) == 1, F.col(value))), F.lit(0.0)) * factor
+    sums = [along(value, axis).alias(f"{c}{axis[0]}") for c, value in (("v", "velocity"), ("s", "error")) for axis in ("east", "north", "up")]
+    out = rows.groupBy("station").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), *sums)
+    return out.withColumn("lon", positive_longitude(F.col("lon")))
+
+
+def _velocities(rows: DataFrame, factor: float, least_error: float) -> DataFrame:
+    scaled = {c: F.col(c) * factor for c in ("ve", "vn", "vu")} | {c: F.when(F.col(c) == 0, least_error).otherwise(F.col(c)) * factor for c in ("se", "sn", "su")}
+    return rows.withColumns(scaled | {"lon": positive_longitude(F.col("lon"))})
+
+
+def cross_fault(spark: SparkSession, path: str, layout: str = "pairs") -> DataFrame:
+    """Offsets across a fault (station, lon1, lat1, lon2, lat2, strike, parallel, parallel_error, across, across_error, up, up_error).
+
+    ``layout`` is pairs (two points), points (a point on the fault and the width around it) or uneven (a width on either side).
+    Places in degrees; widths in km. What a line doesn't have is null.
+    """
+    fields = TABLES[f"cross_fault_{layout}"]
+    most = max(fields.values())
+    more = {c: most + 1 + k for k, c in enumerate(("parallel_error", "across", "across_error", "up", "up_error"))}
+    line = F.split(F.trim("value"), r"\s+")
+    number = lambda k: F.expr(f"try_cast(get(p, {k}) as double)")
+    rows = spark.read.text(path).where(~F.trim("value").startswith("#")).select(line.alias("p")).where(F.size("p") > most)
+    rows = rows.select(F.get("p", F.lit(0)).alias("station"), *(number(k).alias(c) for c, k in {**fields, **more}.items() if c != "station")).dropna(subset=[c for c in fields if c != "station"])
+    if layout != "pairs":
+        a, b = ("width1", "width2") if layout == "uneven" else ("width", "width")
+        s, half = F.radians("strike"), 1.0 if layout == "uneven" else 0.5
+        east, north = F.cos(s) / (111.0 * F.cos(F.radians("lat"))), -F.sin(s) / 111.0
+        for n, width, side in (("1", a, 1), ("2", b, -1)):
+            rows = rows.withColumns({f"lon{n}": F.col("lon") + side * half * F.col(width) * east, f"lat{n}": F.col("lat") + side * half * F.col(width) * north})
+    return rows.select("station", "lon1", "lat1", "lon2", "lat2", "strike", "parallel", *more)
+
+
 def creep(spark: SparkSession, path: str) -> DataFrame:
     """(station, date, offset): one file a station, named after it; the day is added to the 1st of January."""
     station = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/.]*)?$", 1)

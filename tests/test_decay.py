@@ -48,3 +48,19 @@ def test_decays_beside_dense_fits(spark, kind):
         assert (got[k].offset, got[k].amplitude, got[k].tau) == (pytest.approx(offset, abs=1e-3), pytest.approx(amplitude, rel=1e-3), pytest.approx(tau, rel=1e-3))
         assert got[k].tau == pytest.approx(made[k][2], rel=0.2)
     assert fits.decay(spark.createDataFrame([], "g long, t double, v double"), ["g"], "t", "v", kind).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_middle_slopes_beside_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 60))
+    x, y = rng.integers(0, 10 if seed % 2 else 1000, n).astype(float), rng.normal(size=n).round(1 if seed % 3 else 9)
+    slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(n) if x[i] < x[j]]
+    got = fits._middle_slope(x, y)
+    assert (np.isnan(got) and not slopes) or got == pytest.approx(np.median(slopes), rel=1e-9, abs=1e-9)
+
+
+def test_theil_sen_of_odd_series(spark):
+    rows = [("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", 3.0, 100.0), ("one", 1.0, 2.0), ("same", 1.0, 2.0), ("same", 1.0, 3.0), ("gap", None, 1.0), ("gap", float("nan"), 1.0)]
+    got = {r.g: r for r in fits.theil_sen(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got["a"].slope == pytest.approx(49.5) and got["one"].slope is None and got["same"].slope is None and "gap" not in got
