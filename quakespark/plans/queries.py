@@ -612,15 +612,6 @@ def cluster_dbscan(spark, d):
     return graph.dbscan(cus, "c_custkey", "x", "y", 1.5, 4)
 
 
-@query()
-def cluster_kmeans(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=8, seed=1, maxIter=10).fit(rows).transform(rows).select("vec_id", "prediction")
-
-
 # Functions of columns
 
 
