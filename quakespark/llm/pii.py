@@ -22,7 +22,7 @@ from .common import arrow_map
 
 KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
 # Scores of confirmed spans before context, words that raise them, and lengths of IBANs by country.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "local_phone": 0.3}
 CONTEXT = {
     "email": "email e-mail mail contact correo courriel",
     "ip": "ip address host server adresse",

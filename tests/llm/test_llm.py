@@ -170,6 +170,8 @@ def test_pii_context_speaks_for_and_against(spark):
     score = lambda t: {k: x for k, _, _, x in pii.find(t)}
     assert score("call 555-123-4567") == {"local_phone": 0.6} and score("555-123-4567") == score("call, order 555-123-4567") == {}
     assert score("version 1.2.3.4")["ip"] < score("1.2.3.4")["ip"] < score("host 1.2.3.4")["ip"]
+    iban = "DE89370400440532013000"
+    assert score(iban) == {"iban": 0.7} and score(f"konto {iban}") == {"iban": 1.0} and "iban" not in score(f"serial part {iban}")
     only = spark.createDataFrame([("a@b.cc",)], "text string")
     assert pii.clean(only).columns == ["text"] and pii.clean(only).first().text == "<EMAIL>"
 
