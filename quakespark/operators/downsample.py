@@ -127,3 +127,37 @@ def by_resolution(
         children = below.select("level", *(c.alias(n) for c, n in zip(lifted(F.col("level")), ("ix", "iy"), strict=True)), *sums)
         kept = judged.where(~((F.col("resolution") > threshold) & (F.col("level") < levels))).select("level", "ix", "iy", *sums)
         now, done = checkpoint(kept.unionByName(added(children))), done + 1
+
+
+def by_slopes(df: DataFrame, x: str, y: str, value: str, origin: tuple[float, float], size: float, threshold: float, levels: int, what: str = "gradient") -> DataFrame:
+    """Squares split in four while their ``gradient`` or ``curvature`` is above ``threshold``: (level, ix, iy, x, y, value, n, measure).
+
+    A square's measure comes from a plane through the means of its quarters: the absolute mean of its two slopes, or the deviation of
+    the quarters from it; it is 0 with fewer than three quarters, or where these lie on one line. All levels come from one pass over the
+    pixels, the sums of the finest quarters. A square is in the result if it isn't split and all above it are. Null values don't count.
+    """
+    v = F.col(value).cast("double")
+    fine = cells(df.where(v.isNotNull()), x, y, origin, size, levels + 1).groupBy("ix", "iy").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(F.col(x).cast("double")).alias("sx"), F.sum(F.col(y).cast("double")).alias("sy"))
+    up = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels + 1) - level)).cast("long")
+    every = fine.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "*")
+    quarters = every.groupBy("level", up("ix", F.col("level") + 1).alias("qx"), up("iy", F.col("level") + 1).alias("qy")).agg(*(F.sum(c).alias(c) for c in ("n", "s", "sx", "sy")))
+    means = quarters.withColumns({"x": F.col("sx") / F.col("n"), "y": F.col("sy") / F.col("n"), "v": F.col("s") / F.col("n")})
+    sums = means.groupBy("level", F.floor(F.col("qx") / 2).cast("long").alias("ix"), F.floor(F.col("qy") / 2).cast("long").alias("iy")).agg(
+        F.count("*").alias("parts"), *(F.sum(c).alias(c) for c in ("n", "s", "sx", "sy")), *(F.covar_pop(a, b).alias(a + b) for a, b in ("xx", "yy", "xy", "xv", "yv", "vv"))
+    )
+    xx, yy, xy, xv, yv, vv = (F.col(c) for c in ("xx", "yy", "xy", "xv", "yv", "vv"))
+    det = xx * yy - xy * xy
+    a, b = F.try_divide(xv * yy - yv * xy, det), F.try_divide(yv * xx - xv * xy, det)
+    measure = F.abs(a + b) / 2 if what == "gradient" else F.sqrt(F.greatest(F.lit(0.0), vv - a * xv - b * yv))
+    flat = (F.col("parts") < 3) | (det <= 1e-12 * xx * yy)
+    stats = sums.withColumn("measure", F.when(flat, 0.0).otherwise(measure)).withColumn("split", (F.col("measure") > threshold) & (F.col("level") < levels))
+    return _unsplit(stats).select("level", "ix", "iy", (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), (F.col("s") / F.col("n")).alias("value"), "n", "measure")
+
+
+def _unsplit(stats: DataFrame) -> DataFrame:
+    """Rows of (level, ix, iy, split ...) that aren't split themselves, while all squares above them are."""
+    above = stats.where(~F.col("split")).select("level", "ix", "iy", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("up"))
+    lift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level") - F.col("up"))).cast("long")
+    marks = stats.select(F.col("level").alias("up"), F.col("ix").alias("ux"), F.col("iy").alias("uy"), F.col("split").alias("open"))
+    opened = above.withColumns({"ux": lift("ix"), "uy": lift("iy")}).join(marks, ["up", "ux", "uy"]).groupBy("level", "ix", "iy").agg(F.sum(F.col("open").cast("long")).alias("opened"))
+    return stats.join(opened.where(F.col("opened") == F.col("level")).drop("opened"), ["level", "ix", "iy"])

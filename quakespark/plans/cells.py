@@ -100,3 +100,36 @@ def geo_flat_offsets(spark, d):
     lat = F.col("c_nationkey").cast("double")
     east, north = geo.flat_distance(F.lit(10.0), lat, F.lit(10.7), lat + F.col("c_acctbal") / 5000 - 0.2)
     return table(spark, d, "customer").select("c_custkey", east.alias("east"), north.alias("north")).select("c_custkey", r("east", 6), r("north", 6))
+
+
+def _slopes(level: int, levels: int) -> str:
+    """The squares of a level with their gradient and curvature, from the means of their quarters."""
+    wide = 2 ** (levels - level)
+    return f"""q{level} AS (SELECT ix // {wide} AS qx, iy // {wide} AS qy, sum(n) AS n, sum(s) AS s, sum(sx) AS sx, sum(sy) AS sy, sum(sx) / sum(n) AS x, sum(sy) / sum(n) AS y, sum(s) / sum(n) AS v FROM fine GROUP BY 1, 2),
+p{level} AS (SELECT qx // 2 AS ix, qy // 2 AS iy, count(*) AS parts, sum(n) AS n, sum(s) AS s, sum(sx) AS sx, sum(sy) AS sy, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, v) AS xv, covar_pop(y, v) AS yv, covar_pop(v, v) AS vv FROM q{level} GROUP BY 1, 2),
+a{level} AS (SELECT *, xx * yy - xy * xy AS det, (xv * yy - yv * xy) / nullif(xx * yy - xy * xy, 0) AS a, (yv * xx - xv * xy) / nullif(xx * yy - xy * xy, 0) AS b FROM p{level}),
+m{level} AS (SELECT {level} AS level, ix, iy, sx / n AS x, sy / n AS y, s / n AS value, CAST(n AS BIGINT) AS n, CASE WHEN parts < 3 OR det <= 1e-12 * xx * yy THEN 0 ELSE abs(a + b) / 2 END AS gradient, CASE WHEN parts < 3 OR det <= 1e-12 * xx * yy THEN 0 ELSE sqrt(greatest(0, vv - a * xv - b * yv)) END AS curvature FROM a{level})"""
+
+
+def _split_by(what: str, threshold: float) -> str:
+    shown = f"level, ix, iy, round(x, 5) AS x, round(y, 5) AS y, round(value, 5) + 0e0 AS value, n, round({what}, 6) + 0e0 AS measure"
+    return f"""WITH fine AS (SELECT CAST(floor(x / 8) AS BIGINT) AS ix, CAST(floor(y / 8) AS BIGINT) AS iy, count(*) AS n, sum(v) AS s, sum(x) AS sx, sum(y) AS sy FROM (SELECT l_quantity AS x, l_extendedprice / 2000 AS y, l_discount * 100 + l_quantity / 5 AS v FROM lineitem) GROUP BY 1, 2),
+{_slopes(0, 2)}, {_slopes(1, 2)}, {_slopes(2, 2)}
+SELECT {shown} FROM m0 WHERE {what} <= {threshold} UNION ALL SELECT {shown} FROM m1 c WHERE {what} <= {threshold} AND (SELECT {what} FROM m0 p WHERE p.ix = c.ix // 2 AND p.iy = c.iy // 2) > {threshold}
+UNION ALL SELECT {shown} FROM m2 c WHERE (SELECT {what} FROM m1 p WHERE p.ix = c.ix // 2 AND p.iy = c.iy // 2) > {threshold} AND (SELECT {what} FROM m0 p WHERE p.ix = c.ix // 4 AND p.iy = c.iy // 4) > {threshold}"""
+
+
+def _by_slopes(spark, d, threshold, what):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"), (F.col("l_discount") * 100 + F.col("l_quantity") / 5).alias("v"))
+    out = downsample.by_slopes(rows, "x", "y", "v", (0.0, 0.0), 64.0, threshold, 2, what)
+    return out.select("level", "ix", "iy", r("x", 5), r("y", 5), r("value", 5), "n", r("measure", 6))
+
+
+@query(_split_by("gradient", 0.0975))
+def downsample_gradient(spark, d):
+    return _by_slopes(spark, d, 0.0975, "gradient")
+
+
+@query(_split_by("curvature", 0.016))
+def downsample_curvature(spark, d):
+    return _by_slopes(spark, d, 0.016, "curvature")
