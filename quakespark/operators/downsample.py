@@ -161,3 +161,12 @@ def _unsplit(stats: DataFrame) -> DataFrame:
     marks = stats.select(F.col("level").alias("up"), F.col("ix").alias("ux"), F.col("iy").alias("uy"), F.col("split").alias("open"))
     opened = above.withColumns({"ux": lift("ix"), "uy": lift("iy")}).join(marks, ["up", "ux", "uy"]).groupBy("level", "ix", "iy").agg(F.sum(F.col("open").cast("long")).alias("opened"))
     return stats.join(opened.where(F.col("opened") == F.col("level")).drop("opened"), ["level", "ix", "iy"])
+
+
+def report(pixels: DataFrame, cells: DataFrame, value: str) -> DataFrame:
+    """One row: pixels with a value, cells, pixels a cell, the largest cell, levels, and the mean and deviation of the cells' values weighted by pixels."""
+    whole = pixels.agg(F.count(value).alias("pixels"))
+    n, v = F.col("n"), F.col("value")
+    mean = F.try_divide(F.sum(n * v), F.sum(n))
+    own = cells.agg(F.count("*").alias("cells"), F.max("n").alias("largest"), F.min("level").alias("coarsest"), F.max("level").alias("finest"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(n * v * v), F.sum(n)) - mean * mean)).alias("deviation"))
+    return whole.join(F.broadcast(own)).withColumn("pixels_a_cell", F.try_divide(F.col("pixels").cast("double"), F.col("cells")))

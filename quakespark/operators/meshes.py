@@ -167,3 +167,21 @@ def profile_crossing(traces: DataFrame, by: Sequence[str], order: str, x: str, y
     hit = ((s0 >= 0) != (s1 >= 0)) & along.between(0.0, 2 * half)
     met = rows.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("n"), F.min(F.when(hit, half - along)).alias("d"))
     return met.select(*by, F.when(F.col("n") == 1, F.col("d")).alias("distance"))
+
+
+def checkerboard(i: str, j: str, size: int, high: float, low: float = 0.0) -> Column:
+    """Slip that alternates in squares of ``size`` patches of a grid, ``high`` where the first patch is."""
+    square = F.floor(F.col(i) / size) + F.floor(F.col(j) / size)
+    return F.when(F.pmod(square, F.lit(2)) == 0, float(high)).otherwise(float(low))
+
+
+def indexed(df: DataFrame, key: str, corners: Sequence[tuple[str, str, str]], digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(v, x, y, z) of the distinct corners and (key, v0, v1, v2) of the triangles, from triangles with their own corners.
+
+    Corners are one vertex where their places agree to ``digits`` decimals; a vertex is named by the smallest (key, corner) that has it,
+    as the number 3 * key + corner, so nothing is numbered across the table.
+    """
+    each = df.select(F.col(key).alias("key"), F.posexplode(F.array(*(F.struct(*((F.round(F.col(c).cast("double"), digits) + 0.0).alias(n) for c, n in zip(p, "xyz", strict=True))) for p in corners))).alias("corner", "p"))
+    named = each.groupBy("p").agg(F.min(F.col("key") * 3 + F.col("corner")).alias("v"))
+    faces = each.join(named, "p").groupBy("key").agg(*(F.max(F.when(F.col("corner") == k, F.col("v"))).alias(f"v{k}") for k in range(3)))
+    return named.select("v", "p.x", "p.y", "p.z"), faces.withColumnRenamed("key", key)

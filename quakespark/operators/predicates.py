@@ -120,3 +120,13 @@ def depth_window(df: DataFrame, column: str, low: float, high: float) -> DataFra
 def drop_vertical(df: DataFrame, up: str) -> DataFrame:
     """Pixels whose look vector isn't straight up; a null look goes too."""
     return df.where(F.col(up) != 1.0)
+
+
+def unit_looks(df: DataFrame, e: str, n: str, u: str, tolerance: float = 1e-5) -> DataFrame:
+    """Rows whose look vector has length one; null vectors go."""
+    return df.where(F.abs(F.sqrt(F.col(e) ** 2 + F.col(n) ** 2 + F.col(u) ** 2) - 1) <= tolerance)
+
+
+def within_profile(df: DataFrame, low: float, high: float, bottom: float, top: float, along: str = "along", value: str = "value") -> DataFrame:
+    """Rows of a profile outside both a range of places and a range of values go; ranges are closed, null values go."""
+    return df.where(F.col(along).between(low, high) & F.col(value).between(bottom, top))

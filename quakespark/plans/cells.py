@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import aggregates, downsample, joins, ordered, sets
+from ..operators import aggregates, downsample, joins, meshes, ordered, predicates, sets
 from .geodesy import NETWORK, stations
 from .queries import query, r, table
 
@@ -133,3 +133,43 @@ def downsample_gradient(spark, d):
 @query(_split_by("curvature", 0.016))
 def downsample_curvature(spark, d):
     return _by_slopes(spark, d, 0.016, "curvature")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(e, 6) AS e FROM (SELECT *, l_discount * 6 AS e, l_tax * 10 AS n FROM lineitem) WHERE abs(sqrt(e * e + n * n + 0.36e0) - 1) <= 0.05")
+def pixels_unit_looks(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 6).alias("e"), (F.col("l_tax") * 10).alias("n"), F.lit(0.6).alias("u"))
+    return predicates.unit_looks(rows, "e", "n", "u", 0.05).select("l_orderkey", "l_linenumber", r("e", 6))
+
+
+@query("SELECT event_id FROM events WHERE user_id BETWEEN 20 AND 90 AND value BETWEEN 50 AND 400")
+def profile_cleaned(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("along"), "value")
+    return predicates.within_profile(rows, 20, 90, 50, 400).select("event_id")
+
+
+@query("SELECT p_partkey, CASE WHEN (p_partkey % 40 // 5 + p_partkey // 40 // 5) % 2 = 0 THEN 1.5e0 ELSE 0.25e0 END AS slip FROM part")
+def patches_checkerboard(spark, d):
+    """Slip of a grid of 40 columns in squares of five patches."""
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("i"), F.floor(F.col("p_partkey") / 40).alias("j"))
+    return rows.select("p_partkey", meshes.checkerboard("i", "j", 5, 1.5, 0.25).alias("slip"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k, c, CASE c WHEN 0 THEN s_suppkey % 10 WHEN 1 THEN s_suppkey % 10 + 1 ELSE s_suppkey % 10 END * 1e0 AS x, CASE c WHEN 2 THEN s_suppkey // 10 + 1 ELSE s_suppkey // 10 END * 1e0 AS y, s_suppkey % 3 * 0e0 AS z FROM supplier, (VALUES (0), (1), (2)) v(c)),
+v AS (SELECT x, y, z, min(k * 3 + c) AS v FROM t GROUP BY 1, 2, 3), f AS (SELECT k, c, v FROM t JOIN v USING (x, y, z))
+SELECT a.k, a.v AS v0, b.v AS v1, d.v AS v2 FROM f a JOIN f b ON a.k = b.k AND b.c = 1 JOIN f d ON a.k = d.k AND d.c = 2 WHERE a.c = 0""")
+def mesh_indexed(spark, d):
+    """Triangles that carry their own corners become faces of shared vertices."""
+    k = F.col("s_suppkey")
+    x, y = (k % 10).cast("double"), F.floor(k / 10).cast("double")
+    rows = table(spark, d, "supplier").select(k.alias("k"), x.alias("x0"), y.alias("y0"), (x + 1).alias("x1"), y.alias("y1"), x.alias("x2"), (y + 1).alias("y2"), *(F.lit(0.0).alias(f"z{j}") for j in range(3)))
+    return meshes.indexed(rows, "k", [(f"x{j}", f"y{j}", f"z{j}") for j in range(3)])[1]
+
+
+@query(f"""{_split_by('gradient', 0.0975).replace('SELECT level, ix, iy, round(x, 5)', ', r AS (SELECT level, ix, iy, round(x, 5)', 1)}),
+SELECT (SELECT count(*) FROM lineitem) AS pixels, count(*) AS cells, max(n) AS largest, min(level) AS coarsest, max(level) AS finest, round(sum(n * value) / sum(n), 4) AS mean, round((SELECT count(*) FROM lineitem) / count(*), 4) AS pixels_a_cell FROM r""".replace("),\nSELECT (SELECT", ")\nSELECT (SELECT"))
+def downsample_report(spark, d):
+    """What a down-sampling keeps."""
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"), (F.col("l_discount") * 100 + F.col("l_quantity") / 5).alias("v"))
+    cells = downsample.by_slopes(rows, "x", "y", "v", (0.0, 0.0), 64.0, 0.0975, 2)
+    out = downsample.report(rows, cells.withColumn("value", F.round("value", 5)), "v")
+    return out.select("pixels", "cells", "largest", "coarsest", "finest", r("mean"), r("pixels_a_cell"))
