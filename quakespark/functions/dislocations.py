@@ -40,6 +40,25 @@ def rectangle_corners(x: np.ndarray, y: np.ndarray, depth: np.ndarray, strike: n
     return np.stack([top - along, top + along, top + along + down, top - along + down], 1)
 
 
+def compound_corners(x: np.ndarray, y: np.ndarray, depth: np.ndarray, turns: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """(sources, 3, 4, 3) corners of three rectangles at right angles through a centre: half axes (sources, 3), turned about east, north and up.
+
+    Turns are (sources, 3) degrees counterclockwise, the one about east first. The k-th rectangle lies across the k-th axis.
+    """
+    t = np.radians(turns)
+    (ca, cb, cc), (sa, sb, sc) = np.cos(t).T, np.sin(t).T
+    zero, one = 0 * ca, 0 * ca + 1
+    matrix = lambda *rows: np.moveaxis(np.array(rows), -1, 0)
+    about = matrix([cc, -sc, zero], [sc, cc, zero], [zero, zero, one]) @ matrix([cb, zero, sb], [zero, one, zero], [-sb, zero, cb]) @ matrix([one, zero, zero], [zero, ca, -sa], [zero, sa, ca])
+    half = np.swapaxes(about, 1, 2) * axes[:, :, None] * np.array([1, 1, -1])  # as x, y and depth
+    center = np.stack([x, y, depth], -1)[:, None, :]
+    out = []
+    for k in range(3):
+        p, q = half[:, (k + 1) % 3], half[:, (k + 2) % 3]
+        out.append(center + np.stack([-p - q, p - q, p + q, -p + q], 1))
+    return np.stack(out, 1)
+
+
 def slip_vectors(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The patches' normals as their corners turn, and (patches, 3 slips, 3) vectors of unit slip of the side above."""
     n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])

@@ -157,3 +157,36 @@ def inside(observations: DataFrame, patches: DataFrame, poisson: float = 0.25, s
         return out
     lame = 2 * shear_modulus * poisson / (1 - 2 * poisson) * (F.col("ee") + F.col("nn") + F.col("uu"))
     return out.withColumns({f"s_{c}": 2 * shear_modulus * F.col(c) + (lame if c[0] == c[1] else F.lit(0.0)) for c in STRAINS})
+
+
+COMPOUND = ("x", "y", "depth", "turn_east", "turn_north", "turn_up", "half_east", "half_north", "half_up", "opening")
+
+
+def compound(observations: DataFrame, sources: DataFrame, poisson: float = 0.25, near: int = NEAR) -> DataFrame:
+    """(row, east, north, up) of compound sources: three rectangles at right angles that open alike, a cavity of any shape at a distance.
+
+    Sources are given by centre, turns (degrees), half axes and opening; a half axis of 0 makes a crack or less. A source
+    that reaches above the surface adds nulls to all rows; nulls in a source add nothing.
+    """
+
+    def make(row: np.ndarray, place: np.ndarray, col: np.ndarray, given: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(row), 3))
+        given = given[np.isfinite(given).all(1)]
+        corners = dislocations.compound_corners(*given[:, :3].T, given[:, 3:6], given[:, 6:9]).reshape(-1, 4, 3)
+        opening = np.repeat(given[:, 9], 3)
+        if (corners[..., 2] < 0).any():
+            total[:] = np.nan
+        flat = (np.linalg.norm(corners[:, 1] - corners[:, 0], axis=1) > 0) & (np.linalg.norm(corners[:, 3] - corners[:, 0], axis=1) > 0)
+        corners, opening = corners[flat], opening[flat]
+        for i, j in _tiles(len(row), len(corners)):
+            u = dislocations.polygon_surface(place[i, 0], place[i, 1], corners[j], poisson)[:, :, 2]
+            total[i] += np.einsum("nmk,m->nk", u, opening[j])
+        total[~np.isfinite(place).all(1)] = np.nan
+        yield pa.RecordBatch.from_arrays([pa.array(row), *(_clean(total[:, k]) for k in range(3))], ["row", *AXES])
+
+    return _added(*_blocks(observations, sources, ("x", "y"), COMPOUND, make, "row long, " + ", ".join(f"{c} double" for c in AXES), near), AXES)
+
+
+def volume(opening, half_east, half_north, half_up):
+    """Volume that a compound source opens."""
+    return 4 * opening * (half_east * half_north + half_north * half_up + half_east * half_up)

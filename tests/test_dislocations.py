@@ -113,3 +113,22 @@ def test_empty_tables(spark):
         assert {r.up for r in greens.displacement(obs, patches.limit(0), near=near).collect()} <= {0.0, None}
         assert greens.displacement(obs.limit(0), patches, near=near).count() == 0
         assert greens.surface(obs, patches.limit(0), near=near).count() == 0
+
+
+def test_compound_sources(spark):
+    x, y = places(200)
+    # three rectangles by their own angles, turned by 30 degrees about the vertical: strikes are clockwise
+    corners = kernels.compound_corners(np.array([1.0]), np.array([2.0]), np.array([6.0]), np.array([[0.0, 0.0, 30.0]]), np.array([[1.0, 2.0, 1.5]]))
+    whole = kernels.polygon_surface(x, y, corners[0])[:, :, 2].sum(1)
+    across = np.radians(30)
+    sill = kernels.rectangle_inside(x, y, 0 * x, np.array([1 + 2 * -np.sin(across) * 1, 2 + 2 * np.cos(across) * 1, 6.0, 60.0, 0.0, 2.0, 4.0]))[0][:, 2]
+    walls = [kernels.rectangle_inside(x, y, 0 * x, np.array([1.0, 2.0, 4.5, strike, 90.0, length, 3.0]))[0][:, 2] for strike, length in ((60.0, 2.0), (330.0, 4.0))]
+    assert np.abs(whole - sill - sum(walls)).max() < 1e-9
+    # a small cube far away is a sphere of pressure: its volume is (1 + nu) / (3 (1 - nu)) of what opens
+    obs = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "row long, x double, y double")
+    source = spark.createDataFrame([(0, 1.0, 2.0, 8.0, 10.0, 20.0, 30.0, 0.05, 0.05, 0.05, 2.0), (1, None, 2.0, 8.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0)], ", ".join(["col long", *(f"{c} double" for c in greens.COMPOUND)]))
+    got = np.array([[r.east, r.north, r.up] for r in greens.compound(obs, source).orderBy("row").collect()])
+    sphere = greens.volume(2.0, 0.05, 0.05, 0.05) * 1.25 / (3 * 0.75) * 0.75 / np.pi / ((x - 1) ** 2 + (y - 2) ** 2 + 64) ** 1.5
+    assert np.abs(got - np.stack([x - 1, y - 2, 8 + 0 * x], 1) * sphere[:, None]).max() < 1e-3 * np.abs(got).max()
+    assert greens.compound(obs, source.limit(0)).where("up = 0").count() == 200
+    assert greens.compound(obs, source.withColumn("depth", F.lit(0.0))).where("up is null").count() == 200
