@@ -62,7 +62,13 @@ def resampled(samples: DataFrame, order: str, weight: str, u: float, width: floa
 
     ``order`` is numeric and distinct, 0 <= u < 1; running sums are made by ranges of ``width`` of it. Adds ``copies``; samples drawn never stay with 0.
     """
+    return draws(samples, order, weight, u, width).drop("draw")
+
+
+def draws(samples: DataFrame, order: str, weight: str, u: float, width: float) -> DataFrame:
+    """The same with ``draw``, the number of draws that met earlier samples."""
     n, whole = samples.agg(F.count("*"), F.sum(weight)).first()
     run = running_total(samples, order, weight, width)
     upto = lambda c: F.greatest(F.lit(0), F.least(F.lit(n), F.floor(F.round(c / float(whole or 1.0) * n - u, 9)) + 1))
-    return run.withColumn("copies", (upto(F.col("running_sum")) - upto(F.col("running_sum") - F.col(weight))).cast("long")).drop("running_sum")
+    before = upto(F.col("running_sum") - F.col(weight))
+    return run.withColumns({"copies": (upto(F.col("running_sum")) - before).cast("long"), "draw": before.cast("long")}).drop("running_sum")

@@ -35,9 +35,11 @@ def next_beta(samples: DataFrame, beta: float, fit: str = "fit", variation: floa
         return 1.0
     for _ in range(passes):
         tries = np.linspace(low, high, TRIES + 1)[1:]
-        weight = [F.exp((float(t) - beta) * (F.col(fit) - top)) for t in tries]
-        sums = fits.agg(*(F.sum(w).alias(f"s{k}") for k, w in enumerate(weight)), *(F.sum(w * w).alias(f"q{k}") for k, w in enumerate(weight))).first()
-        spread = np.array([np.sqrt(max(n * sums[f"q{k}"] / sums[f"s{k}"] ** 2 - 1, 0.0)) if sums[f"s{k}"] else np.inf for k in range(TRIES)])
+        each = fits.select((F.col(fit) - top).alias("d"), F.explode(F.array(*(F.lit(float(t) - beta) for t in tries))).alias("t"))
+        weight = F.exp(F.col("t") * F.col("d"))
+        sums = {r["t"]: r for r in each.groupBy("t").agg(F.sum(weight).alias("s"), F.sum(weight * weight).alias("q")).collect()}
+        got = [sums[float(t) - beta] for t in tries]
+        spread = np.array([np.sqrt(max(n * r["q"] / r["s"] ** 2 - 1, 0.0)) if r["s"] else np.inf for r in got])
         over = np.flatnonzero(spread > variation)
         if not len(over):
             return float(high)
@@ -121,13 +123,9 @@ def sampled(spark: SparkSession, low: np.ndarray, high: np.ndarray, likelihood:
         weighted = checkpoint(now.withColumn("weight", F.exp((ahead - beta) * (F.col("fit") - float(top)))))
         _, covariance = spread(weighted, len(low))
         u = float(np.random.default_rng([seed, stage]).random())
-        picked = matrices.resampled(weighted, "chain", "weight", u, max(1.0, chains / 64)).where("copies > 0")
-        copies = picked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        # copies take the numbers of the draws that chose them: the running count of draws before their sample
-        from .ordered import running_total
-
-        counted = running_total(picked.select("chain", "copies"), "chain", "copies", max(1.0, chains / 64)).select("chain", (F.col("running_sum") - F.col("copies")).alias("before"))
-        copies = copies.join(counted, "chain").select((F.col("before") + F.col("copy")).cast("long").alias("chain"), "m", "fit")
+        # a copy takes the number of the draw that chose it
+        picked = matrices.draws(weighted, "chain", "weight", u, max(1.0, chains / 64)).where("copies > 0")
+        copies = picked.select("m", "fit", F.explode(F.sequence(F.col("draw"), F.col("draw") + F.col("copies") - 1)).alias("chain"))
         root = scale * np.linalg.cholesky(covariance + 1e-12 * np.eye(len(low)) * max(np.trace(covariance), 1e-300))
         now, beta = checkpoint(moved(copies, ahead, root, low, high, likelihood, steps, seed, stage)), ahead
         betas.append(beta)

@@ -90,7 +90,7 @@ def smc_line(spark, d):
     s = fits.normal_equations(rows, [F.lit(1.0), F.col("b")], "d").first()
     square = rows.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
     g = np.array([[s["g0_0"] or 0.0, s["g0_1"] or 0.0], [s["g0_1"] or 0.0, s["g1_1"] or 0.0]])
-    target = Quadratic(g, np.array([s["d0"] or 0.0, s["d1"] or 0.0]), square, max(1.0, s["n"] / 500))
-    samples, betas = sampling.sampled(spark, [-5.0, -5.0], [5.0, 5.0], target, chains=1000, steps=10)
+    target = Quadratic(g, np.array([s["d0"] or 0.0, s["d1"] or 0.0]), square, max(1.0, s["n"] / 40))
+    samples, betas = sampling.sampled(spark, [-2.0, -2.0], [4.0, 2.0], target, chains=500, steps=10)
     mean, covariance = sampling.spread(samples.withColumn("weight", F.lit(1.0)), 2)
     return spark.createDataFrame([(k, float(mean[k]), float(np.sqrt(covariance[k, k])), len(betas)) for k in range(2)], "col int, mean double, deviation double, stages int")
