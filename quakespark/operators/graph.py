@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import range_join
-from .shared import checkpoint
+from .shared import checkpoint, settled
 
 
 def edges(faces: DataFrame, face: str, corners: tuple[str, str, str]) -> DataFrame:
@@ -52,10 +52,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         return hung.where("a <> b").distinct()
 
     first, second = F.col(a), F.col(b)
-    now = checkpoint(pairs.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b")).where("a <> b").distinct())
+    now = settled(pairs.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(most):
-        now = checkpoint(step(step(now, True), False))
+        now = settled(step(step(now, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
