@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import greens
+from ..operators.shared import at_places
 
 from .queries import query, r, table
 
@@ -37,6 +38,11 @@ def points(spark, d):
     return table(spark, d, "part").select(k.alias("row"), (k % 97 / 2.0 - 7.13).alias("x"), (F.col("p_size") * 0.9 - 4.27).alias("y"), F.lit(0.0).alias("depth"))
 
 
+def placed(obs, work):
+    """What ``work`` gives at the distinct places of the points, for every point."""
+    return at_places(obs, "row", ("x", "y", "depth"), work)
+
+
 def rectangles(spark, d):
     k = F.col("n_nationkey")
     return table(spark, d, "nation").select(
@@ -58,25 +64,29 @@ def triangles(spark, d):
 
 @query(f"WITH {GREENS} SELECT k, patch, {', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in greens.VALUES)} FROM w")
 def greens_rectangles(spark, d):
-    return greens.surface(points(spark, d), rectangles(spark, d)).select(F.col("row").alias("k"), F.col("col").alias("patch"), *(r(c, 6) for c in greens.VALUES))
+    rows = placed(points(spark, d), lambda p: greens.surface(p, rectangles(spark, d)).select("row", F.col("col").alias("patch"), *(r(c, 6) for c in greens.VALUES)))
+    return rows.withColumnRenamed("row", "k")
 
 
 @query(f"WITH {GREENS} SELECT k, {SUMMED} FROM w GROUP BY k")
 def forward_patches(spark, d):
     """Displacement of a patch table, summed in the tasks that hold the points."""
-    return greens.displacement(points(spark, d), rectangles(spark, d)).select(F.col("row").alias("k"), *(r(c, 5) for c in greens.AXES))
+    rows = placed(points(spark, d), lambda p: greens.displacement(p, rectangles(spark, d)).select("row", *(r(c, 5) for c in greens.AXES)))
+    return rows.withColumnRenamed("row", "k")
 
 
 @query(f"WITH {GREENS} SELECT k, {SUMMED} FROM w GROUP BY k")
 def forward_triangles(spark, d):
     """The same patches cut into triangles, dealt over a grid of blocks as a large patch table would be."""
-    return greens.displacement(points(spark, d), triangles(spark, d), "triangle", near=0).select(F.col("row").alias("k"), *(r(c, 5) for c in greens.AXES))
+    rows = placed(points(spark, d), lambda p: greens.displacement(p, triangles(spark, d), "triangle", near=0).select("row", *(r(c, 5) for c in greens.AXES)))
+    return rows.withColumnRenamed("row", "k")
 
 
 @query(f"WITH {GREENS} SELECT k, {SUMMED} FROM w GROUP BY k")
 def forward_internal(spark, d):
     """The formulas for points at any depth, at the surface."""
-    return greens.inside(points(spark, d), rectangles(spark, d)).select(F.col("row").alias("k"), *(r(c, 5) for c in greens.AXES))
+    rows = placed(points(spark, d), lambda p: greens.inside(p, rectangles(spark, d)).select("row", *(r(c, 5) for c in greens.AXES)))
+    return rows.withColumnRenamed("row", "k")
 
 
 @query(f"""WITH {GREENS}, s AS (SELECT k, 0.38e0 * {{e}} - 0.11e0 * {{n}} + 0.92e0 * {{u}} AS v FROM (SELECT k, {', '.join(f"sum({' + '.join(f'{SLIP[s]} * {s}_{a}' for s in ('strike', 'dip'))}) AS {a}" for a in greens.AXES)} FROM w GROUP BY k))
@@ -85,16 +95,19 @@ def greens_line_of_sight(spark, d):
     """Green's functions along a look vector as a (row, col, value) table, and the data that slips predict by it."""
     from . import forward
 
-    obs, patches = points(spark, d), rectangles(spark, d)
-    looks = obs.select("row", F.lit(0.38).alias("le"), F.lit(-0.11).alias("ln"), F.lit(0.92).alias("lu"))
-    g = greens.along(greens.surface(obs, patches), looks)
+    patches = rectangles(spark, d)
     model = patches.select(F.explode(F.array(F.struct((F.col("col") * 2).alias("col"), F.col("strike_slip").alias("m")), F.struct((F.col("col") * 2 + 1).alias("col"), F.col("dip_slip").alias("m")))).alias("x")).select("x.*")
-    return forward.predict(g, model).select("row", r("predicted", 5))
+
+    def seen(p):
+        looks = p.select("row", F.lit(0.38).alias("le"), F.lit(-0.11).alias("ln"), F.lit(0.92).alias("lu"))
+        return forward.predict(greens.along(greens.surface(p, patches), looks), model).select("row", r("predicted", 5))
+
+    return placed(points(spark, d), seen)
 
 
 @query()
 def stress_below_surface(spark, d):
     """Stress at depths of 0 to 9 below the points; no SQL, as the derivatives fill pages (tests compare them with differences)."""
     obs = points(spark, d).withColumn("depth", (F.col("row") % 10).cast("double"))
-    out = greens.inside(obs, rectangles(spark, d), shear_modulus=30.0)
-    return out.select(F.col("row").alias("k"), *(r(f"s_{c}", 6) for c in greens.STRAINS))
+    rows = placed(obs, lambda p: greens.inside(p, rectangles(spark, d), shear_modulus=30.0).select("row", *(r(f"s_{c}", 6) for c in greens.STRAINS)))
+    return rows.withColumnRenamed("row", "k")

@@ -21,3 +21,18 @@ def test_loops_plan_by_size(spark):
     joined = graph.components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert planned_bits(joined) < 1000
     assert [r[:] for r in joined.groupBy("component").count().collect()] == [(0, n + 1)]
+
+
+def test_places_are_worked_out_once(spark):
+    from quakespark.operators.shared import at_places
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 5 / 10).alias("x"))
+    met = spark.sparkContext.accumulator(0)
+
+    def work(places):
+        places.foreach(lambda _: met.add(1))
+        return places.select("id", (F.coalesce("x", F.lit(9.0)) * 2).alias("y"))
+
+    got = at_places(rows, "id", ["x"], work)
+    assert met.value == 5
+    assert got.count() == 1000 and got.where(F.col("y") != F.when(F.col("id") % 5 > 0, F.col("id") % 5 / 5).otherwise(18.0)).isEmpty()
