@@ -224,7 +224,8 @@ def file_surface(spark, d):
     path = place(spark, "surface")
     k, s = F.col("p_partkey"), F.col("p_size")
     vertex = lambda n, x, y, z: F.concat_ws(" ", F.lit("VRTX"), n.cast("string"), x.cast("string"), y.cast("string"), z.cast("string"))
-    lines = F.array(vertex(k, s, s, F.lit(0)), vertex(k + 1000000, s, s + 1, F.lit(1)), vertex(k + 2000000, s + 1, s, F.lit(5)), F.concat_ws(" ", F.lit("TRGL"), k.cast("string"), (k + 1000000).cast("string"), (k + 2000000).cast("string")))
+    second, third = -2 * k - 1, -2 * k - 2  # keys aren't negative, so no number is given twice
+    lines = F.array(vertex(k, s, s, F.lit(0)), vertex(second, s, s + 1, F.lit(1)), vertex(third, s + 1, s, F.lit(5)), F.concat_ws(" ", F.lit("TRGL"), k.cast("string"), second.cast("string"), third.cast("string")))
     table(spark, d, "part").select(F.explode(lines).alias("value")).write.text(path)
     rows = formats.surface(spark, path)
     return rounded(rows, "x1", "y2", "z3", keys=("v1",))
