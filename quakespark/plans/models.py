@@ -107,7 +107,8 @@ def slip_history_at(spark, d):
 @query("""WITH e AS (SELECT user_id AS patch, date_trunc('day', ts) AS t, value FROM events), s AS (SELECT n_nationkey AS row, t, sum(value / (1 + patch + n_nationkey)) AS step FROM e, nation WHERE n_nationkey < 5 GROUP BY 1, 2)
 SELECT row, strftime(t, '%Y-%m-%d') AS t, round(sum(step) OVER (PARTITION BY row ORDER BY t), 4) AS predicted FROM s""")
 def slip_history_predicted(spark, d):
-    greens = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(149))).alias("col"))
+    patches = table(spark, d, "events").select(F.col("user_id").alias("col")).distinct()
+    greens = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("row")).crossJoin(patches)
     greens = greens.withColumn("value", 1 / (1.0 + F.col("col") + F.col("row")))
     rows = table(spark, d, "events").select(F.col("user_id").alias("patch"), F.date_trunc("day", "ts").alias("t"), "value").withColumnRenamed("value", "slip")
     return series.predicted(rows, greens, "patch", "t", "slip").select("row", F.date_format("t", "yyyy-MM-dd").alias("t"), r("predicted"))
