@@ -36,3 +36,66 @@ def test_places_are_worked_out_once(spark):
     got = at_places(rows, "id", ["x"], work)
     assert met.value == 5
     assert got.count() == 1000 and got.where(F.col("y") != F.when(F.col("id") % 5 > 0, F.col("id") % 5 / 5).otherwise(18.0)).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def larger(tmp_path_factory):
+    """The smallest tables' keys, moved up."""
+    folder = tmp_path_factory.mktemp("larger")
+    con = duckdb.connect()
+    at = "/root/testdata/sf0.001"
+    con.sql(f"COPY (SELECT * REPLACE (p_partkey + 999900 * i AS p_partkey) FROM '{at}/part.parquet', range(3) t(i)) TO '{folder}/part.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (s_suppkey + 101 * i AS s_suppkey) FROM '{at}/supplier.parquet', range(40) t(i)) TO '{folder}/supplier.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (user_id + 400 * i AS user_id) FROM '{at}/events.parquet', range(3) t(i)) TO '{folder}/events.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (c_custkey + 151 * i AS c_custkey) FROM '{at}/customer.parquet', range(4) t(i)) TO '{folder}/customer.parquet'")
+    con.sql(f"COPY (SELECT * FROM '{at}/nation.parquet') TO '{folder}/nation.parquet'")
+    return str(folder)
+
+
+NAMES = ["file_surface", "slip_gradient", "slip_history_predicted"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_moved_keys_match_sql(spark, larger, name):
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for t in ("part", "supplier", "events", "customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{larger}/{t}.parquet'")
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    got = __spark_entry__.queries()[name](spark, larger).select(*want.columns)
+    rows = lambda values: sorted(tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in values)
+    mine, theirs = rows(got.collect()), rows(want.fetchall())
+    assert len(mine) == len(theirs)
+    for m, t in zip(mine, theirs, strict=True):
+        assert m == pytest.approx(t, abs=3e-5, nan_ok=True), name
+
+
+def test_layers_of_many_points(spark):
+    import time
+
+    from quakespark.operators import meshes
+
+    layers = spark.createDataFrame([("a", 1.0, 10.0), ("a", 3.0, 30.0)], "g string, z double, v double")
+    points = spark.range(60_000).select("id", F.lit("a").alias("g"), (F.col("id") / 10_000).alias("z"))
+    began = time.perf_counter()
+    got = meshes.between_layers(points, layers, "g", "z", "v").where(F.abs(F.col("v") - F.greatest(F.lit(10.0), F.least(F.lit(30.0), F.col("z") * 10))) < 1e-9)
+    assert got.count() == 60_000
+    assert time.perf_counter() - began < 20
+
+
+def test_neighbors_rank_equal_distances_by_key(spark):
+    import numpy as np
+
+    from quakespark.operators import meshes
+
+    k = np.arange(240)
+    x, y, z = k * 37 % 11 / 10.0, k * 53 % 7 / 10.0, k * 29 % 5 / 10.0
+    rows = spark.createDataFrame([(int(a), float(b), float(c), float(d)) for a, b, c, d in zip(k, x, y, z, strict=True)], "k long, x double, y double, z double")
+    got = {}
+    for r in meshes.neighbors(rows, "k", ("x", "y", "z"), 6, 0.5).where("place <= 6").collect():
+        got.setdefault(r.a, {})[r.place] = r.b
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 + (z[:, None] - z) ** 2)
+    for a in k:
+        want = [b for b in np.lexsort((k, d[a])) if b != a][:6]
+        assert [got[a][i] for i in range(1, 7)] == want
