@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import range_join
-from .shared import checkpoint, settled
+from .shared import same, settled
 
 
 def edges(faces: DataFrame, face: str, corners: tuple[str, str, str]) -> DataFrame:
@@ -64,14 +64,18 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
 
 def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, least: int, salt: int = 1) -> DataFrame:
-    """(key, cluster, core): cluster is the smallest core point's key; border points join their smallest cluster, noise has null."""
-    own = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
-    other = own.toDF("k2", "x2", "y2")
-    near = checkpoint(range_join(own, other, ("x", "y"), ("x2", "y2"), eps, salt).select("k", "k2"))
-    core = checkpoint(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k"))
-    between = near.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2")
+    """(key, cluster, core): cluster is the smallest core point's key; border points join their smallest cluster, noise has null.
+
+    Points at one place are one node, named by its smallest key and counted with their number.
+    """
+    points = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    places = settled(points.groupBy("x", "y").agg(F.min("key").alias("k"), F.count("*").alias("n")))
+    own = places.select("k", "x", "y")
+    near = settled(range_join(own, places.toDF("x2", "y2", "k2", "n2"), ("x", "y"), ("x2", "y2"), eps, salt).select("k", "k2", "n2"))
+    core = settled(near.groupBy("k").agg(F.sum("n2").alias("n")).where(F.col("n") >= least).select("k"))
+    between = near.select("k", "k2").where("k <> k2").join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2")
     linked = components(between, "k", "k2").select(F.col("node").alias("k"), F.col("component").alias("cluster"))
     cores = core.join(linked, "k", "left").select("k", F.coalesce("cluster", "k").alias("cluster"))
     edge = near.join(cores.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("cluster").alias("edge"))
-    out = own.select("k").join(cores, "k", "left").join(edge, "k", "left")
-    return out.select(F.col("k").alias(key), F.coalesce("cluster", "edge").alias("cluster"), F.col("cluster").isNotNull().alias("core"))
+    out = settled(places.select("x", "y", "k").join(cores, "k", "left").join(edge, "k", "left").select("x", "y", F.coalesce("cluster", "edge").alias("cluster"), F.col("cluster").isNotNull().alias("core")))
+    return points.join(out, same(points, out, ("x", "y"))).select(F.col("key").alias(key), "cluster", "core")
