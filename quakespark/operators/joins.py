@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import same, settled
 
 
 def _cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
@@ -32,28 +32,59 @@ def range_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], righ
 
 
 def around_points(points: DataFrame, pixels: DataFrame, point_xy: tuple[str, str], pixel_xy: tuple[str, str], radius: float, by: Sequence[str], values: Sequence[str], salt: int = 1) -> DataFrame:
-    """Mean, population deviation and number of each value over the pixels around each point."""
-    pairs = range_join(points, pixels, point_xy, pixel_xy, radius, salt)
-    aggregates = [f for v in values for f in (F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"))]
-    return pairs.groupBy(*by).agg(*aggregates, F.count("*").alias("n"))
+    """Mean, population deviation and number of each value over the pixels around each point.
+
+    Points and pixels at one place are joined once, pixels with their number, mean and scatter.
+    """
+    first = pixels.agg(*(F.avg(v) for v in values)).first()
+    shift = [float(c or 0.0) for c in first]
+    parts = lambda v, c: [F.count(v).alias(f"{v}_n"), F.sum(F.col(v) - c).alias(f"{v}_s"), F.sum((F.col(v) - c) * (F.col(v) - c)).alias(f"{v}_q"), F.min(v).alias(f"{v}_lo"), F.max(v).alias(f"{v}_hi")]
+    held = pixels.groupBy(*(F.col(c).alias(f"_r{k}") for k, c in enumerate(pixel_xy))).agg(F.count("*").alias("n"), *(p for v, c in zip(values, shift, strict=True) for p in parts(v, c)))
+    sums = [f"{v}_{p}" for v in values for p in ("n", "s", "q")]
+    ends = [f(f"{v}_{p}").alias(f"{v}_{p}") for v in values for p, f in (("lo", F.min), ("hi", F.max))]
+    add = [F.sum(c).alias(c) for c in ("n", *sums)] + ends
+    spots = settled(points.select(*point_xy).distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    near = range_join(spots.toDF("_l0", "_l1", "_spot"), settled(held), ("_l0", "_l1"), ("_r0", "_r1"), radius, salt).groupBy("_spot").agg(*add)
+    met = points.join(spots, same(points, spots, point_xy)).select(*(points[c] for c in by), "_spot").join(near, "_spot").groupBy(*by).agg(*add)
+
+    def figures(v: str, c: float) -> list[Column]:
+        mean = F.try_divide(F.col(f"{v}_s"), F.col(f"{v}_n"))
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{v}_q"), F.col(f"{v}_n")) - mean * mean))
+        return [(mean + c).alias(f"{v}_mean"), F.when(F.col(f"{v}_lo") == F.col(f"{v}_hi"), 0.0).otherwise(spread).alias(f"{v}_std")]
+
+    return met.select(*by, *(f for v, c in zip(values, shift, strict=True) for f in figures(v, c)), "n")
+
+
+def _halvings(places: DataFrame, x: str, y: str, reach: float, crowd: float = 16.0, most: int = 12) -> int:
+    """How often the reach must be halved until a place shares a cell of that size with ``crowd`` others on average."""
+    side = F.lit(reach) / F.pow(F.lit(2.0), F.col("_level"))
+    each = places.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    cells = each.groupBy("_level", F.floor(F.col(x) / side).alias("_x"), F.floor(F.col(y) / side).alias("_y")).agg(F.count("*").cast("double").alias("n"))
+    means = dict(cells.groupBy("_level").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect())
+    return next((k for k in range(most) if means.get(k, 0.0) <= crowd), most)
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, doublings: int = 12, salt: int = 1) -> DataFrame:
     """(left_id, right_id, distance): each left row's nearest right row, ties by the smaller right id.
 
     The search radius doubles for the rows that have found nothing yet; those with nothing within reach * 2^(doublings - 1)
-    come with nulls.
+    come with nulls. Rows at one place are looked up once, and the first radius is ``reach`` halved until its cells hold few places,
+    so candidates grow with the rows.
     """
-    found, rest, radius = None, left.select(left_id, *left_xy), reach
-    for _ in range(doublings):
-        pairs = range_join(rest, right.select(right_id, *right_xy), left_xy, right_xy, radius, salt)
-        best = checkpoint(pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_b")).select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.distance").alias("distance")))
+    own = left.select(left_id, *left_xy)
+    spots = settled(own.select(*left_xy).distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    other = settled(right.groupBy(*right_xy).agg(F.min(right_id).alias(right_id)))
+    halved = _halvings(other, *right_xy, reach)
+    found, rest, radius = None, spots, reach / 2**halved
+    for _ in range(doublings + halved):
+        pairs = range_join(rest, other, left_xy, right_xy, radius, salt)
+        best = settled(pairs.groupBy("_spot").agg(F.min(F.struct("distance", right_id)).alias("_b")).select("_spot", F.col(f"_b.{right_id}").alias(right_id), F.col("_b.distance").alias("distance")))
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select(left_id), left_id, "left_anti")
+        rest = settled(rest.join(best.select("_spot"), "_spot", "left_anti"))
         if rest.isEmpty():
-            return found
+            break
         radius *= 2
-    return found.unionByName(rest.select(left_id), allowMissingColumns=True)
+    return own.join(spots, same(own, spots, left_xy)).select(own[left_id], "_spot").join(found, "_spot", "left").drop("_spot")
 
 
 def to_trace(df: DataFrame, x: str, y: str, vertices: Sequence[tuple[float, float]]) -> DataFrame:
