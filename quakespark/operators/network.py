@@ -142,13 +142,22 @@ def remove_fit(df: DataFrame, design: Sequence[Column], value: str, name: str) -
 
 
 def covariances(df: DataFrame, key: str, x: str, y: str, error: str, sill: float, length: float, reach: float) -> DataFrame:
-    """(a, b, value): the data covariance, error squared on the diagonal and sill * exp(-distance / length) beside it up to ``reach``."""
+    """(a, b, value): the data covariance, error squared on the diagonal and sill * exp(-distance / length) beside it up to ``reach``.
+
+    Values are worked out for pairs of places, dealt over all cores, and given to all rows there.
+    """
     from .joins import range_join
+    from .shared import same, settled
 
-    one, two = (df.select(F.col(key).alias(k), F.col(x).alias(f"{k}x"), F.col(y).alias(f"{k}y")) for k in "ab")
-    near = range_join(one, two, ("ax", "ay"), ("bx", "by"), reach).where("a <> b")
+    rows = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    places = settled(rows.select("x", "y").distinct().withColumn("p", F.monotonically_increasing_id()))
+    members = settled(rows.join(places, same(rows, places, ("x", "y"))).select("k", "p"))
+    one, two = (places.select(F.col("p").alias(f"p{k}"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "ab")
     apart = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return near.select("a", "b", (sill * F.exp(-apart / length)).alias("value")).unionByName(df.select(F.col(key).alias("a"), F.col(key).alias("b"), (F.col(error) * F.col(error)).alias("value")))
+    near = range_join(one, two, ("ax", "ay"), ("bx", "by"), reach).select("pa", "pb", (sill * F.exp(-apart / length)).alias("value"))
+    dealt = near.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, "pa", "pb")
+    beside = dealt.join(members.toDF("a", "pa"), "pa").join(members.toDF("b", "pb"), "pb").where("a <> b")
+    return beside.select("a", "b", "value").unionByName(df.select(F.col(key).alias("a"), F.col(key).alias("b"), (F.col(error) * F.col(error)).alias("value")))
 
 
 def fit_exponential(bins: DataFrame, distance: str, value: str, count: str) -> tuple[float, float]:
