@@ -52,7 +52,7 @@ def larger(tmp_path_factory):
     return str(folder)
 
 
-NAMES = ["file_surface", "slip_gradient", "slip_history_predicted"]
+NAMES = ["patches_model_covariance", "slip_smoothed", "file_surface", "slip_gradient", "slip_history_predicted", "range_join_average", "nearest_patch", "variogram", "variogram_crowded", "cluster_density", "data_covariance"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -99,3 +99,20 @@ def test_neighbors_rank_equal_distances_by_key(spark):
     for a in k:
         want = [b for b in np.lexsort((k, d[a])) if b != a][:6]
         assert [got[a][i] for i in range(1, 7)] == want
+
+
+def test_sums_within_beside_all_pairs(spark):
+    import numpy as np
+
+    from quakespark.operators import meshes
+
+    rng = np.random.default_rng(5)
+    x, y, z, v = rng.uniform(-3, 3, (4, 400))
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(zip(x, y, z, v, strict=True))] + [(400, None, 0.0, 0.0, 1.0)], "k long, x double, y double, z double, v double")
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 + (z[:, None] - z) ** 2)
+    near = d <= 1.5
+    want = np.stack([(near * v).sum(1), (near * d * v).sum(1), np.zeros(400), np.where(near, d, 0).max(1)], 1)
+    for block in (50_000, 7):
+        got = {r.k: r[1:] for r in meshes.sums_within(rows, "k", ("x", "y", "z"), "v", 1.5, [np.ones_like, np.asarray], block).collect()}
+        assert sorted(got) == list(range(400))
+        assert np.array([got[k] for k in range(400)]) == pytest.approx(want, abs=1e-9)
