@@ -256,7 +256,7 @@ def file_kml(spark, d):
 def file_series_by_station(spark, d):
     path = place(spark, "by_station")
     formats.write_series_by_station(table(spark, d, "events"), path, "user_id", ["ts", "value"])
-    rows = spark.read.text(path).select(F.col("user_id").cast("long").alias("station"), F.expr("try_cast(element_at(split(value, ' '), -1) as double)").alias("v"))
+    rows = formats.series_by_station(spark, path, "user_id").select(F.col("station").cast("long"), F.expr("try_cast(element_at(split(value, ' '), -1) as double)").alias("v"))
     return rows.groupBy("station").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 

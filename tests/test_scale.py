@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.operators import chains, graph
+from quakespark.sources import formats
 
 
 def planned_bits(df):
@@ -116,3 +117,39 @@ def test_sums_within_beside_all_pairs(spark):
         got = {r.k: r[1:] for r in meshes.sums_within(rows, "k", ("x", "y", "z"), "v", 1.5, [np.ones_like, np.asarray], block).collect()}
         assert sorted(got) == list(range(400))
         assert np.array([got[k] for k in range(400)]) == pytest.approx(want, abs=1e-9)
+
+
+def test_stations_files_take_no_task_each(spark, tmp_path):
+    import __spark_entry__
+
+    spark.range(900).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 300 AS user_id", "id / 4 AS value").write.parquet(f"{tmp_path}/events.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("stations", "stations")
+    got = __spark_entry__.queries()["file_series_by_station"](spark, str(tmp_path)).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.station: (r.n, r.total) for r in got} == {k: (3, (3 * k + 900) / 4) for k in range(300)}
+    stages = {s for j in context.statusTracker().getJobIdsForGroup("stations") for s in context.statusTracker().getJobInfo(j).stageIds}
+    assert sum(i.numTasks for s in stages if (i := context.statusTracker().getStageInfo(s))) < 300
+
+
+def test_stations_of_odd_names_by_both_readers(spark, tmp_path):
+    names = ["a/b", "x=y", "50%", "é 1", "[q]", '"', "", None, formats.NO_STATION, "plain"]
+    rows = [(s, k, text) for s in names for k, text in enumerate(["one", None, "é", "two\rthree"])]
+    path = f"{tmp_path}/by station"
+    formats.write_series_by_station(spark.createDataFrame(rows, "`st/n` string, k int, v string"), path, "st/n", ["k", "v"])
+    want = sorted(((s if s not in ("", formats.NO_STATION) else None, line) for s in names for line in ("0 one", "1", "2 é", "3 two", "three")), key=repr)
+    assert sorted(((r.station, r.value) for r in formats.series_by_station(spark, path, "st/n").collect()), key=repr) == want
+    assert sorted(((r["st/n"], r.value) for r in spark.read.text(path).collect()), key=repr) == want
+    with pytest.raises(FileExistsError):
+        formats.write_series_by_station(spark.createDataFrame(rows, "`st/n` string, k int, v string"), path, "st/n", ["k", "v"])
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./there", f"file://{tmp_path}")
+    formats.write_series_by_station(spark.range(40).selectExpr("id % 4 AS s", "id"), "viewfs://store/there/spark", "s", ["id"])
+    assert {r[:] for r in formats.series_by_station(spark, "viewfs://store/there/spark", "s").collect()} == {(str(k % 4), str(k)) for k in range(40)}
+    formats.write_series_by_station(spark.createDataFrame([], "s string, v string"), f"{path}-none", "s", ["v"])
+    assert formats.series_by_station(spark, f"{path}-none", "s").count() == 0
+
+
+def test_a_long_station_is_read_in_pieces(spark, tmp_path):
+    formats.write_series_by_station(spark.range(120_001).select(F.lit("one").alias("s"), "id"), f"{tmp_path}/long", "s", ["id"])
+    got = formats.series_by_station(spark, f"{tmp_path}/long", "s").selectExpr("count(*)", "count(DISTINCT value)", "sum(cast(value AS long))").first()
+    assert got[:] == (120_001, 120_001, 120_000 * 120_001 // 2)
