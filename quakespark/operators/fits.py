@@ -96,7 +96,7 @@ def decay(df: DataFrame, by: Sequence[str], t: str, value: str, kind: str = "exp
     series of any length is never gathered. Rows with a null or non-finite number don't count. Series of fewer than three rows,
     without rows after the onset, or whose sums give no step, come back with ``settled`` false and what they have.
     """
-    from .shared import checkpoint
+    from .shared import checkpoint, settled
 
     keys = [F.col(c) for c in by]
     time, v = F.col(t).cast("double"), F.col(value).cast("double")
@@ -155,7 +155,7 @@ def decay(df: DataFrame, by: Sequence[str], t: str, value: str, kind: str = "exp
         products = [F.sum(design[i] * design[j]).alias(f"p{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(design[i] * off).alias(f"r{i}") for i in range(3)] + [F.sum(off * off).alias("cost")]
         made = met.groupBy(*by).agg(*products).select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by)), *sums)
         going = open_.join(made, functools.reduce(lambda x, y: x & y, same)).select(*by, "n", *names, *sums)
-        state = checkpoint(state.where("stuck").unionByName(going.mapInArrow(step, kept)))
+        state = settled(state.where("stuck").unionByName(going.mapInArrow(step, kept)))
     return state.select(*by, F.col("c").alias("offset"), F.col("a").alias("amplitude"), F.exp("s").alias("tau"), F.sqrt(F.col("best") / F.col("n")).alias("rms"), "n", "settled")
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quakespark.operators import chains, graph
+from quakespark.operators import chains, fits, graph
 from quakespark.sources import formats
 
 
@@ -153,3 +153,8 @@ def test_a_long_station_is_read_in_pieces(spark, tmp_path):
     formats.write_series_by_station(spark.range(120_001).select(F.lit("one").alias("s"), "id"), f"{tmp_path}/long", "s", ["id"])
     got = formats.series_by_station(spark, f"{tmp_path}/long", "s").selectExpr("count(*)", "count(DISTINCT value)", "sum(cast(value AS long))").first()
     assert got[:] == (120_001, 120_001, 120_000 * 120_001 // 2)
+
+
+def test_rounds_of_decays_plan_by_size(spark):
+    rows = spark.range(60).selectExpr("id % 2 AS g", "double(id - 10) AS t", "2 + 3 * log1p(greatest(id - 10, 0) / (5 + id % 2)) + 0.05 * sin(id) AS v")
+    assert planned_bits(fits.decay(rows, ["g"], "t", "v", "log", rounds=8)) < 1000
