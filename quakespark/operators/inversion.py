@@ -136,6 +136,13 @@ def constrained(
     def solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(matrix, right, rcond=None)[0]
 
+    def within(m: np.ndarray) -> np.ndarray:
+        """On its bounds, where rounding leaves it a trace outside."""
+        for bound, none, inner in ((low, -np.inf, np.maximum), (high, np.inf, np.minimum)):
+            if bound is not None:
+                m = inner(m, np.where(np.isfinite(bound), bound, none))
+        return m
+
     def held(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = np.concatenate([e, c[which]])
         matrix = np.block([[h, both.T], [both, np.zeros((len(both), len(both)))]])
@@ -146,7 +153,7 @@ def constrained(
     if len(e) and np.abs(e @ m - to).max() > 1e-7 * (1 + np.abs(to).max()):
         raise NotSettled("the equalities exclude each other")
     if not k or (c @ m - limit).max() <= 1e-12 * (1 + np.abs(limit).max()):
-        return m / size
+        return within(m / size)
     scale = 1 + max(np.abs(f).max(initial=0), np.abs(limit).max(initial=0), np.abs(to).max(initial=0))
     s, y, z = np.maximum(limit - c @ m, 1.0), np.ones(k), np.zeros(len(e))
     for _ in range(rounds):
@@ -184,9 +191,9 @@ def constrained(
         exact, pull = held(active)
         wrong, broken = np.flatnonzero(active)[pull < -1e-9 * scale], np.flatnonzero((c @ exact - limit > 1e-9 * scale) & ~active)
         if not len(wrong) and not len(broken):
-            return exact / size if np.abs(exact - m).max() <= 1e-3 * scale else m / size
+            return within(exact / size if np.abs(exact - m).max() <= 1e-3 * scale else m / size)
         active[wrong], active[broken] = False, True
-    return m / size
+    return within(m / size)
 
 
 def solve(

@@ -48,6 +48,15 @@ def test_constraints_beside_all_active_sets(seed):
     assert x @ g @ x / 2 - d @ x == pytest.approx(cost, rel=1e-7, abs=1e-7)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_answers_are_never_outside_their_bounds(seed):
+    g = np.random.default_rng(seed).normal(size=(40, 4))
+    square, side = g.T @ g, g.T @ (g @ [1, -2, 0, 3])
+    for low, high in (([0] * 4, [np.inf] * 4), ([-0.1] * 4, [0.7] * 4), ([np.nan, -np.inf, 0.1, -np.inf], [0.7, np.nan, np.inf, 0.3])):
+        m = inversion.bounded(square, side, low, high)
+        assert np.isfinite(m).all() and not (m < low).any() and not (m > high).any()
+
+
 def test_constraints_that_exclude_each_other_raise():
     with pytest.raises(inversion.NotSettled):
         inversion.constrained(np.eye(2), np.zeros(2), np.array([[1.0, 0.0], [-1.0, 0.0]]), np.array([-1.0, -1.0]))
