@@ -217,3 +217,40 @@ def test_variogram_beside_all_pairs(spark, monkeypatch, seed):
         assert got[b][2] == own.sum()
         assert got[b][0] == pytest.approx(np.nanmean((w[i] - w[j])[near][own] ** 2) / 2, rel=1e-9)
         assert got[b][1] == pytest.approx(np.nanmean(np.abs(w[i] * w[j])[near][own]) / 2, rel=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_beside_all_pairs(spark, monkeypatch, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n = 400
+    x, y = rng.integers(-9, 9, (2, n)) / 2.0 if seed == 1 else rng.uniform(-6, 6, (2, n))
+    if seed == 2:
+        x[:6], y[:6] = 1e300, [0, 0.5, 1.0, 90, 91, 1e300]
+        x[6:9] = float("inf")
+    if seed == 3:
+        x = np.repeat([0.0, 1.0 + 2**-30], n // 2)
+    rows = spark.createDataFrame([(int(k), float(a), float(b)) for k, a, b in zip(rng.permutation(n), x, y, strict=True)] + [(n + k, None, 0.0) for k in range(4)], "k long, x double, y double")
+    key = [r.k for r in rows.collect()][:n]
+    with np.errstate(all="ignore"):
+        near = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) <= 1.0
+    for least in (3, 8):
+        core = near.sum(1) >= least
+        label = np.where(core, key, n * n)
+        while True:
+            low = np.where(core, np.where(near & core, label, n * n).min(1), n * n)
+            if (low == label).all():
+                break
+            label = low
+        found = np.where(near & core, label, n * n).min(1)
+        want = {k: (None if f == n * n else int(f), bool(c)) for k, f, c in zip(key, found, core, strict=True)}
+        got = {r.k: (r.cluster, r.core) for r in graph.dbscan(rows, "k", "x", "y", 1.0, least, salt=1 + seed % 2).collect()}
+        assert got == want | {n + k: (None, False) for k in range(4)}
+
+
+def test_cells_are_linked_by_halves(spark):
+    n = 3000
+    rows = spark.range(2 * n).selectExpr("id AS k", "IF(id < {0}, 0.0, 1.0 + 1e-9 * (id % 7 - 1)) AS x".format(n), "(id % {0}) / 4000 + IF(id < {0}, 0, 0.0000001D) AS y".format(n))
+    got = graph.dbscan(rows, "k", "x", "y", 1.0, 4).groupBy("cluster", "core").count().collect()
+    assert [r[:] for r in got] == [(0, True, 2 * n)]
