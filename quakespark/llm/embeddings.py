@@ -3,8 +3,9 @@
 Vectors are scaled to length one and turned into the order of their principal components. Tiles of them are
 compared over the leading components first; what the others can still add is bounded by the product of the two
 suffix norms, and rows and columns that can't reach the threshold leave the tile. Tiles whose first components
-lie too far apart are never paired. Tiles are shuffled as components only; pairs within rounding of the threshold come out as
-such and are decided on the vectors as given, fetched for them alone.
+lie too far apart are never paired. Tiles are written once, as components in single precision, and each task reads those of
+its pairs; pairs are not shuffled, so the disk taken grows with the vectors. Pairs within rounding of the threshold come
+out as such and are decided on the vectors as given, in double precision, fetched for them alone.
 
 A tile pair reports how many links each vector has and a spanning forest of the links, not the links.
 Equal vectors are one row until the end. Vectors that are null, empty, zero or hold null or non-finite
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, stored
 
-#: Bytes of a tile's components, leading components after which a tile is looked through again, and what rounding may take from a product.
-TILE_BYTES, STEPS, STRIP, SLACK = 2 << 20, (16, 32), 512, 1e-9
+#: Bytes of a tile's components at most, its vectors at least, and tiles at least; leading components after which a tile is looked through again.
+TILE_BYTES, LEAST, TILES, STEPS, STRIP = 2 << 20, 512, 24, (16, 32), 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -32,18 +33,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    """The vectors at length one."""
+    x = _matrix(column)
+    x = x / np.abs(x).max(1, initial=0.0, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _slack(size: int) -> float:
+    """What rounding to single precision may take from a product of unit vectors, and more than that."""
+    return 2e-7 * (size + 8)
+
+
 def principal_axes(units: DataFrame, size: int) -> np.ndarray:
     """Columns are the principal axes of the vectors, the largest first; size x size sums are what is gathered."""
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
-            x = _matrix(batch.column(0))
-            if len(x):
-                total += x.T @ x
+            x = _units(batch.column(0))
+            total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], ["i", "x"])
 
-    got = units.select("u").mapInArrow(gram, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    got = units.select("e").mapInArrow(gram, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     total = np.zeros(size * size)
     for i, x in got:
         total[i] = x
@@ -79,14 +91,14 @@ class Forest:
 
 
 def compare(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (rows of x, rows of y, whether within rounding of it) of unit vectors in PCA order whose product reaches the threshold."""
-    slack = SLACK
+    """Pairs (rows of x, rows of y, whether within rounding of it) of unit vectors in PCA order, in single precision, whose product reaches the threshold."""
+    slack = _slack(x.shape[1])
     cuts = [0, *(s for s in STEPS if s < x.shape[1]), x.shape[1]]
-    rest = lambda m, c: np.sqrt(np.maximum(0, (m[:, c:] ** 2).sum(1)))
+    rest = lambda m, c: np.sqrt((m[:, c:] ** 2).sum(1))
     x_rest, y_rest = [rest(x, c) for c in cuts], [rest(y, c) for c in cuts]
     for top in range(0, len(x), STRIP):
         rows, cols = np.arange(top, min(len(x), top + STRIP)), np.arange(len(y))
-        product = np.zeros((len(rows), len(cols)))
+        product = np.zeros((len(rows), len(cols)), np.float32)
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             product += x[rows, a:b] @ y[cols, a:b].T
             if k + 2 == len(cuts):
@@ -108,17 +120,20 @@ def compare(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"))
     sound = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    squares = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)
-    largest = F.array_max(F.transform("e", lambda x: F.abs(x)))
-    good = rows.where(sound).withColumn("top", largest).where("top > 0").withColumn("e", F.transform("e", lambda x: x / F.col("top")))
-    good = good.withColumn("e", F.transform("e", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).withColumn("norm", F.sqrt(squares))
-    kinds = checkpoint(good.groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("norm").alias("norm")).withColumn("size", F.size("e")))
+    top = F.array_max(F.transform("e", lambda x: F.abs(x).cast("double")))
+    scaled = F.transform("e", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x / F.col("top")))
+    # Vectors of one direction have one pair of hashes, so that they meet without being shuffled again.
+    good = rows.where(sound).withColumn("top", top).where("top > 0").withColumns({"h": F.xxhash64(scaled), "h2": F.xxhash64(F.lit(1), scaled)})
+    kinds = good.groupBy("h", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first(F.struct("e", "top")).alias("v")).select("h", "h2", "id", "copies", "v.*")
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+    kinds = stored(kinds.withColumns({"size": F.size("e"), "norm": norm}))
     counts, edges = None, None
-    for (size,) in sorted(kinds.select("size").distinct().collect()):
-        units = kinds.where(F.col("size") == size).withColumn("u", F.transform("e", lambda x: x / F.col("norm")))
-        part = checkpoint(_compare_all(units, size, threshold, tile or max(64, TILE_BYTES // (8 * size))))
+    for size, n in sorted(kinds.groupBy("size").count().collect()):
+        units = kinds.where(F.col("size") == size).withColumn("u", F.transform("e", lambda x: x / F.col("top") / F.col("norm")))
+        part = _compare_all(units, size, threshold, tile or max(min(LEAST, max(64, TILE_BYTES // (4 * size))), min(n // TILES, TILE_BYTES // (4 * size))))
         close = part.where("b is not null and n is not null").select("a", "b")
         vector = [units.select(F.col("id").alias(c), F.col("u").alias(f"u{c}"), F.col("copies").alias(f"n{c}")) for c in "ab"]
         product = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
@@ -130,7 +145,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int | None
     ids = rows.select("vec_id")
     if counts is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    member = good.select("vec_id", "e").join(kinds.select("e", "id", "copies"), "e").select("vec_id", "id", "copies")
+    twins = good.select("vec_id", "h", "h2").join(kinds.where("copies > 1").select("h", "h2", "id", "copies"), ["h", "h2"]).select("vec_id", "id", "copies")
+    member = twins.unionByName(kinds.where("copies = 1").select(F.col("id").alias("vec_id"), "id", "copies"))
     total = counts.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     found = components(edges)
     known = member.join(total, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -160,17 +176,24 @@ def _compare_all(units: DataFrame, size: int, threshold: float, tile: int) -> Da
     placed = celled.join(F.broadcast(map_of), ["c0", "c1"]).withColumn("tile", F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        pc = (_matrix(t.column("u")) @ shared.value).tobytes()
-        return pa.table({"tile": [key[0].as_py()], "near": [t.column("near")[0].as_py()], "ids": [t.column("id").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "pc": [pc]}, schema=pa.schema([("tile", pa.int64()), ("near", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary()), ("copies", pa.binary()), ("pc", pa.binary())]))
-
-    packed = checkpoint(placed.select("tile", "near", "id", "copies", "u").groupBy("tile").applyInArrow(pack, "tile long, near array<array<long>>, ids binary, copies binary, pc binary"))
-    others = F.flatten(F.transform("near", lambda r: F.sequence(r[0], r[1])))
-    pairs = packed.select("tile", F.explode(others).alias("other"), "ids", "copies", "pc").select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ids", "copies", "pc")
+        pc = (_units(t.column("e")) @ shared.value).astype(np.float32).tobytes()
+        return pa.table({"tile": [key[0].as_py()], "ids": [t.column("id").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "pc": [pc]}, schema=pa.schema([("tile", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("pc", pa.binary())]))
+
+    packed = stored(placed.select("tile", "id", "copies", "e").groupBy("tile").applyInArrow(pack, "tile long, ids binary, copies binary, pc binary"))
+    base = F.broadcast(map_of.select("base", "blocks", "near"))
+    one = packed.join(base, (F.col("tile") >= F.col("base")) & (F.col("tile") < F.col("base") + F.col("blocks"))).drop("base", "blocks")
+    two = packed.toDF("tile2", "ids2", "copies2", "pc2")
+    # Either order of two tiles is one pair; each tile comes first in half of its pairs. No column is equal, so Spark pairs the files' parts.
+    once = (F.col("tile") == F.col("tile2")) | ((F.col("tile") < F.col("tile2")) == ((F.col("tile") + F.col("tile2")) % 2 == 0)) & (F.col("tile") != F.col("tile2"))
+    pairs = one.join(two, once & F.exists("near", lambda r: (F.col("tile2") >= r[0]) & (F.col("tile2") <= r[1]))).drop("near")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                r = {c: batch.column(c)[row] for c in batch.schema.names}
+                yield compared(r["tile"].as_py() == r["tile2"].as_py(), *([np.frombuffer(r[f"{c}{k}"].as_buffer(), kind) for k in ("", "2")] for c, kind in (("ids", np.int64), ("copies", np.int64), ("pc", np.float32))))
 
-    def match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by("tile")
-        ids, copies, pc = ([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ids", np.int64), ("copies", np.int64), ("pc", np.float64)))
-        own = key[0].as_py() == key[1].as_py()
+    def compared(own: bool, ids: list[np.ndarray], copies: list[np.ndarray], pc: list[np.ndarray]) -> pa.RecordBatch:
         pc = [p.reshape(-1, size) for p in pc]
         a, b = 0, 0 if own else 1
         everyone = ids[0] if own else np.concatenate(ids)
@@ -189,6 +212,12 @@ def _compare_all(units: DataFrame, size: int, threshold: float, tile: int) -> Da
         hit, far = np.flatnonzero(links), np.flatnonzero(forest.up != np.arange(len(everyone)))
         none = lambda n: pa.nulls(n, pa.int64())
         one, two = np.concatenate(doubtful, axis=1)
-        return pa.table({"a": pa.concat_arrays([pa.array(everyone[hit]), pa.array(everyone[far]), pa.array(one)]), "b": pa.concat_arrays([none(len(hit)), pa.array(everyone[forest.up[far]]), pa.array(two)]), "n": pa.concat_arrays([pa.array(links[hit]), none(len(far)), pa.array(np.zeros(len(one), np.int64))])})
-
-    return pairs.groupBy("low", "high").applyInArrow(match, "a long, b long, n long")
+        return pa.RecordBatch.from_pydict({"a": pa.concat_arrays([pa.array(everyone[hit]), pa.array(everyone[far]), pa.array(one)]), "b": pa.concat_arrays([none(len(hit)), pa.array(everyone[forest.up[far]]), pa.array(two)]), "n": pa.concat_arrays([pa.array(links[hit]), none(len(far)), pa.array(np.zeros(len(one), np.int64))])})
+
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    try:  # a row is two tiles
+        spark.conf.set(limit, "4")
+        return stored(pairs.mapInArrow(match, "a long, b long, n long"))
+    finally:
+        spark.conf.set(limit, before)

@@ -105,6 +105,28 @@ def test_embeddings_within_rounding_of_the_threshold(spark):
     assert got == {1: (2, 1), 2: (3, 1), 3: (3, 1), 4: (2, 1), 5: (0, 5)}
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_embeddings_shuffle_grows_with_the_vectors(spark):
+    rng = np.random.default_rng(2)
+    n = 3000
+    x = rng.normal(size=(n, 32))
+    x[n // 2 :] = x[: n // 2] + rng.normal(size=(n // 2, 32)) * 0.05
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = shuffled(spark)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, 0.9, 64).collect()}
+    assert shuffled(spark) - before < 6 * n * 32 * 4
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+    assert all(got[i][1] == i % (n // 2) for i in range(n))
+
+
 def test_embeddings_of_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].kept
